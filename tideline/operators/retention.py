@@ -224,11 +224,28 @@ def _instant(value: Column | str) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), fraction, F.lit("+00:00"))
 
 
+def one_decimal_text(value: Column) -> Column:
+    """A double of at least 1 with one decimal, rounded on its exact binary value.
+
+    The fraction of such a double is a whole number of 2**-52, so the tenths are
+    found with integers, and a true tie goes to the even digit.
+    """
+    unit = F.lit(1 << 52)
+    whole = F.floor(value).cast("bigint")
+    scaled = ((value - whole) * float(1 << 52)).cast("bigint") * 10
+    rest = F.pmod(scaled, unit)
+    tenths = whole * 10 + ((scaled - rest) / unit).cast("bigint")
+    half = F.lit(1 << 51)
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    rounded = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def timing_line(gap_hours: Column) -> Column:
     """Which came first, the complaint or the score, and by how much."""
     minutes = F.abs(gap_hours) * 60
-    elapsed = F.when(minutes < 60, F.format_string("%.0f minutes", F.bround(minutes, 0))).otherwise(
-        F.format_string("%.1f hours", F.bround(F.abs(gap_hours), 1))
+    elapsed = F.when(minutes < 60, F.format_string("%.0f minutes", F.rint(minutes))).otherwise(
+        F.concat(one_decimal_text(F.abs(gap_hours)), F.lit(" hours"))
     )
     lead = F.lit("  timing:             ")
     return (

@@ -201,8 +201,9 @@ def with_fixtures(sql: str) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{name} AS ({FIXTURE_SQL[name]})" for name in names)
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"WITH {ctes}\n{body}"
 
 

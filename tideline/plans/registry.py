@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     return register
 
 
-MODULES = ("churn", "history", "retention")
+MODULES = ("churn", "history", "retention", "offers")
 
 
 def load_all() -> None:
