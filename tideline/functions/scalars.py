@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 # Shapes accepted as an ISO-8601 / RFC 3339 instant or date.
 _ISO_SHAPE = (
     r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?)?$"
+    r"([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
-_NUMBER_SHAPE = r"^[+-]?(\d+([.]\d*)?|[.]\d+)([eE][+-]?\d+)?$"
+# Number literals of the JVM that are not numbers elsewhere: suffixes and hex.
+_JVM_NUMBER = r"[xX]|[0-9.][dDfF]\s*$"
 
 
 def as_col(value: Column | str) -> Column:
@@ -47,36 +48,24 @@ def parse_instant(text: Column | str) -> Column:
     that is not an instant gives NULL.
     """
     trimmed = F.trim(as_col(text))
-    cut = F.regexp_replace(trimmed, r"([.]\d{6})\d+", "$1")
-    colon = F.regexp_replace(cut, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.regexp_replace(colon, r"[zZ]$", "+00:00")
-    # The date-only shape ends in "-dd", which the colon rule must not touch.
-    ready = F.when(F.length(trimmed) == 10, trimmed).otherwise(zoned)
-    return F.when(trimmed.rlike(_ISO_SHAPE), F.try_to_timestamp(ready))
+    return F.when(trimmed.rlike(_ISO_SHAPE), trimmed.try_cast("timestamp"))
 
 
 def parse_number(text: Column | str) -> Column:
-    """Plain decimal or exponent notation to a double, otherwise NULL."""
-    trimmed = F.trim(as_col(text))
-    return F.when(trimmed.rlike(_NUMBER_SHAPE), trimmed.try_cast("double"))
+    """Text to a double, infinities and NaN by name included; otherwise NULL."""
+    col = as_col(text)
+    return F.when(~col.rlike(_JVM_NUMBER), col.try_cast("double"))
 
 
 def truncate_to_long(value: Column | str) -> Column:
     """Drop the fraction towards zero; NULL when the result is no 64-bit integer."""
-    number = as_col(value)
-    finite = ~F.isnan(number) & (F.abs(number) < F.lit(9.3e18))
-    return F.when(finite, number.try_cast("bigint"))
+    return as_col(value).try_cast("bigint")
 
 
 def iso_text(instant: Column | str) -> Column:
     """Timestamp to ISO text with an explicit UTC offset; fraction only if any."""
-    ts = as_col(instant)
-    fraction = F.when(
-        F.unix_micros(ts) % 1_000_000 != 0, F.date_format(ts, ".SSSSSS")
-    ).otherwise("")
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00")
-    )
+    text = F.date_format(as_col(instant), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, "[.]000000$", ""), F.lit("+00:00"))
 
 
 def change_sequence(commit_time: Column | str) -> Column:
