@@ -163,8 +163,11 @@ def decode_events(
     typed values; ``document_json`` is its plain JSON text.
     """
     fields = fields_schema(list(tables) if tables is not None else all_specs(), extra_paths)
-    parsed = envelopes.withColumn("_body", F.from_json("body", body_schema(fields), _STRICT_JSON))
-    value, old = F.col("_body.value"), F.col("_body.oldValue")
+    # Generated rather than projected: a filter on what was decoded is then not
+    # pushed below the parse, which would repeat the parse for every column used.
+    body = F.from_json("body", body_schema(fields), _STRICT_JSON)
+    parsed = envelopes.select("*", F.inline(F.array(body)).alias("_value", "_old", "_mask"))
+    value, old = F.col("_value"), F.col("_old")
     has_value, has_old = _present(value), _present(old)
     name = F.coalesce(null_if_empty(value["name"]), null_if_empty(old["name"]), F.lit(""))
     event_time = parse_instant("event_time")
@@ -179,7 +182,7 @@ def decode_events(
             resolve_commit_time(value["updateTime"], old["updateTime"], event_time, now),
         )
         .withColumn("document", F.when(deleted, old["fields"]).otherwise(value["fields"]))
-        .withColumn("updated_fields", F.coalesce("_body.updateMask.fieldPaths", F.array().cast("array<string>")))
+        .withColumn("updated_fields", F.coalesce("_mask.fieldPaths", F.array().cast("array<string>")))
         .withColumn("sequence", change_sequence("change_timestamp"))
         .withColumn("sequence_hex", change_sequence_hex("change_timestamp"))
         .withColumn("is_delete", deleted)
@@ -189,7 +192,7 @@ def decode_events(
             F.get_json_object("body", "$.value.fields")
         )
         decoded = decoded.withColumn("document_json", decode_document(side))
-    return decoded.drop("_body")
+    return decoded.drop("_value", "_old", "_mask")
 
 
 # --- routing and projecting ------------------------------------------------------
@@ -245,24 +248,19 @@ def ledger_rows(changes: DataFrame, spec: TableSpec = specs.ORDERS_LEDGER) -> Da
 
 
 def append_ledger(rows: DataFrame, path: str, batch_id: int, spec: TableSpec = specs.ORDERS_LEDGER) -> None:
-    """Append a batch to the day-partitioned ledger.
+    """Append a batch to the ledger, partitioned by day inside the batch's folder.
 
-    The batch id is part of the partitioning and partitions are overwritten
-    one by one, so repeating a batch leaves the same rows.  The rows of a day
-    are spread over several tasks by a hash of the key, because one day may
-    hold most of a batch.
+    A batch owns its folder, so repeating it replaces what it wrote.  Rows are
+    rebalanced by day: small days share a task, and a day that holds most of a
+    batch is split over several.
     """
-    key = spec.columns[0].name
-    salt = F.pmod(F.xxhash64(key), F.lit(rows.sparkSession.sparkContext.defaultParallelism))
     (
         rows.withColumn("change_date", F.to_date(spec.partition_by))
-        .withColumn("batch_id", F.lit(batch_id))
-        .repartition("change_date", salt)
+        .hint("rebalance", "change_date")
         .sortWithinPartitions("change_date", *spec.cluster_by)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("change_date", "batch_id")
-        .parquet(path)
+        .partitionBy("change_date")
+        .parquet(f"{path}/batch_id={batch_id}")
     )
 
 

@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     return register
 
 
-MODULES = ("ingest", "churn", "history", "retention", "offers")
+MODULES = ("ingest", "churn", "history", "retention", "offers", "operations")
 
 
 def load_all() -> None:
