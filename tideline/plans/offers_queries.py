@@ -8,6 +8,8 @@ from tideline.operators import offers as of
 from tideline.operators import sessions as ss
 from tideline.plans.fixtures import NOW
 from tideline.plans.registry import query
+from tideline.session import work_dir
+from tideline.streaming.keyed_state import assign_logins_stream
 
 _NOW = f"timestamp '{NOW}'"
 
@@ -209,3 +211,27 @@ SELECT session_id, agent_processing_status, CASE WHEN offer_id IS NOT NULL THEN
 FROM ({_FINISHED}) q WHERE agent_processing_status <> 'PROCESSING'""")
 def session_outcome(t):
     return ss.session_outcome(t.sql(_FINISHED)).select("session_id", "agent_processing_status", "outcome")
+
+
+def run_to_parquet(t, stream, label: str):
+    """Run a stream over everything available and read what it wrote."""
+    out = work_dir(t.spark, f"{label}-out")
+    running = (
+        stream.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", work_dir(t.spark, f"{label}-checkpoint"))
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("stream_assign_logins", _replay_sql(21600))
+def stream_assign_logins(t):
+    """Logins arrive as files in time order and are replayed with keyed state."""
+    source = work_dir(t.spark, "logins")
+    logins = t.fx_logins.select("session_id", "customer_id", "login_timestamp")
+    middle = F.lit("2001-07-16 00:00:00").cast("timestamp")
+    logins.where(F.col("login_timestamp") < middle).coalesce(1).write.parquet(source)
+    logins.where(F.col("login_timestamp") >= middle).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(logins.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return run_to_parquet(t, assign_logins_stream(stream, 21600), "logins")

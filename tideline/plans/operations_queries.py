@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tideline.operators import operations as op
 from tideline.plans.fixtures import NOW
+from tideline.plans.offers_queries import run_to_parquet
 from tideline.plans.registry import query
 from tideline.plans.retention_queries import TRACES_SQL, merged_traces
+from tideline.session import work_dir
+from tideline.streaming.keyed_state import new_revisions_stream
 
 _IDS = ["cust_0000000001", "cust_0000000002"]
 _IN_IDS = "('cust_0000000001', 'cust_0000000002')"
@@ -174,3 +177,15 @@ SELECT *, CASE WHEN expect_offer IS NULL THEN 'NO_EXPECTATION' WHEN expect_offer
 def verify_outcomes(t):
     fresh = t.fx_offers.where("created_at >= timestamp'2001-01-01 00:00:00'")
     return op.verify_outcomes(t.sql(_EXPECTED), t.sql(_CHECKED), fresh)
+
+
+@query("stream_new_revisions", _REVISIONS.replace("id, update_time FROM y", "id, cast(update_time AS varchar) AS update_time FROM y"))
+def stream_new_revisions(t):
+    """Deliveries arrive as files in order and are reduced with keyed state."""
+    source = work_dir(t.spark, "deliveries")
+    deliveries = t.sql(_DELIVERIES)
+    early = F.col("arrival") < 5000
+    deliveries.where(early).coalesce(1).write.parquet(source)
+    deliveries.where(~early).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(deliveries.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return run_to_parquet(t, new_revisions_stream(stream), "deliveries")
