@@ -31,7 +31,7 @@ def use_state_store(spark: SparkSession) -> None:
 class _LoginReuse(StatefulProcessor):
     """Keeps the start and the id of each customer's open session."""
 
-    def __init__(self, age_us: int, ttl_ms: int):
+    def __init__(self, age_us: int, ttl_ms: int | None):
         self._age_us = age_us
         self._ttl_ms = ttl_ms
 
@@ -58,21 +58,24 @@ class _LoginReuse(StatefulProcessor):
 
 
 def assign_logins_stream(
-    logins: DataFrame, max_age_seconds: float = REUSE_SECONDS, state_ttl_seconds: int = 86_400
+    logins: DataFrame, max_age_seconds: float = REUSE_SECONDS, state_ttl_seconds: int | None = None
 ) -> DataFrame:
     """Streaming replay of logins: the session each one belongs to.
 
     Rows of one micro-batch are handled in time order; a login that arrives
-    after a later one joins the session that is open then.  State of customers
-    that stay away longer than the time to live is dropped.
+    after a later one joins the session that is open then.  With a time to live
+    the state of customers that stay away is dropped; such a query runs on
+    processing time and does not end by itself.
     """
     use_state_store(logins.sparkSession)
     rows = logins.where(
         F.col("customer_id").isNotNull() & F.col("login_timestamp").isNotNull()
     ).select("session_id", "customer_id", F.unix_micros("login_timestamp").alias("at_us"))
-    processor = _LoginReuse(int(max_age_seconds * 1_000_000), state_ttl_seconds * 1000)
+    ttl_ms = state_ttl_seconds * 1000 if state_ttl_seconds else None
+    processor = _LoginReuse(int(max_age_seconds * 1_000_000), ttl_ms)
     assigned = rows.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=_ASSIGNED, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=processor, outputStructType=_ASSIGNED, outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None",
     )
     return assigned.select(
         "session_id", "customer_id", "assigned_session_id",
