@@ -22,7 +22,21 @@ BRANCHES = [
     "nullValue", "booleanValue", "integerValue", "doubleValue", "timestampValue", "stringValue",
     "bytesValue", "referenceValue", "geoPointValue", "arrayValue", "mapValue",
 ]
-LEAF = T.StructType([T.StructField(b, T.StringType()) for b in BRANCHES])
+_SCALAR_BRANCHES = ["booleanValue", "integerValue", "doubleValue", "stringValue", "referenceValue"]
+# The branches that matter to a column type; the others are not even parsed.
+_READ_BRANCHES = {
+    "FLOAT64": _SCALAR_BRANCHES,
+    "INT64": _SCALAR_BRANCHES + ["timestampValue"],
+    "TIMESTAMP": _SCALAR_BRANCHES + ["timestampValue"],
+    "BOOL": BRANCHES[1:],
+    "STRING": BRANCHES[1:],
+    "JSON": BRANCHES[1:],
+}
+
+
+def value_schema(kind: str) -> T.StructType:
+    """JSON schema of one typed value that goes into a column of this type."""
+    return T.StructType([T.StructField(b, T.StringType()) for b in _READ_BRANCHES[kind]])
 
 _TRUE_WORDS = ["true", "1", "yes", "y"]
 # A number larger than this is a count of microseconds, a smaller one of seconds.

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from tideline.functions.scalars import (
     as_col, change_sequence, change_sequence_hex, null_if_empty, parse_instant,
 )
-from tideline.functions.values import LEAF, coerce_column, decode_document
+from tideline.functions.values import coerce_column, decode_document, value_schema
 from tideline.sources import snapshots, specs
-from tideline.sources.specs import ROUTES, TableSpec
+from tideline.sources.specs import ROUTES, ColumnSpec, TableSpec
 
 # Event types and the operations they stand for.
 OPERATIONS = {
@@ -61,37 +61,34 @@ def quarantine_malformed(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- decoding ------------------------------------------------------------------
 
 
-def fields_schema(tables: Iterable[TableSpec], extra_paths: Iterable[str] = ()) -> T.StructType:
-    """JSON schema of just the document fields the tables need.
+def fields_schema(columns: Iterable[ColumnSpec]) -> T.StructType:
+    """JSON schema of just the document fields that columns are taken from.
 
     Paths have at most two steps; a section is read through its map value.
     """
-    sections: dict[str, list[str]] = {}
-    for path in [c.source for t in tables for c in t.columns if not c.derived] + list(extra_paths):
-        head, _, tail = path.partition(".")
-        inner = sections.setdefault(head, [])
-        if tail and tail not in inner:
-            inner.append(tail)
-    out = T.StructType()
-    for head, inner in sections.items():
-        kind: T.DataType = LEAF
-        if inner:
-            nested = T.StructType([T.StructField(i, LEAF) for i in inner])
-            kind = T.StructType([T.StructField("mapValue", T.StructType([T.StructField("fields", nested)]))])
-        out.add(head, kind)
-    return out
-
-
-def body_schema(fields: T.StructType) -> T.StructType:
-    document = T.StructType(
-        [
-            T.StructField("name", T.StringType()),
-            T.StructField("createTime", T.StringType()),
-            T.StructField("updateTime", T.StringType()),
-            T.StructField("fields", fields),
-        ]
-    )
-    mask = T.StructType([T.StructField("fieldPaths", T.ArrayType(T.StringType()))])
+    sections: dict[str, T.StructType] = {}
+    out: dict[str, T.DataType] = {}
+    for column in columns:
+        if column.derived:
+            continue
+        head, _, tail = column.source.partition(".")
+        leaf = value_schema(column.kind)
+        if tail:
+            inner = sections.setdefault(head, T.StructType())
+            if tail not in inner.names:
+                inner.add(tail, leaf)
+            fields = T.StructType([T.StructField("fields", inner)])
+            out[head] = T.StructType([T.StructField("mapValue", fields)])
+        else:
+            out.setdefault(head, leaf)
+    return T.StructType([T.StructField(name, kind) for name, kind in out.items()])
+
+
+def _body_schema() -> T.StructType:
+    """The body with its documents left as text: only one side is parsed, later."""
+    text = T.StringType()
+    document = T.StructType([T.StructField(n, text) for n in ("name", "createTime", "updateTime", "fields")])
+    mask = T.StructType([T.StructField("fieldPaths", T.ArrayType(text))])
     return T.StructType(
         [
             T.StructField("value", document),
@@ -101,10 +98,16 @@ def body_schema(fields: T.StructType) -> T.StructType:
     )
 
 
-def document_field(path: str, document: str = "document") -> Column:
-    """The typed value at a dotted path; a broken path gives NULL."""
+def _path_in(root: Column, path: str) -> Column:
     head, _, tail = path.partition(".")
-    return F.col(f"{document}.{head}.mapValue.fields.{tail}" if tail else f"{document}.{head}")
+    return root[head]["mapValue"]["fields"][tail] if tail else root[head]
+
+
+def document_value(path: str, kind: str = specs.STRING) -> Column:
+    """One field of the change's document, cast; a broken path gives NULL."""
+    schema = fields_schema([ColumnSpec("value", kind, path)])
+    parsed = F.from_json("document_text", schema, _STRICT_JSON)
+    return coerce_column(_path_in(parsed, path), kind)
 
 
 def resolve_operation(event_type: Column | str, has_value: Column, has_old: Column) -> Column:
@@ -151,21 +154,16 @@ def _present(document: Column) -> Column:
 
 
 def decode_events(
-    envelopes: DataFrame,
-    tables: Iterable[TableSpec] | None = None,
-    received_at: Column | str | None = None,
-    extra_paths: Iterable[str] = (),
-    with_raw: bool = True,
+    envelopes: DataFrame, received_at: Column | str | None = None, with_raw: bool = True
 ) -> DataFrame:
-    """Envelopes to change rows, one JSON parse each.
+    """Envelopes to change rows.
 
-    ``document`` holds the effective document (the old one for deletes) as
-    typed values; ``document_json`` is its plain JSON text.
+    ``document_text`` is the effective document (the old one for deletes) as
+    JSON text of typed values; ``document_json`` is its plain form.
     """
-    fields = fields_schema(list(tables) if tables is not None else all_specs(), extra_paths)
     # Generated rather than projected: a filter on what was decoded is then not
     # pushed below the parse, which would repeat the parse for every column used.
-    body = F.from_json("body", body_schema(fields), _STRICT_JSON)
+    body = F.from_json("body", _body_schema(), _STRICT_JSON)
     parsed = envelopes.select("*", F.inline(F.array(body)).alias("_value", "_old", "_mask"))
     value, old = F.col("_value"), F.col("_old")
     has_value, has_old = _present(value), _present(old)
@@ -181,18 +179,16 @@ def decode_events(
             "change_timestamp",
             resolve_commit_time(value["updateTime"], old["updateTime"], event_time, now),
         )
-        .withColumn("document", F.when(deleted, old["fields"]).otherwise(value["fields"]))
+        .withColumn("document_text", F.when(deleted, old["fields"]).otherwise(value["fields"]))
         .withColumn("updated_fields", F.coalesce("_mask.fieldPaths", F.array().cast("array<string>")))
         .withColumn("sequence", change_sequence("change_timestamp"))
         .withColumn("sequence_hex", change_sequence_hex("change_timestamp"))
         .withColumn("is_delete", deleted)
+        .drop("body", "_value", "_old", "_mask")
     )
     if with_raw:
-        side = F.when(deleted, F.get_json_object("body", "$.oldValue.fields")).otherwise(
-            F.get_json_object("body", "$.value.fields")
-        )
-        decoded = decoded.withColumn("document_json", decode_document(side))
-    return decoded.drop("_value", "_old", "_mask")
+        decoded = decoded.withColumn("document_json", decode_document("document_text"))
+    return decoded
 
 
 # --- routing and projecting ------------------------------------------------------
@@ -231,12 +227,18 @@ _DERIVED = {
 
 
 def extract_columns(changes: DataFrame, spec: TableSpec, *extra: str) -> DataFrame:
-    """Project changes into a table's columns, cast to their types."""
+    """Project changes into a table's columns, cast to their types.
+
+    The document is parsed once, with a schema of only this table's fields.
+    """
+    document = F.from_json("document_text", fields_schema(spec.columns), _STRICT_JSON)
+    parsed = changes.select("*", F.inline(F.array(F.struct(document.alias("_document")))))
     columns = [
-        F.col(_DERIVED[c.source]) if c.derived else coerce_column(document_field(c.source), c.kind)
+        F.col(_DERIVED[c.source]) if c.derived
+        else coerce_column(_path_in(F.col("_document"), c.source), c.kind)
         for c in spec.columns
     ]
-    return changes.select(*[col.alias(c.name) for col, c in zip(columns, spec.columns)], *extra)
+    return parsed.select(*[col.alias(c.name) for col, c in zip(columns, spec.columns)], *extra)
 
 
 # --- ledger ------------------------------------------------------------------------
@@ -398,7 +400,7 @@ def order_trace(
         F.concat(F.lit("order_"), F.col("document_id")).alias("trace_id"),
         F.lit("ORDER").alias("kind"),
         F.col("document_id").alias("order_id"),
-        coerce_column(document_field("customerId"), "STRING").alias("customer_id"),
+        document_value("customerId").alias("customer_id"),
         "event_id",
         F.col("event_at").alias("event_time"),
         received.alias("received_at"),

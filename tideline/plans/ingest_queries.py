@@ -264,10 +264,9 @@ def resolve_commit_time(t):
 
 @query("effective_document", f"WITH {_EVENTS} SELECT event_id, order_id AS document_id, st AS order_status, customer_id FROM ev")
 def effective_document(t):
-    value = ingest.document_field
     return _decoded(t).where(_FROM_ORDERS).select(
-        "event_id", "document_id", coerce_column(value("orderStatus"), "STRING").alias("order_status"),
-        coerce_column(value("customerId"), "STRING").alias("customer_id"),
+        "event_id", "document_id", ingest.document_value("orderStatus").alias("order_status"),
+        ingest.document_value("customerId").alias("customer_id"),
     )
 
 
@@ -382,7 +381,7 @@ _CUSTOMER_NAMES = [
 
 @query("customers_current", _CUSTOMER_SQL)
 def customers_current(t):
-    changes = ingest.decode_events(customer_envelopes(t), [specs.CUSTOMERS_CURRENT], received_at=NOW, with_raw=False)
+    changes = ingest.decode_events(customer_envelopes(t), received_at=NOW, with_raw=False)
     return ingest.upsert_current(changes, specs.CUSTOMERS_CURRENT).select(*_CUSTOMER_NAMES)
 
 
