@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -38,6 +39,11 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
+    # The helper process that a keyed stream starts beside the driver gets no
+    # added files; it finds the package by its path.
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH"), str(package.parent)) if p]
+    env["PYTHONPATH"] = os.pathsep.join(paths)
     _SHIPPED.add(app)
 
 
