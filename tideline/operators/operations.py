@@ -15,7 +15,6 @@ from tideline.operators.skew import HOT_MIN_ROWS, MAX_HOT_KEYS, bucketed_lag, sp
 
 RECENT_LIMIT = 10
 APP_ORDERS_LIMIT = 25
-HOPS = ["client", "firestore", "eventarc", "bridge", "agent", "offer", "bigquery"]
 
 
 # --- purges -------------------------------------------------------------------
