@@ -3,7 +3,7 @@
 A text is a bag of hashed features: its words, its pairs of neighbouring words (equal
 neighbours share one feature, so stuttering is seen whatever the word) and its
 character n-grams.  Each feature has a learned vector; a text is the average of its
-vectors, and a softmax layer over it gives the classes.  Vectors and layer are
+vectors, each kind weighing alike, and a softmax layer over it gives the classes.  Vectors and layer are
 trained together by mini-batch stochastic gradient descent in numpy, on a bounded
 sample of labelled rows.  With two classes the layer folds into one number per
 feature, which is what scoring tasks receive.
@@ -23,14 +23,15 @@ from tideline.llm import wordhash as wh
 from tideline.llm.common import crc_remainder, documents_columns
 
 BUCKETS_LOG2 = 16
-DIMENSIONS = 8
+DIMENSIONS = 4
 CHAR_GRAMS = (2, 4)
-EPOCHS = 25
+KINDS = 2 + len(CHAR_GRAMS)
+EPOCHS = 8
 BATCH = 32
-RATE = 0.5
+RATE = 3.0
 # Bound of the training sample: rows, taken by hash, and bytes of their texts.
-TRAIN_ROWS = 4000
-TRAIN_BYTES = 24_000_000
+TRAIN_ROWS = 2000
+TRAIN_BYTES = 8_000_000
 
 
 @dataclass
@@ -71,23 +72,25 @@ def _features(texts: wh.Texts) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _mean_logits(texts: wh.Texts, model: Model) -> np.ndarray:
-    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    """Logits of the average over each text's features, every kind weighing alike."""
+    logits = np.full(len(texts), model.bias)
     for features, owner in _features(texts):
-        total += np.bincount(owner, weights=model.weights[features], minlength=len(texts))
-        count += np.bincount(owner, minlength=len(texts))
-    return total / np.maximum(count, 1) + model.bias
+        total = np.bincount(owner, weights=model.weights[features], minlength=len(texts))
+        logits += total / np.maximum(np.bincount(owner, minlength=len(texts)), 1) / KINDS
+    return logits
 
 
 def _sparse_row(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and their shares."""
-    features = []
+    ids, shares = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
     for piece in wh.texts_of(pa.array([text]), chunk_bytes=1 << 40):
-        features.extend(f for f, _ in _features(piece))
-    every = np.concatenate(features) if features else np.zeros(0, dtype=np.int64)
-    if not len(every):
-        return every, np.zeros(0)
-    ids, counts = np.unique(every, return_counts=True)
-    return ids, counts / counts.sum()
+        for features, _ in _features(piece):
+            if len(features):
+                own, counts = np.unique(features, return_counts=True)
+                ids.append(own)
+                shares.append(counts / len(features) / KINDS)
+    every, back = np.unique(np.concatenate(ids), return_inverse=True)
+    return every, np.bincount(back, weights=np.concatenate(shares))
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 17) -> Model:
@@ -100,36 +103,35 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     rows = [_sparse_row(t) for t in texts]
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (n_buckets, DIMENSIONS))
-    layer, bias = np.zeros((DIMENSIONS, 2)), np.log(np.array([1 - share, share]))
+    layer, bias = rng.uniform(-1, 1, (DIMENSIONS, 2)), np.log(np.array([1 - share, share]))
     # Adaptive steps: features seen rarely still move.
-    seen_v, seen_l = np.full(n_buckets, 1e-8), np.full(layer.shape, 1e-8)
+    seen_v, seen_l = np.full(n_buckets, 1e-10), np.full(layer.shape, 1e-10)
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = order[at:at + BATCH]
             ids = np.concatenate([rows[i][0] for i in part])
-            shares = np.concatenate([rows[i][1] for i in part])
-            sizes = [len(rows[i][0]) for i in part]
-            owner = np.repeat(np.arange(len(part)), sizes)
-            mean = np.zeros((len(part), DIMENSIONS))
-            np.add.at(mean, owner, vectors[ids] * shares[:, None])
+            shares = np.concatenate([rows[i][1] for i in part])[:, None]
+            sizes = np.array([len(rows[i][0]) for i in part])
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            mean = np.add.reduceat(vectors[ids] * shares, first)
             logits = mean @ layer + bias
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), labels[part]] -= 1
             p /= len(part)
             step_layer, step_mean = mean.T @ p, p @ layer.T
+            step = np.repeat(step_mean, sizes, axis=0) * shares
+            by_id = np.argsort(ids, kind="stable")
+            sorted_ids = ids[by_id]
+            starts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+            unique, summed = sorted_ids[starts], np.add.reduceat(step[by_id], starts)
+            seen_v[unique] += (summed ** 2).mean(axis=1)
+            vectors[unique] -= rate * summed / np.sqrt(seen_v[unique])[:, None]
             seen_l += step_layer ** 2
-            layer -= rate * step_layer / np.sqrt(seen_l)
+            layer -= 0.1 * rate * step_layer / np.sqrt(seen_l)
             bias -= 0.1 * rate * p.sum(axis=0)
-            step = step_mean[owner] * shares[:, None]
-            unique, back = np.unique(ids, return_inverse=True)
-            summed = np.zeros((len(unique), DIMENSIONS))
-            np.add.at(summed, back, step)
-            seen_v[unique] += (summed ** 2).mean(axis=1)
-            vectors[unique] -= rate * 0.2 * summed / np.sqrt(seen_v[unique])[:, None]
     fold = layer[:, 1] - layer[:, 0]
     return Model(vectors @ fold, float(bias[1] - bias[0]))
 
