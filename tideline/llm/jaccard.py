@@ -35,17 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import wordhash as wh
-from tideline.llm.common import documents_columns, stored
+from tideline.llm.common import documents_columns, output_schema, stored
 from tideline.llm.components import connected_components
 
 SHINGLE_WORDS = 5
 LINK_PERCENT = 80  # linked: 100 * intersection >= LINK_PERCENT * union
 
-# Windows found in at least so many sets are moved to the end of the order.  This
-# changes how much work there is, never which pairs are found.
-HOT_WINDOW_SETS = 8
-# At most so many windows are kept as hot (24 bytes each), the most frequent first.
-HOT_WINDOWS = 500_000
+# Windows found in several sets stand later in the order, by how many.  At most so
+# many of them are known to every task (20 bytes each), the most frequent first; the
+# others count as rare.  This changes how much work there is, never what is found.
+KNOWN_WINDOWS = 1_000_000
+# A window of at least so many sets gets its pivot from the count, so that its rows
+# need not meet in one task.
+HOT_WINDOW_SETS = 20_000
 # Share of a set's first windows that is counted, as a multiple of what is joined on.
 COUNTED_SHARE = 1.4
 # Regions up to this many sets and windows (8 bytes each) recurse inside one task.
@@ -76,7 +78,7 @@ def _classes(texts, size):
 
 
 def _set_rows(size: int):
-    """Per document: its number of windows and its class."""
+    """Per document: its number of windows and its class, beside all columns but the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +87,10 @@ def _set_rows(size: int):
                 for found in _classes(texts, size):
                     counts.append(len(found[1]) if found else 0)
                     classes.append(found[0] if found else None)
+            names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(classes, pa.int64())],
-                names=["doc_id", "n_shingles", "class"],
+                [*(batch.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(classes, pa.int64())],
+                names=[*names, "n_shingles", "class"],
             )
 
     return run
@@ -123,12 +126,13 @@ def _ordered_prefixes(size: int, percent: int, hot):
     """The joined-on windows of each class of this task, once; hot ones with their pivot.
 
     ``place`` holds the set's size (upper half) and the window's place in its order.
-    ``hot`` broadcasts the hot windows (sorted) and a pivot class of each.  Rows
-    of a hot window need no meeting, so they are dealt out by their class.
+    ``hot`` broadcasts the known windows (sorted), their counts, and for hot ones a
+    pivot class (else 0).  Rows of a hot window need no meeting, so they are dealt
+    out by their class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, pivots = hot.value
+        windows, counts, pivots = hot.value
         seen: set[int] = set()
         for batch in batches:
             for texts in wh.texts_of(batch.column("text")):
@@ -139,24 +143,27 @@ def _ordered_prefixes(size: int, percent: int, hot):
                     seen.add(found[0])
                     values = found[1]
                     k = prefix_length(len(values), percent)
+                    known = np.zeros(0, dtype=bool)
                     if len(windows):
                         at = np.minimum(np.searchsorted(windows, values), len(windows) - 1)
-                        is_hot = windows[at] == values
+                        known = windows[at] == values
+                    if known.any():
+                        often = np.where(known, counts[at], 1)
+                        order = np.lexsort((values, often))[:k]
+                        first, chosen = values[order], np.where(known[order], pivots[at[order]], 0)
                     else:
-                        is_hot = np.zeros(len(values), dtype=bool)
-                    cold = values[~is_hot][:k]
-                    dealt.append(_signed(cold))
-                    owners.append(np.full(len(cold), found[0], dtype=np.int64))
-                    places.append((len(values) << 32) + np.arange(len(cold), dtype=np.int64))
-                    pivot_of.append(np.zeros(len(cold), dtype=np.int64))
-                    if len(cold) < k:
-                        chosen = wh.distinct(pivots[at[is_hot][: k - len(cold)]])
-                        chosen = chosen[chosen != found[0]]
-                        same = np.full(len(chosen), found[0], dtype=np.int64)
-                        dealt.append(same)
-                        owners.append(same)
-                        places.append(same)
-                        pivot_of.append(chosen)
+                        first, chosen = values[:k], np.zeros(k, dtype=np.int64)
+                    place = (len(values) << 32) + np.arange(k, dtype=np.int64)
+                    meet = chosen == 0
+                    dealt.append(_signed(first)[meet])
+                    places.append(place[meet])
+                    given = np.unique(chosen[~meet])
+                    given = given[given != found[0]]
+                    same = np.full(len(given), found[0], dtype=np.int64)
+                    dealt.append(same)
+                    places.append(same)
+                    pivot_of.extend([np.zeros(int(meet.sum()), dtype=np.int64), given])
+                    owners.append(np.full(int(meet.sum()) + len(given), found[0], dtype=np.int64))
                 if owners:
                     pivot = np.concatenate(pivot_of)
                     yield pa.RecordBatch.from_arrays(
@@ -266,9 +273,9 @@ def _marked(marks: np.ndarray, value: int) -> bool:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of intersection and union of each row's two sets."""
+    """Size of each row's set, and of its intersection and union with the pivot's."""
     for batch in batches:
-        both, either = [], []
+        sizes, both, either = [], [], []
         pivot_bytes, pivot_set = None, None
         for mine, other in zip(batch.column("windows"), batch.column("pivot_windows"), strict=True):
             raw = other.as_py()
@@ -276,12 +283,13 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pivot_bytes, pivot_set = raw, np.frombuffer(raw, dtype=np.uint64)
             a = np.frombuffer(mine.as_py(), dtype=np.uint64)
             common = _common(a, pivot_set)
+            sizes.append(len(a))
             both.append(common)
             either.append(len(a) + len(pivot_set) - common)
         names = [n for n in batch.schema.names if n not in ("windows", "pivot_windows")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in names), pa.array(both, pa.int64()), pa.array(either, pa.int64())],
-            names=[*names, "both", "either"],
+            [*(batch.column(n) for n in names), *(pa.array(x, pa.int64()) for x in (sizes, both, either))],
+            names=[*names, "size", "both", "either"],
         )
 
 
@@ -412,28 +420,29 @@ def _split_regions(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     )
 
 
-def _hot_windows(docs: DataFrame, size: int, percent: int):
-    """Most frequent windows with a pivot class, broadcast; at most HOT_WINDOWS of them."""
+def _known_windows(docs: DataFrame, size: int, percent: int):
+    """The most frequent windows with their counts, broadcast; at most KNOWN_WINDOWS of them."""
     spark = docs.sparkSession
     counted = (
         docs.mapInArrow(_hash_prefixes(size, percent, COUNTED_SHARE), "window long, class long")
         .groupBy("window").agg(F.count("*").alias("n"), F.min("class").alias("pivot"))
-        .where(F.col("n") >= HOT_WINDOW_SETS)
+        .where("n > 1")
     )
-    counted = stored(counted, "jaccard-hot")
-    steps = counted.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("step")).count()
+    counted = stored(counted, "jaccard-known")
+    step = F.floor(F.log2("n") * 4).cast("int")
     least, total = None, 0
-    for row in sorted(steps.collect(), key=lambda r: -r["step"]):  # at most 256 steps
+    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # at most 256 steps
         total += row["count"]
-        if total > HOT_WINDOWS:
+        if total > KNOWN_WINDOWS:
             break
         least = row["step"]
-    kept = counted.where(F.lit(False)) if least is None else counted.where(F.floor(F.log2("n") * 4) >= least)
-    rows = kept.select("window", "pivot").toArrow()
+    kept = counted.where(F.lit(False)) if least is None else counted.where(step >= least)
+    pivot = F.when(F.col("n") >= HOT_WINDOW_SETS, F.col("pivot")).otherwise(0)
+    rows = kept.select("window", F.least("n", F.lit(1 << 30)).cast("int").alias("n"), pivot.alias("pivot")).toArrow()
     window = rows.column("window").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(window)
-    pivot = rows.column("pivot").to_numpy().astype(np.int64)
-    return spark.sparkContext.broadcast((window[order], pivot[order]))
+    known = (window[order], *(rows.column(c).to_numpy()[order] for c in ("n", "pivot")))
+    return spark.sparkContext.broadcast(known)
 
 
 def _candidate_filter(pairs: DataFrame):
@@ -459,21 +468,22 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.join(sets, "class").join(of_pivot, "pivot")
     names = [*pairs.columns]
     kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", both long, either long"
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", size long, both long, either long"
     return joined.select(*names, "windows", "pivot_windows").mapInArrow(_distances, schema)
 
 
-def set_links(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = LINK_PERCENT) -> tuple[DataFrame, DataFrame]:
+def set_links(docs: DataFrame, keys: list[str], size: int = SHINGLE_WORDS,
+              percent: int = LINK_PERCENT) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and links between classes.
 
-    Returns (doc_id, n_shingles, class) per row, and (a, b) links that connect
+    Returns keys, n_shingles and class per row, and (a, b) links that connect
     the same classes as all pairs at or above the threshold do.
     """
     spark = docs.sparkSession
-    docs = documents_columns(docs, ["doc_id", "text"])
-    rows = stored(docs.mapInArrow(_set_rows(size), "doc_id long, n_shingles long, class long"), "jaccard-rows")
+    docs = documents_columns(docs, [*keys, "text"])
+    rows = stored(docs.mapInArrow(_set_rows(size), output_schema(docs, keys, "n_shingles long, class long")), "jaccard-rows")
     text = docs.select("text")
-    hot = _hot_windows(text, size, percent)
+    hot = _known_windows(text, size, percent)
 
     prefixes = text.mapInArrow(_ordered_prefixes(size, percent, hot), "window long, class long, place long, pivot long")
     # A place sorts by the set's size first.
@@ -496,16 +506,15 @@ def set_links(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = LINK_PE
         inside = 100 * F.col("both") >= percent * F.col("either")
         distance = 1 - F.col("both") / F.col("either")
         links.append(measured.where(inside).select(F.col("class").alias("a"), F.col("pivot").alias("b")))
-        regions = measured.select(F.xxhash64("region", "pivot").alias("region"), "class", "both", "either")
+        regions = measured.select(F.xxhash64("region", "pivot").alias("region"), "class", "size", "both", "either")
         edge = regions.where(~inside).groupBy("region").agg(
             (F.min(distance) - (100 - percent) / 100 - 1e-9).alias("least"))
         left = stored(
             regions.join(edge, "region").where(~inside | (distance >= F.col("least")))
-            .select("region", "class").join(sets, "class").select("region", "class", F.octet_length("windows").alias("bytes")),
-            "jaccard-left")
-        sizes = left.groupBy("region").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes")).where("members > 1")
-        small = (F.col("members") <= REGION_SETS) & (F.col("bytes") <= 8 * REGION_WINDOWS)
-        sized = left.drop("bytes").join(sizes, "region")
+            .select("region", "class", "size"), "jaccard-left")
+        sizes = left.groupBy("region").agg(F.count("*").alias("members"), F.sum("size").alias("total")).where("members > 1")
+        small = (F.col("members") <= REGION_SETS) & (F.col("total") <= REGION_WINDOWS)
+        sized = left.drop("size").join(sizes, "region")
         # As many tasks as any shuffle has: regions are few bytes and much work.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         inner = sized.where(small).join(sets, "class").select("region", "class", "windows").repartition(tasks, "region")
@@ -531,14 +540,39 @@ def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE_WORDS, percent:
     never names a component unless all ids of it are null.  An empty table gives
     no rows, and other columns are ignored.
     """
-    rows, links = set_links(docs, size, percent)
-    components = connected_components(links).withColumnRenamed("node", "class")
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = classes.join(components, "class", "left").select(
-        "class", "least", F.coalesce("component", "class").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(smallest, "component").select("class", "component_id"), "jaccard-classes")
-    return rows.join(named, "class", "left").select(
+    rows, links = set_links(docs, ["doc_id"], size, percent)
+    named = _components(rows, links)
+    smallest = stored(
+        named.groupBy("component").agg(F.min("least").alias("component_id"))
+        .join(named, "component").select("class", "component_id"), "jaccard-classes")
+    return rows.join(smallest, "class", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def _components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, least, component): each class with its smallest doc_id."""
+    components = connected_components(links).withColumnRenamed("node", "class")
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return stored(classes.join(components, "class", "left").select(
+        "class", "least", F.coalesce("component", "class").alias("component")), "jaccard-components")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = LINK_PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, then text hash.
+
+    Repeated rows leave one.  Rows without words are in no component and all stay.
+    """
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    rows, links = set_links(marked, ["doc_id", "_text_hash"], size, percent)
+    named = _components(rows, links).select("class", "component")
+    # Null ids come last, so that they stay only where a component has no other.
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text_hash")
+    first = rows.join(named, "class").groupBy("component").agg(F.min(order).alias("first"))
+    kept = stored(first.select(F.col("first.doc_id").alias("_id"), F.col("first._text_hash").alias("_hash")).distinct(),
+                  "jaccard-kept")
+    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_hash"] == kept["_hash"])
+    one = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    wordless = marked.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return one.unionByName(wordless).drop("_text_hash")
