@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.session import configure, work_dir
 
@@ -42,6 +43,11 @@ def documents_columns(docs: DataFrame, columns: Iterable[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{name}`") for name in columns])
 
 
+def output_schema(rows: DataFrame, keys: Iterable[str], added: str) -> T.StructType:
+    """Fields ``keys`` of ``rows``, whatever their names and types, then those of ``added``."""
+    return T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(added).fields])
+
+
 def crc_remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus``; a null key counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import wordhash as wh
-from tideline.llm.common import documents_columns
+from tideline.llm.common import documents_columns, output_schema
 
 WINDOW_WORDS = 10
 
@@ -135,7 +135,7 @@ def _hits(lookup):
     return run
 
 
-_SPAN = "array<struct<start:long,end:long>>"
+_SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
 def _union_spans(column: str):
@@ -176,9 +176,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], size:
     )
     total = windows.count()
     rounds = max(1, -(-total // broadcast_windows))
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_words long", f"word_spans {_SPAN}",
-                        f"char_spans {_SPAN}", "items array<string>"])
+    schema = output_schema(rows, keys, f"n_words long, word_spans {_SPAN}, char_spans {_SPAN}, items array<string>")
     found = []
     for i in range(rounds):
         part = windows.where(F.pmod(F.xxhash64("spelled"), F.lit(rounds)) == i)
@@ -207,19 +205,18 @@ def digest(hits: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, keys: list[str], max_share: float = 0.5,
-                 size: int = WINDOW_WORDS) -> DataFrame:
-    """``docs`` without benchmark passages.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, size: int = WINDOW_WORDS) -> DataFrame:
+    """``docs`` without benchmark passages, with the same columns.
 
-    A text loses its hit spans; a document of whose words more than ``max_share`` are
-    hit goes.  Where only ``keys``, text and n_chars are wanted this needs no join: the
-    other columns travel through as one struct.
+    A text loses its hit spans, and n_chars follows; a document of whose words more
+    than ``max_share`` are hit goes.  Texts without a hit, null texts among them, stay
+    as they are.  The other columns travel through as one struct, so no join brings
+    them back.
     """
     others = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), "text",
-                         F.col("text").alias("_text"))
-    hits = benchmark_hits(packed.withColumn("_key", F.struct("_row", "_text")).select("_key", "text"),
-                          benchmark, ["_key"], size)
+    packed = docs.select("text", F.struct(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"),
+                                          F.col("text").alias("_text")).alias("_key"))
+    hits = benchmark_hits(packed, benchmark, ["_key"], size)
     text = F.col("_key._text")
     ends = F.transform("char_spans", lambda s: s["end"])
     starts = F.concat(F.transform("char_spans", lambda s: s["start"]), F.array(F.length(text).cast("long")))

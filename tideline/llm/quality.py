@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import wordhash as wh
-from tideline.llm.common import crc_remainder, documents_columns
+from tideline.llm.common import crc_remainder, documents_columns, output_schema
 
 BUCKETS_LOG2 = 16
 DIMENSIONS = 4
@@ -160,11 +160,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
     return out
 
 
+def _scores(column, model: Model) -> np.ndarray:
+    logits = [_mean_logits(t, model) for t in wh.texts_of(column, 1 << 19)]
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(logits) if logits else np.zeros(0), -30, 30)))
+
+
+def _accept(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text"), model.value) >= 0.5))
+
+    return run
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = [_mean_logits(t, model.value) for t in wh.texts_of(batch.column("text"), 1 << 19)]
-            score = 1 / (1 + np.exp(-np.clip(np.concatenate(logits) if logits else np.zeros(0), -30, 30)))
+            score = _scores(batch.column("text"), model.value)
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score, pa.float64())],
                                              names=[*names, "score"])
@@ -185,9 +197,8 @@ def scored(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     repeated rows score alike; other columns than keys and text are not read.
     """
     rows = documents_columns(docs, [*keys, "text"])
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "score double"])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)),
+                           output_schema(rows, keys, "score double"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,3 +210,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels, "quality", ~held_out)
     return scored(docs, model, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, that ``score_documents`` gives class 1."""
+    model = fit(docs, labels, "quality", crc_remainder("doc_id", 3) != 1)
+    return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)

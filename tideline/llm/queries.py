@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, common, decontaminate, jaccard, mixing, quality, topk, toxicity
+from tideline.llm import (
+    chat, common, decontaminate, jaccard, licenses, mainhtml, mixing, quality, topk, toxicity, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +67,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+@_query("op3_warc_derivatives")
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion and metadata records of every page."""
+    responses = warc.responses_of(common.table(spark, sf_dir, "pages"))
+    return warc.digest(warc.derivatives(responses, ["page_id"]))
+
+
 @_query("op4_mixing", sql=mixing.poisson_sql(MIX_SEED, MIX_WEIGHTS, MIX_OTHER))
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of the mixture, in its global order."""
@@ -74,6 +83,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("shuffle_key", 9).alias("shuffle_key"))
 
 
+@_query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 @_query("op6_topk_search", sql="""
 WITH v AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
@@ -131,6 +146,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+@_query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = mainhtml.extract(common.table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @_query("op10_jaccard_join", sql=r"""
 WITH RECURSIVE word_lists AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

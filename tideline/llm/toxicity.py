@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import crc_remainder, documents_columns
+from tideline.llm.common import crc_remainder, documents_columns, output_schema
 from tideline.llm.quality import training_rows
 
 # Words of each transducer in English, German, French and Spanish.
@@ -141,9 +141,10 @@ class Reader:
                 out[arc] += weight
         return out
 
-    def score(self, text: str) -> float:
+    def weigh(self, counts: Counter) -> float:
+        """Score of a text from the weights that its arcs carried."""
         total = self.grammar.bias
-        for arc, amount in self.counts(text).items():
+        for arc, amount in counts.items():
             total += self.grammar.arcs.get(arc, 0.0) * min(amount, 20.0)
         return 1 / (1 + float(np.exp(-np.clip(total, -30, 30))))
 
@@ -231,19 +232,24 @@ def _reader(grammar) -> Reader:
     return _READERS[key]
 
 
+def _accept(grammar):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(grammar)
+        for batch in batches:
+            clean = [reader.weigh(reader.counts(v.as_py() or "")) < 0.5 for v in batch.column("text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def _score(grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(grammar)
         for batch in batches:
             scores, matched = [], []
             for value in batch.column("text"):
-                text = value.as_py() or ""
-                total, arcs_met = reader.grammar.bias, 0
-                counts = reader.counts(text)
-                for arc, amount in counts.items():
-                    total += reader.grammar.arcs.get(arc, 0.0) * min(amount, 20.0)
-                    arcs_met += 1
-                scores.append(1 / (1 + float(np.exp(-np.clip(total, -30, 30)))))
+                counts = reader.counts(value.as_py() or "")
+                scores.append(reader.weigh(counts))
                 matched.append(sorted(counts))
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -260,9 +266,8 @@ def scored(docs: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
     other columns than keys and text are not read.
     """
     rows = documents_columns(docs, [*keys, "text"])
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "score double", "arcs array<string>"])
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(grammar)), schema)
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(grammar)),
+                           output_schema(rows, keys, "score double, arcs array<string>"))
 
 
 def matched_clauses(text: str, grammar: Grammar) -> list[dict]:
@@ -280,3 +285,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     grammar = fit(docs, labels, ~held_out)
     return scored(docs, grammar, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, that ``score_documents`` does not call toxic."""
+    grammar = fit(docs, labels, crc_remainder("doc_id", 5) != 0)
+    return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(grammar)), docs.schema)
