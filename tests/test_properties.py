@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import features, history, ingest, sessions, skew
+from tideline.operators import features, history, ingest, operations, sessions, skew
 from tideline.plans import ingest_queries as iq
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY, Tables
 from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
@@ -31,23 +31,35 @@ def one_hot_customer(spark, seed=7, n=3000):
 
 
 def test_history_of_a_hot_customer(spark):
+    """The large customer's metrics do not depend on how rows are dealt out."""
     orders = one_hot_customer(spark)
-    plain = history.order_history(orders)
-    split = history.order_history(orders, hot_min_rows=500)
-    assert rows(plain) == rows(split)
+    assert rows(history.order_history(orders)) == rows(history.order_history(orders.repartition(7, "order_id")))
 
 
-def test_hot_keys_are_few(spark):
-    orders = one_hot_customer(spark)
-    assert [r[0] for r in skew.hot_keys(orders, "customer_id", 500).collect()] == ["c0"]
-    cold, hot = skew.split_hot(orders, "customer_id", 500)
-    assert cold.count() + hot.count() == orders.count() and hot.select("customer_id").distinct().count() == 1
+def test_history_keeps_rows_with_gaps(spark):
+    """Orders without a time, without an id, or given twice all stay."""
+    data = [("a", "c", None, 1, 10.0)] * 8 + [(None, "c", f"2001-01-{d:02d} 00:00:00", 1, 5.0) for d in range(1, 25)]
+    data += [("b", "c", "2001-05-01 00:00:00", 1, 1.0)] * 2
+    orders = spark.createDataFrame(
+        data, "order_id string, customer_id string, created_at string, account_age_days int, grand_total double"
+    ).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    found = history.order_history(orders).collect()
+    assert len(found) == len(data)
+    assert sorted(r.order_sequence for r in found) == list(range(1, len(data) + 1))
+    assert {r.prior_spend_90d for r in found if r.order_id == "a"} == {0.0}
+
+
+def test_revisions_keep_null_keys_and_arrivals(spark):
+    data = [(None, i, f"t{i}") for i in range(30)] + [("k", None, "x")] + [("k", i, f"t{i}") for i in range(10)]
+    deliveries = spark.createDataFrame(data, "id string, arrival long, update_time string")
+    for bucket in (None, F.floor(F.col("arrival") / 3)):
+        assert operations.new_revisions(deliveries, bucket=bucket).count() == len(data)
 
 
 def test_split_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, i) for i in range(50)] + [("a", 1)], "k string, v int")
-    cold, hot = skew.split_hot(df, "k", 10)
-    assert (cold.count(), hot.count()) == (1, 50)
+    small, large = skew.split_large(df, "k", 10)
+    assert (small.count(), large.count()) == (1, 50)
 
 
 def replay(times, age):
@@ -74,7 +86,7 @@ def test_login_replay_against_brute_force(spark):
         mine = [(s, t) for s, c, t in data if c == customer]
         want.update({s: start for (s, _), start in zip(mine, replay([t for _, t in mine], 120))})
     for limit, block in ((10_000, None), (100, 240), (100, 900)):
-        marked = sessions.assign_logins(logins, 120, hot_min_rows=limit, block_seconds=block)
+        marked = sessions.assign_logins(logins, 120, min_rows=limit, block_seconds=block)
         got = {r[0]: r[1] for r in marked.select("session_id", F.unix_seconds("session_started_at")).collect()}
         assert got == want
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import as_col, exact_money
-from tideline.operators.skew import HOT_MIN_ROWS, MAX_HOT_KEYS, split_hot
+from tideline.operators.skew import join_null_safe
 
 DAY_MICROS = 86_400_000_000
 SPEND_WINDOW_DAYS = 90
@@ -29,36 +29,17 @@ def _prepare(orders: DataFrame) -> DataFrame:
     )
 
 
-def _cold_positions(rows: DataFrame) -> DataFrame:
-    """Position and running totals with plain windows, one sort per customer."""
-    sequence = Window.partitionBy("customer_id").orderBy("_at", "order_id")
-    earlier = sequence.rowsBetween(Window.unboundedPreceding, -1)
-    by_time = Window.partitionBy("customer_id").orderBy("_at")
-
-    def older_than(days: int):
-        return by_time.rangeBetween(Window.unboundedPreceding, -days * DAY_MICROS - 1)
-
-    return rows.withColumns(
-        {
-            "_earlier": F.row_number().over(sequence).cast("bigint") - 1,
-            "_earlier_total": F.sum("_total").over(earlier),
-            "_previous_at": F.lag("_at").over(sequence),
-            "_first_at": F.min("_at").over(earlier),
-            "_total_beyond_90d": F.sum("_total").over(older_than(SPEND_WINDOW_DAYS)),
-            "_count_beyond_365d": F.count(F.lit(1)).over(older_than(YEAR_DAYS)),
-        }
-    )
-
-
 def _day_of(micros: Column | str) -> Column:
     return F.floor(as_col(micros) / DAY_MICROS)
 
 
-def _hot_positions(rows: DataFrame) -> DataFrame:
-    """The same columns with every customer split by day.
+def _positions(rows: DataFrame) -> DataFrame:
+    """Position and running totals of each order, with every customer split by day.
 
     Totals older than a moving edge are answered by probe rows placed at the
-    edge (order time minus the window) into the same day-split scan.
+    edge (order time minus the window) into the same day-split scan.  They depend
+    on customer and time alone, so that is what they are joined by, and no row
+    needs an id.  Orders without a time come first and are older than any edge.
     """
     dated = rows.withColumn("_day", _day_of("_at"))
     inside = Window.partitionBy("customer_id", "_day").orderBy("_at", "order_id")
@@ -87,32 +68,36 @@ def _hot_positions(rows: DataFrame) -> DataFrame:
         F.min("_min").over(earlier_days).alias("_off_first"),
     )
     zero = F.lit(0)
-    positions = scanned.join(carried, ["customer_id", "_day"]).select(
+    positions = join_null_safe(scanned, carried, ["customer_id", "_day"]).select(
         *rows.columns,
         (F.col("_in_count") + F.coalesce("_off_count", zero)).alias("_earlier"),
         (F.coalesce("_in_total", zero) + F.coalesce("_off_total", zero)).alias("_earlier_total"),
         F.coalesce("_in_previous", "_off_previous").alias("_previous_at"),
         F.coalesce("_off_first", "_in_first").alias("_first_at"),
     )
-    edges = _totals_before_edges(rows)
-    return positions.join(edges, ["customer_id", "order_id"])
+    beyond = join_null_safe(positions, _totals_before_edges(rows), ["customer_id", "_at"])
+    timeless = F.col("_at").isNull()
+    return beyond.withColumns({
+        "_total_beyond_90d": F.when(timeless, F.col("_earlier_total")).otherwise(F.col("_total_beyond_90d")),
+        "_count_beyond_365d": F.when(timeless, F.col("_earlier")).otherwise(F.col("_count_beyond_365d")),
+    })
 
 
 def _totals_before_edges(rows: DataFrame) -> DataFrame:
-    """Per order: total beyond 90 days and count beyond 365 days."""
+    """Per customer and time: total beyond 90 days and count beyond 365 days."""
     data = rows.select(
         "customer_id", F.col("_at").alias("_t"), F.lit(1).alias("_kind"),
-        F.lit("").alias("order_id"), F.lit(0).alias("_span"),
+        F.lit(None).cast("bigint").alias("_at"), F.lit(0).alias("_span"),
         F.col("_total").alias("_v"), F.lit(1).cast("bigint").alias("_n"),
     )
     nothing = F.lit(0).cast("decimal(18,2)")
-    probes = rows.select(
-        "customer_id", "order_id", "_at",
+    probes = rows.select("customer_id", "_at").distinct().select(
+        "customer_id", "_at",
         F.explode(F.array(F.lit(SPEND_WINDOW_DAYS), F.lit(YEAR_DAYS))).alias("_span"),
     ).select(
         "customer_id", (F.col("_at") - F.col("_span").cast("bigint") * DAY_MICROS).alias("_t"),
         # A probe sorts before the orders of the same instant: strictly older.
-        F.lit(0).alias("_kind"), "order_id", "_span",
+        F.lit(0).alias("_kind"), "_at", "_span",
         nothing.alias("_v"), F.lit(0).cast("bigint").alias("_n"),
     )
     mixed = data.unionByName(probes).withColumn("_day", _day_of("_t"))
@@ -135,12 +120,12 @@ def _totals_before_edges(rows: DataFrame) -> DataFrame:
         F.sum("_dv").over(earlier).alias("_off_v"), F.sum("_dn").over(earlier).alias("_off_n"),
     )
     zero = F.lit(0)
-    answered = scanned.join(carried, ["customer_id", "_day"]).select(
-        "customer_id", "order_id", "_span",
+    answered = join_null_safe(scanned, carried, ["customer_id", "_day"]).select(
+        "customer_id", "_at", "_span",
         (F.col("_in_v") + F.coalesce("_off_v", zero)).alias("_sum"),
         (F.col("_in_n") + F.coalesce("_off_n", zero)).alias("_count"),
     )
-    return answered.groupBy("customer_id", "order_id").agg(
+    return answered.groupBy("customer_id", "_at").agg(
         F.max(F.when(F.col("_span") == SPEND_WINDOW_DAYS, F.col("_sum"))).alias("_total_beyond_90d"),
         F.max(F.when(F.col("_span") == YEAR_DAYS, F.col("_count"))).alias("_count_beyond_365d"),
     )
@@ -174,20 +159,19 @@ def _metrics(positions: DataFrame) -> DataFrame:
     )
 
 
-def order_history(
-    orders: DataFrame, hot_min_rows: int = HOT_MIN_ROWS, max_hot_keys: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """All seven metrics, one row per order."""
-    cold, hot = split_hot(_prepare(orders), "customer_id", hot_min_rows, max_hot_keys)
-    split = _hot_positions(hot)
-    return _metrics(_cold_positions(cold).select(*split.columns).unionByName(split))
+def order_history(orders: DataFrame) -> DataFrame:
+    """All seven metrics, one row per order that has a customer.
+
+    Ties of time go by order id, NULLs first; repeated orders are orders of their own.
+    """
+    return _metrics(_positions(_prepare(orders)))
 
 
-def history_metric(orders: DataFrame, metric: str, **options) -> DataFrame:
+def history_metric(orders: DataFrame, metric: str) -> DataFrame:
     """One of the metrics by name."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; expected one of {', '.join(METRICS)}")
-    return order_history(orders, **options).select("order_id", "customer_id", metric)
+    return order_history(orders).select("order_id", "customer_id", metric)
 
 
 def customer_rollup(orders: DataFrame, now: str) -> DataFrame:

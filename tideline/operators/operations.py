@@ -11,7 +11,7 @@ from tideline.functions.scalars import null_if_empty, parse_instant
 from tideline.operators.pricing import APP_ORDER_PREFIX
 from tideline.operators.retention import at
 from tideline.operators.sessions import TERMINAL
-from tideline.operators.skew import HOT_MIN_ROWS, MAX_HOT_KEYS, bucketed_lag, split_hot
+from tideline.operators.skew import bucketed_lag
 
 RECENT_LIMIT = 10
 APP_ORDERS_LIMIT = 25
@@ -120,22 +120,17 @@ def latest_document(documents: DataFrame, created: str = "create_time", key: str
 
 def new_revisions(
     deliveries: DataFrame, key: str = "id", update_time: str = "update_time", arrival: str = "arrival",
-    bucket: Column | None = None, hot_min_rows: int = HOT_MIN_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Deliveries that show another revision than the one before, per document.
 
-    A document delivered very often is scanned in buckets of its deliveries;
-    ``bucket`` maps a row to its bucket and must follow the order of arrival.
+    Documents are scanned in buckets of their deliveries; ``bucket`` maps a row to
+    its bucket and must follow the order of arrival.  A NULL key is a document of
+    its own, and a NULL arrival comes first.
     """
     stamped = deliveries.withColumn("_stamp", F.coalesce(F.col(update_time).cast("string"), F.lit("")))
-    cold, hot = split_hot(stamped, key, hot_min_rows, max_hot_keys)
-    order = Window.partitionBy(key).orderBy(arrival)
-    before = cold.withColumn("_prev", F.lag("_stamp").over(order)).withColumn(
-        "_prev_found", F.col("_prev").isNotNull()
-    )
     by_bucket = F.floor(F.col(arrival) / 100_000) if bucket is None else bucket
-    split = bucketed_lag(hot, key, by_bucket, [arrival], "_stamp", "_prev")
-    both = before.unionByName(split)
+    both = bucketed_lag(stamped, key, by_bucket, [arrival], "_stamp", "_prev")
     return both.where(~F.col("_prev_found") | (F.col("_stamp") != F.col("_prev"))).select(*deliveries.columns)
 
 

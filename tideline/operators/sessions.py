@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 from tideline.functions.policy import SESSION_TTL_DAYS
 from tideline.functions.scalars import as_col, null_if_empty, parse_instant
 from tideline.operators.retention import at, days
-from tideline.operators.skew import MAX_HOT_KEYS, split_hot
+from tideline.operators.skew import split_large
 
 REUSE_SECONDS = 120
 IN_FLIGHT = ["PENDING", "PROCESSING"]
 TERMINAL = ["PROCESSED", "SKIPPED", "ERROR"]
 
-# A customer with more logins than this is split into time blocks.
-HOT_LOGINS = 1_000_000
+# A customer with more logins than this is split into time blocks.  Fewer are
+# replayed as a stream of sorted rows, which keeps one session in memory.
+LARGE_LOGINS = 1_000_000
 
 
 def reuse_age(setting: str | float | None) -> float:
@@ -269,8 +270,7 @@ def _entries_of_blocks(hot: DataFrame, age_us: int, block_us: int) -> DataFrame:
 def assign_logins(
     logins: DataFrame,
     max_age_seconds: float = REUSE_SECONDS,
-    hot_min_rows: int = HOT_LOGINS,
-    max_hot_keys: int = MAX_HOT_KEYS,
+    min_rows: int = LARGE_LOGINS,
     block_seconds: int | None = None,
 ) -> DataFrame:
     """Replay logins: the session each one ends up in, and whether it started it.
@@ -286,7 +286,7 @@ def assign_logins(
     rows = logins.where(
         F.col("customer_id").isNotNull() & F.col("login_timestamp").isNotNull()
     ).select("session_id", "customer_id", F.unix_micros("login_timestamp").alias("_at"))
-    cold, hot = split_hot(rows, "customer_id", hot_min_rows, max_hot_keys)
+    cold, hot = split_large(rows, "customer_id", min_rows)
     hot = hot.withColumn("_block", F.floor(F.col("_at") / block_us))
     entries = _entries_of_blocks(hot, age_us, block_us)
     # The session holding an entry instant is named by its first login there.

@@ -1,79 +1,36 @@
 """Ordered scans that survive a key holding a large share of all rows.
 
-A window partition is one task.  Keys above a size limit are therefore split by
-a time bucket: rows are scanned inside (key, bucket), one summary row per bucket
-is scanned inside the key, and the two are added up.  Keys below the limit take
-the plain window.
+A window partition is one task.  Keys are therefore split by a time bucket: rows are
+scanned inside (key, bucket), one summary row per bucket is scanned inside the key,
+and the two are added up.  Every key takes this path, whatever its size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key below this many rows always fits one window task.
-HOT_MIN_ROWS = 1_000_000
-# A hot key holds more than 1/MAX_HOT_KEYS of all rows, so there are fewer than
-# MAX_HOT_KEYS of them: that is the size bound of the broadcast below.
-MAX_HOT_KEYS = 10_000
 
+def split_large(df: DataFrame, key: str, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(small, large)`` rows by the size of their key; together ``df``, NULL keys included.
 
-def hot_keys(
-    df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, max_keys: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """Keys with more rows than one task should hold; fewer than ``max_keys`` rows."""
+    The large keys are joined without a hint: how many there are follows the data.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    share = counts.select((F.sum("_rows") / max_keys).alias("_share")).scalar()
-    return counts.where(
-        (F.col("_rows") > F.lit(min_rows)) & (F.col("_rows") > share)
-    ).select(key)
-
+    large = counts.where(F.col("_rows") > min_rows).select(
+        F.col(key).alias("_large_key"), F.lit(True).alias("_is_large"))
+    tagged = df.join(large, F.col(key).eqNullSafe(F.col("_large_key")), "left")
+    small = tagged.where(F.col("_is_large").isNull()).select(*df.columns)
+    return small, tagged.where(F.col("_is_large")).select(*df.columns)
 
-def split_hot(
-    df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, max_keys: int = MAX_HOT_KEYS
-) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)`` rows; together they are ``df``, NULL keys included."""
-    hot = hot_keys(df, key, min_rows, max_keys).select(
-        F.col(key).alias("_hot_key"), F.lit(True).alias("_is_hot")
-    )
-    tagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
-    cold = tagged.where(F.col("_is_hot").isNull()).select(*df.columns)
-    return cold, tagged.where(F.col("_is_hot")).select(*df.columns)
-
-
-def bucketed_running(
-    df: DataFrame,
-    key: str,
-    bucket: Column,
-    order: list[str],
-    sums: dict[str, str],
-) -> DataFrame:
-    """Running totals *before* each row of ``sums`` (output name -> column).
 
-    Only (key, bucket) has to fit a task, plus one row per bucket of a key.
-    """
-    rows = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    scanned = rows.withColumns(
-        {f"_in_{name}": F.sum(column).over(before) for name, column in sums.items()}
-    )
-    per_bucket = rows.groupBy(key, "_bucket").agg(
-        *[F.sum(column).alias(f"_sum_{name}") for name, column in sums.items()]
-    )
-    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        key, "_bucket",
-        *[F.sum(f"_sum_{name}").over(earlier).alias(f"_off_{name}") for name in sums],
-    )
-    zero = F.lit(0)
-    return scanned.join(offsets, [key, "_bucket"]).select(
-        *df.columns,
-        *[
-            (F.coalesce(f"_in_{name}", zero) + F.coalesce(f"_off_{name}", zero)).alias(name)
-            for name in sums
-        ],
-    )
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL; the keys come from the left."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys])
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
 
 
 def bucketed_lag(
@@ -91,6 +48,6 @@ def bucketed_lag(
         key, "_bucket",
         F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carried"),
     )
-    joined = scanned.join(carried, [key, "_bucket"])
+    joined = join_null_safe(scanned, carried, [key, "_bucket"])
     previous = F.coalesce("_in_prev", "_carried")
     return joined.select(*df.columns, previous["v"].alias(name), previous.isNotNull().alias(f"{name}_found"))

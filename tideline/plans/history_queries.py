@@ -57,8 +57,30 @@ def order_history(t):
 
 @query("order_history_split_keys", f"WITH {_HIST} SELECT order_id, customer_id, {_ALL_METRICS} FROM hist")
 def order_history_split_keys(t):
-    """The same with the size limit at zero, so that large customers take the split path."""
-    return hist.order_history(t.fx_orders, hot_min_rows=0)
+    """The same over orders dealt out anew, so that no order of the input helps."""
+    return hist.order_history(t.fx_orders.repartition("order_key"))
+
+
+_GAPS = """SELECT CASE WHEN order_key % 17 = 3 AND order_key % 13 <> 2 THEN NULL ELSE order_id END AS order_id, customer_id,
+  CASE WHEN order_key % 13 = 2 THEN NULL ELSE created_at END AS created_at, account_age_days, grand_total, order_key FROM fx_orders
+UNION ALL SELECT order_id, customer_id, created_at, account_age_days, grand_total, order_key FROM fx_orders WHERE order_key % 19 = 1 AND order_key % 17 <> 3 AND order_key % 13 <> 2"""
+
+
+@query("order_history_gaps", f"""
+WITH g AS ({_GAPS}),
+s AS (SELECT *, cast(round(grand_total * 100) AS bigint) AS cents,
+        row_number() OVER (PARTITION BY customer_id ORDER BY created_at NULLS FIRST, order_id NULLS FIRST) AS seq FROM g),
+b AS (SELECT s.*, coalesce(sum(cents) OVER (PARTITION BY customer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT b.order_id, b.customer_id, b.seq AS order_sequence, cast(b.before + b.cents AS double) / 100 AS running_lifetime_spend,
+  CASE WHEN b.created_at IS NULL THEN 0.0e0 ELSE cast(b.before - (SELECT coalesce(sum(e.cents), 0) FROM s AS e WHERE e.customer_id = b.customer_id
+    AND (e.created_at IS NULL OR e.created_at < b.created_at - interval '90' day)) AS double) / 100 END AS prior_spend_90d,
+  CASE WHEN b.created_at IS NULL THEN 0 ELSE b.seq - 1 - (SELECT count(*) FROM s AS e WHERE e.customer_id = b.customer_id
+    AND (e.created_at IS NULL OR e.created_at < b.created_at - interval '365' day)) END AS prior_orders_12m
+FROM b""")
+def order_history_gaps(t):
+    """Orders without time, without id, and repeated ones keep all their rows."""
+    return hist.order_history(t.sql(_GAPS)).select(
+        "order_id", "customer_id", "order_sequence", "running_lifetime_spend", "prior_spend_90d", "prior_orders_12m")
 
 
 @query("customer_rollup", f"""

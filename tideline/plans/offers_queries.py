@@ -105,7 +105,7 @@ def assign_logins_6h(t):
 @query("assign_logins_split_keys", _replay_sql(21600))
 def assign_logins_split_keys(t):
     """The same with the size limit at zero, so that large customers are cut into blocks."""
-    return ss.assign_logins(t.fx_logins, max_age_seconds=21600, hot_min_rows=0, block_seconds=21600)
+    return ss.assign_logins(t.fx_logins, max_age_seconds=21600, min_rows=0, block_seconds=21600)
 
 
 _SPENDABLE = f"""(nullif(o.order_id, '') IS NULL AND o.status IN ('ACTIVE', 'REDEEMED') AND coalesce(o.valid_until >= {_NOW}, true))"""
@@ -230,8 +230,11 @@ def stream_assign_logins(t):
     """Logins arrive as files in time order and are replayed with keyed state."""
     source = work_dir(t.spark, "logins")
     logins = t.fx_logins.select("session_id", "customer_id", "login_timestamp")
-    middle = F.lit("2001-07-16 00:00:00").cast("timestamp")
-    logins.where(F.col("login_timestamp") < middle).coalesce(1).write.parquet(source)
-    logins.where(F.col("login_timestamp") >= middle).coalesce(1).write.mode("append").parquet(source)
+    # Two sets of files in order of time, parted at the middle of the data; a
+    # micro-batch reads one set.
+    at = F.unix_micros("login_timestamp")
+    middle = logins.select(at.alias("at")).approxQuantile("at", [0.5], 0.01)[0]
+    logins.where(at < middle).repartition(3, "customer_id").write.parquet(source)
+    logins.where(at >= middle).repartition(3, "customer_id").write.mode("append").parquet(source)
     stream = t.spark.readStream.schema(logins.schema).option("maxFilesPerTrigger", 1).parquet(source)
     return run_to_parquet(t, assign_logins_stream(stream, 21600), "logins")

@@ -93,10 +93,8 @@ def new_revisions(t):
 
 @query("new_revisions_split_keys", _REVISIONS)
 def new_revisions_split_keys(t):
-    """The same with the size limit at zero and narrow buckets."""
-    return op.new_revisions(
-        t.sql(_DELIVERIES), bucket=F.floor(F.col("arrival") / 50), hot_min_rows=0
-    )
+    """The same with narrow buckets."""
+    return op.new_revisions(t.sql(_DELIVERIES), bucket=F.floor(F.col("arrival") / 50))
 
 
 @query("correlate_traces", """
@@ -184,8 +182,11 @@ def stream_new_revisions(t):
     """Deliveries arrive as files in order and are reduced with keyed state."""
     source = work_dir(t.spark, "deliveries")
     deliveries = t.sql(_DELIVERIES)
-    early = F.col("arrival") < 5000
-    deliveries.where(early).coalesce(1).write.parquet(source)
-    deliveries.where(~early).coalesce(1).write.mode("append").parquet(source)
+    # Two sets of files in order of arrival, parted at the middle of the data; a
+    # document is in one file of a set.
+    middle = deliveries.approxQuantile("arrival", [0.5], 0.01)[0]
+    early = F.col("arrival") < middle
+    deliveries.where(early).repartition(3, "id").write.parquet(source)
+    deliveries.where(~early).repartition(3, "id").write.mode("append").parquet(source)
     stream = t.spark.readStream.schema(deliveries.schema).option("maxFilesPerTrigger", 1).parquet(source)
     return run_to_parquet(t, new_revisions_stream(stream), "deliveries")
