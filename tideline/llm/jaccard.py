@@ -26,6 +26,7 @@ on a pivot are split by the adaptive skew join, so no group is gathered whole.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ from tideline.llm.components import connected_components
 SHINGLE_WORDS = 5
 LINK_PERCENT = 80  # linked: 100 * intersection >= LINK_PERCENT * union
 
-# Windows found in several sets stand later in the order, by how many.  At most so
+# Windows found in three sets or more stand later in the order, by how many.  At most so
 # many of them are known to every task (20 bytes each), the most frequent first; the
 # others count as rare.  This changes how much work there is, never what is found.
 KNOWN_WINDOWS = 1_000_000
@@ -197,51 +198,126 @@ class _Election:
         ]
 
 
-def _elect(percent: int, by_region: bool):
-    """(class, pivot) from rows sorted by window, size and class, one row at a time.
+def _elect(percent: int, least_run: int):
+    """Regions and pairs from rows sorted by region, window, size and class.
 
-    Only rows that share their window with a neighbour are looked at singly.
+    Windows of at least ``least_run`` sets hold an election, a row at a time, and
+    give a MEMBER row per set and pivot and a SEEN row per set.  A window of two
+    sets, if that is less, gives a PAIR row.  Only the pivots of the current window
+    are kept, and at most two rows from one batch to the next.
     """
+    columns = ("region", "window", "place", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         election = _Election(percent)
-        last = None
-        for batch in batches:
-            column = {n: batch.column(n) for n in batch.schema.names}
-            own, to, of = [], [], []
-            keep = np.ones(len(batch), dtype=bool)
-            if "pivot" in column:
-                has = np.asarray(column["pivot"].is_valid())
-                own.extend(column["class"].filter(pa.array(has)).to_pylist())
-                to.extend(column["pivot"].drop_null().to_pylist())
-                keep = ~has
-            window = column["window"].to_numpy(zero_copy_only=False)[keep]
-            if len(window):
-                region = column["region"].to_numpy(zero_copy_only=False)[keep] if by_region else np.zeros_like(window)
-                same = (window[1:] == window[:-1]) & (region[1:] == region[:-1])
-                near = np.zeros(len(window), dtype=bool)
-                near[1:] |= same
-                near[:-1] |= same
-                near[0] |= last == (region[0], window[0])
-                near[-1] = True
-                last = (region[-1], window[-1])
-                owner = column["class"].to_numpy(zero_copy_only=False)[keep]
-                place = column["place"].to_numpy(zero_copy_only=False)[keep]
-                for r, w, p, c in zip(region[near].tolist(), window[near].tolist(), place[near].tolist(),
-                                      owner[near].tolist(), strict=True):
-                    for pivot in election.meet((r, w), p >> 32, p & 0xFFFFFFFF, c):
-                        own.append(c)
-                        to.append(pivot)
-                        of.append(r)
-            arrays = [pa.array(own, pa.int64()), pa.array(to, pa.int64())]
-            names = ["class", "pivot"]
-            if by_region:
-                arrays, names = [*arrays, pa.array(of, pa.int64())], [*names, "region"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        held = [np.zeros(0, dtype=np.int64) for _ in columns]
+        open_key = None  # of a window whose election has begun and may go on
+        for batch in itertools.chain(batches, [None]):
+            out = _Rows()
+            if batch is not None:
+                direct = np.asarray(batch.column("pivot").is_valid())
+                own = batch.column("class").to_numpy(zero_copy_only=False)
+                if direct.any():
+                    out.add(own[direct], batch.column("pivot").drop_null().to_numpy(zero_copy_only=False), MEMBER)
+                new = [batch.column(c).to_numpy(zero_copy_only=False)[~direct] for c in columns]
+                held = [np.concatenate([h, n]) for h, n in zip(held, new, strict=True)]
+            region, window, place, owner = held
+            n = len(window)
+            if not n:
+                if out:
+                    yield out.batch()
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (region[1:] != region[:-1])]))
+            sizes = np.diff(np.concatenate([begins, [n]]))
+            keys = list(zip(region[begins[[0, -1]]].tolist(), window[begins[[0, -1]]].tolist(), strict=True))
+            goes_on = np.zeros(len(begins), dtype=bool)
+            goes_on[0] = keys[0] == open_key
+            elects = goes_on | (sizes >= least_run)
+            stop = n
+            if batch is not None and not elects[-1]:
+                # The last window may have more sets in the next batch.
+                stop = int(begins[-1])
+            open_key = keys[1] if elects[-1] else None
+            complete = begins < stop
+            twos = begins[complete & ~elects & (sizes == 2)]
+            if len(twos):
+                near = (place[twos + 1] >> 32) * percent <= (place[twos] >> 32) * 100
+                out.add(owner[twos + 1][near], owner[twos][near], PAIR, place[twos + 1][near] >> 32,
+                        place[twos][near] >> 32, region[twos][near])
+            rows = np.repeat(elects & complete, sizes)
+            out.add(owner[rows], owner[rows], SEEN, of=region[rows])
+            met: tuple[list[int], list[int], list[int]] = ([], [], [])
+            for r, w, p, c in zip(region[rows].tolist(), window[rows].tolist(), place[rows].tolist(),
+                                  owner[rows].tolist(), strict=True):
+                for pivot in election.meet((r, w), p >> 32, p & 0xFFFFFFFF, c):
+                    for column, value in zip(met, (c, pivot, r), strict=True):
+                        column.append(value)
+            out.add(np.array(met[0], dtype=np.int64), np.array(met[1], dtype=np.int64), MEMBER, of=np.array(met[2], dtype=np.int64))
+            held = [h[stop:] for h in held]
+            if out:
+                yield out.batch()
 
     return run
 
 
+# Kinds of rows that elections give.
+MEMBER, PAIR, SEEN = 0, 1, 2
+_ELECTED = "class long, pivot long, kind int, size long, pivot_size long, region long"
+
+
+class _Rows:
+    """Rows of an election's output."""
+
+    def __init__(self):
+        self.parts: list[list[np.ndarray]] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.parts)
+
+    def add(self, own, pivot, kind, size=None, pivot_size=None, of=None) -> None:
+        if len(own):
+            zero = np.zeros(len(own), dtype=np.int64)
+            self.parts.append([own, pivot, np.full(len(own), kind, dtype=np.int32),
+                               *(zero if x is None else x for x in (size, pivot_size, of))])
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(x)) for x in zip(*self.parts, strict=True)],
+            names=["class", "pivot", "kind", "size", "pivot_size", "region"])
+
+
+def _worth_measuring(elected: DataFrame, percent: int) -> DataFrame:
+    """(class, pivot, member) of the pairs whose distance is needed.
+
+    Where a window has two sets only, they are a pair and nobody else is in their
+    region, so the pair can be judged alone: two linked sets share a number of their
+    first windows (all but n - overlap of them, on the side whose first windows end
+    first).  A pair shares its windows of two, which are counted, and at most as many
+    others as either set has windows of more.  Pairs below the number are not linked.
+    """
+    seen = elected.where(F.col("kind") == SEEN).groupBy("class").agg(F.count("*").alias("others"))
+    pairs = elected.where(F.col("kind") == PAIR).groupBy("class", "pivot").agg(
+        F.count("*").alias("shared"), F.first("size").alias("size"), F.first("pivot_size").alias("pivot_size"))
+    n, m = F.col("size"), F.col("pivot_size")
+    overlap = F.ceil((n + m) * percent / (100 + percent))
+
+    def first(size):
+        return size - F.ceil(size * percent / 100) + 1
+
+    needed = F.least(first(n) - (n - overlap), first(m) - (m - overlap))
+    own = F.coalesce(F.col("others"), F.lit(0))
+    theirs = F.coalesce(F.col("pivot_others"), F.lit(0))
+    # The bounds are whole numbers from ratios; one less leaves room for rounding.
+    likely = (
+        pairs.join(seen, "class", "left")
+        .join(seen.select(F.col("class").alias("pivot"), F.col("others").alias("pivot_others")), "pivot", "left")
+        .where(F.col("shared") + F.least(own, theirs) >= needed - 1)
+    )
+    members = elected.where(F.col("kind") == MEMBER).select("class", "pivot", F.lit(True).alias("member"))
+    both = members.unionByName(likely.select("class", "pivot", F.lit(False).alias("member")))
+    return both.groupBy("class", "pivot").agg(F.max("member").alias("member"))
+
+
 def _wanted_sets(size: int, bits):
     """Sets of the classes that the filter lets through, once per task."""
 
@@ -416,7 +492,8 @@ def _split_regions(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
                        (F.shiftleft("size", 32) + F.col("alone") + F.col("at")).alias("place"))
     return (
         rows.repartition("region", "window").sortWithinPartitions("region", "window", "place", "class")
-        .mapInArrow(_elect(percent, True), "class long, pivot long, region long").distinct()
+        .withColumn("pivot", F.lit(None).cast("long")).mapInArrow(_elect(percent, 2), _ELECTED)
+        .where(F.col("kind") == MEMBER).select("class", "pivot", "region").distinct().withColumn("member", F.lit(True))
     )
 
 
@@ -426,7 +503,7 @@ def _known_windows(docs: DataFrame, size: int, percent: int):
     counted = (
         docs.mapInArrow(_hash_prefixes(size, percent, COUNTED_SHARE), "window long, class long")
         .groupBy("window").agg(F.count("*").alias("n"), F.min("class").alias("pivot"))
-        .where("n > 1")
+        .where("n > 2")
     )
     counted = stored(counted, "jaccard-known")
     step = F.floor(F.log2("n") * 4).cast("int")
@@ -487,11 +564,10 @@ def set_links(docs: DataFrame, keys: list[str], size: int = SHINGLE_WORDS,
 
     prefixes = text.mapInArrow(_ordered_prefixes(size, percent, hot), "window long, class long, place long, pivot long")
     # A place sorts by the set's size first.
-    pairs = (
+    elected = stored(
         prefixes.repartition("window").sortWithinPartitions("window", "place", "class")
-        .mapInArrow(_elect(percent, False), "class long, pivot long").distinct()
-    )
-    pairs = stored(pairs, "jaccard-pairs")
+        .withColumn("region", F.lit(0).cast("long")).mapInArrow(_elect(percent, 3), _ELECTED), "jaccard-elected")
+    pairs = stored(_worth_measuring(elected, percent), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("class", "pivot")).alias("class")).distinct()
     sets = (
         text.mapInArrow(_wanted_sets(size, _candidate_filter(pairs)), "class long, windows binary")
@@ -506,7 +582,7 @@ def set_links(docs: DataFrame, keys: list[str], size: int = SHINGLE_WORDS,
         inside = 100 * F.col("both") >= percent * F.col("either")
         distance = 1 - F.col("both") / F.col("either")
         links.append(measured.where(inside).select(F.col("class").alias("a"), F.col("pivot").alias("b")))
-        regions = measured.select(F.xxhash64("region", "pivot").alias("region"), "class", "size", "both", "either")
+        regions = measured.where("member").select(F.xxhash64("region", "pivot").alias("region"), "class", "size", "both", "either")
         edge = regions.where(~inside).groupBy("region").agg(
             (F.min(distance) - (100 - percent) / 100 - 1e-9).alias("least"))
         left = stored(
