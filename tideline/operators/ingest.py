@@ -266,19 +266,16 @@ def append_ledger(rows: DataFrame, path: str, batch_id: int, spec: TableSpec = s
     )
 
 
-def dedupe_redelivery(envelopes: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Drop repeated deliveries of an event id (off unless asked for).
+def dedupe_redelivery(envelopes: DataFrame) -> DataFrame:
+    """One delivery of each event id; an event without an id is kept as often as it comes.
 
-    On a stream the ids are remembered for the length of the watermark.
+    For a stream, ``start_ingest(dedupe=True)`` keeps repeated ids out of the ledger
+    alone: dropping events by their lateness would lose changes.
     """
     if envelopes.isStreaming:
-        timed = envelopes.withColumn("_event_at", parse_instant("event_time"))
-        return (
-            timed.withWatermark("_event_at", watermark or "1 hour")
-            .dropDuplicatesWithinWatermark(["event_id"])
-            .drop("_event_at")
-        )
-    return envelopes.dropDuplicates(["event_id"])
+        raise ValueError("streams are deduplicated by start_ingest(dedupe=True)")
+    named = envelopes.where(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+    return named.unionByName(envelopes.where(F.col("event_id").isNull()))
 
 
 # --- mirrors -----------------------------------------------------------------------

@@ -25,10 +25,6 @@ TOLERANCE = 1e-6
 LEAKAGE_AUC = 0.9999
 
 
-class LeakageError(ValueError):
-    """The held-out score is too good to be true."""
-
-
 class SingleClassError(ValueError):
     """The training set holds only one outcome."""
 
@@ -107,9 +103,9 @@ def predict_churn(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 
 def evaluate_model(
-    model: PipelineModel, training: DataFrame, evaluated_at: str, fail_on_leakage: bool = True
+    model: PipelineModel, training: DataFrame, evaluated_at: str
 ) -> DataFrame:
-    """Held-out metrics as one row."""
+    """Held-out metrics as one row; ``leakage_suspected`` says that they are too good."""
     _, held_out = split_training(training)
     scored = model.transform(
         _model_input(held_out).withColumn("label", F.col(LABEL).cast("double"))
@@ -117,8 +113,6 @@ def evaluate_model(
     auc = BinaryClassificationEvaluator(
         rawPredictionCol="rawPrediction", labelCol="label", metricName="areaUnderROC"
     ).evaluate(scored)
-    if fail_on_leakage and auc >= LEAKAGE_AUC:
-        raise LeakageError(f"held-out AUC {auc:.5f}: the label leaks into the features")
     hit = F.col("prediction") == F.col("label")
     positive, guessed = F.col("label") == 1, F.col("prediction") == 1
     p = F.least(F.greatest(F.col("_p"), F.lit(1e-15)), F.lit(1 - 1e-15))
@@ -148,6 +142,7 @@ def evaluate_model(
             ).alias("f1_score"),
             "log_loss",
             F.lit(float(auc)).alias("roc_auc"),
+            F.lit(bool(auc >= LEAKAGE_AUC)).alias("leakage_suspected"),
         )
     )
 

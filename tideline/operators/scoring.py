@@ -22,7 +22,7 @@ CRITICAL_FROM = 0.80
 HIGH_FROM = 0.60
 MODERATE_FROM = 0.40
 
-# An explicit id list beyond this length should come in as a DataFrame.
+# An explicit id list beyond this length is joined instead of written into the filter.
 MAX_LITERAL_IDS = 1000
 
 
@@ -117,9 +117,8 @@ def churn_scores_for(scores: DataFrame, customer_ids: Iterable[str] | DataFrame)
     else:
         ids = list(customer_ids)
         if len(ids) > MAX_LITERAL_IDS:
-            raise ValueError(
-                f"{len(ids)} literal ids; pass a DataFrame beyond {MAX_LITERAL_IDS}"
-            )
+            listed = scores.sparkSession.createDataFrame([(i,) for i in ids], "customer_id string")
+            return churn_scores_for(scores, listed)
         chosen = scores.where(F.col("customer_id").isin(ids))
     return chosen.select(
         "customer_id", "churn_probability", "churn_risk_tier", "customer_segment",

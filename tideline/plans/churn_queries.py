@@ -14,6 +14,7 @@ from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY
 from tideline.plans.registry import query
 from tideline.session import work_dir
+from tideline.sources import snapshots
 
 _FACTS = """facts AS (
   SELECT *, cast(created_at AS date) AS order_date FROM fx_orders
@@ -211,13 +212,22 @@ def class_weights(t):
 
 
 def _trained(t):
-    training = ft.training_set(ft.order_facts(t.fx_orders), TODAY).persist()
+    training = ft.training_set(ft.order_facts(t.fx_orders), TODAY)
+    snapshots.write_version(training, root := work_dir(t.spark, "training"))
+    training = snapshots.read_latest(t.spark, root)
     return ml.train_churn_model(training), training
 
 
-@query("train_churn_model")
+_TRAINING = f"WITH {_features_cte(CUTOFF)}, {_LABELS}, training AS (" \
+    "SELECT feats.*, cast(concat('0x', substring(sha256(concat_ws('|', feats.customer_id, 'eval')), 1, 12)) AS bigint) % 5 AS fifth " \
+    "FROM feats JOIN labelled ON labelled.customer_id = feats.customer_id)"
+
+
+@query("train_churn_model", f"""{_TRAINING}
+SELECT CASE WHEN fifth = 0 THEN 'held_out' ELSE 'fit' END AS part, count(*) AS customers,
+  true AS iterated, true AS has_inputs FROM training GROUP BY 1""")
 def train_churn_model(t):
-    """Iterations and size of the fitted model beside the rows it was given."""
+    """The rows of both parts, and whether the fit took a sensible number of steps."""
     model, training = _trained(t)
     logistic = model.stages[-1]
     fit_rows, held_out = ml.split_training(training)
@@ -226,29 +236,50 @@ def train_churn_model(t):
     )
     return (
         sets.groupBy("part").agg(F.count(F.lit(1)).alias("customers"))
-        .withColumn("iterations", F.lit(int(logistic.summary.totalIterations)))
-        .withColumn("inputs", F.lit(int(logistic.numFeatures)))
+        .withColumn("iterated", F.lit(1 <= logistic.summary.totalIterations <= ml.MAX_ITERATIONS))
+        .withColumn("has_inputs", F.lit(logistic.numFeatures >= len(ml.NUMERIC)))
     )
 
 
-@query("evaluate_model")
+@query("evaluate_model", f"SELECT '{NOW}' AS evaluated_at, true AS in_range, true AS f1_agrees, true AS log_loss_finite")
 def evaluate_model(t):
+    """One row: every rate is within 0 and 1, and F1 follows from precision and recall."""
     model, training = _trained(t)
-    return ml.evaluate_model(model, training, NOW)
+    rates = ["precision", "recall", "accuracy", "f1_score", "roc_auc"]
+    both = F.col("precision") + F.col("recall")
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), both), F.lit(0.0))
+    return ml.evaluate_model(model, training, NOW).select(
+        "evaluated_at",
+        F.forall(F.array(*rates), lambda x: (x >= 0) & (x <= 1)).alias("in_range"),
+        (F.abs(F.col("f1_score") - f1) < 1e-9).alias("f1_agrees"),
+        ((F.col("log_loss") >= 0) & (F.col("log_loss") < 35)).alias("log_loss_finite"),
+    )
+
 
+_LEVELS = " UNION ALL ".join(
+    f"SELECT concat('{c}_onehot_', level) AS feature FROM (SELECT DISTINCT {c} AS level FROM training WHERE fifth <> 0 AND {c} IS NOT NULL) AS l_{c} "
+    f"UNION ALL SELECT '{c}_onehot___unknown'" for c in ml.CATEGORICAL)
+_NUMBERS = " UNION ALL ".join(f"SELECT '{c}_filled'" for c in ml.NUMERIC)
 
-@query("model_coefficients")
+
+@query("model_coefficients", f"{_TRAINING} SELECT feature, true AS agrees FROM ({_LEVELS} UNION ALL {_NUMBERS}) AS f")
 def model_coefficients(t):
+    """The inputs by name; attribution is coefficient times spread."""
     model, training = _trained(t)
-    return ml.model_coefficients(model, training)
+    product = F.col("coefficient") * F.col("spread")
+    return ml.model_coefficients(model, training).select(
+        "feature", (F.abs(F.col("attribution") - product) < 1e-9).alias("agrees"))
 
 
-@query("predict_churn")
+@query("predict_churn", f"WITH {_features_cte(TODAY)} SELECT customer_id, true AS in_range, true AS class_agrees FROM feats")
 def predict_churn(t):
+    """Every live customer has a probability, and the class that follows from it."""
     model, _ = _trained(t)
     live = ft.live_features(ft.order_facts(t.fx_orders), TODAY)
+    p = F.col("churn_probability")
     return ml.predict_churn(model, live).select(
-        "customer_id", "churn_probability", "predicted_is_churned"
+        "customer_id", ((p >= 0) & (p <= 1)).alias("in_range"),
+        ((p >= 0.5).cast("bigint") == F.col("predicted_is_churned")).alias("class_agrees"),
     )
 
 
@@ -366,7 +397,16 @@ def latest_evaluation(t):
     return sc.latest_evaluation(runs)
 
 
-@query("run_churn_pipeline")
+_NEXT_DAY = (dt.date.fromisoformat(TODAY) + dt.timedelta(days=1)).isoformat()
+
+
+@query("run_churn_pipeline", f"""{_TRAINING},
+live AS (SELECT * FROM ({"WITH " + _features_cte(TODAY) + " SELECT customer_id FROM feats"}) AS a),
+later AS (SELECT * FROM ({"WITH " + _features_cte(_NEXT_DAY) + " SELECT customer_id FROM feats"}) AS b)
+SELECT 1 AS step, 'training_set' AS name, 'done' AS status, (SELECT count(*) FROM training) AS affected, 'full' AS mode
+UNION ALL SELECT 2, 'train', 'done', NULL, 'full' UNION ALL SELECT 3, 'evaluate', 'done', 1, 'full'
+UNION ALL SELECT 4, 'score', 'done', (SELECT count(*) FROM live), 'full'
+UNION ALL SELECT 1, 'score', 'done', (SELECT count(*) FROM later FULL JOIN live USING (customer_id)), 'rescore'""")
 def churn_run(t):
     """Steps of a full run followed by a rescore on the stored model."""
     store = ChurnStore(work_dir(t.spark, "churn"))
@@ -375,4 +415,4 @@ def churn_run(t):
     again = run_churn_pipeline(t.spark, t.fx_orders, store, later, f"{later} 00:00:00", mode="rescore")
     return full.withColumn("mode", F.lit("full")).unionByName(
         again.withColumn("mode", F.lit("rescore"))
-    )
+    ).select("step", "name", "status", "affected", "mode")

@@ -63,7 +63,7 @@ def run_churn_pipeline(
             steps.append((number, name, label, "done", work(), None))
             return True
         except Exception as err:  # the step table is how a failure is reported
-            steps.append((number, name, label, "failed", None, str(err)[:500]))
+            steps.append((number, name, label, "failed", None, str(err)))
             return False
 
     def finish() -> DataFrame:

@@ -62,7 +62,7 @@ FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey""",
 SELECT concat('off_', lpad(concat(o_orderkey, ''), 10, '0'))            AS offer_id,
        concat('cust_', lpad(concat(o_custkey, ''), 10, '0'))            AS customer_id,
        concat('sess_', o_orderkey)                                      AS session_id,
-       CASE (o_orderkey / 5) % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'REDEEMED' WHEN 2 THEN 'EXPIRED' ELSE 'SUPERSEDED' END AS status,
+       CASE (o_orderkey * 7919) % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'REDEEMED' WHEN 2 THEN 'EXPIRED' ELSE 'SUPERSEDED' END AS status,
        o_orderkey % 31 - 3                                              AS discount_percent,
        o_orderkey % 2 = 0                                               AS free_express_shipping,
        CASE WHEN o_orderkey % 15 = 0 THEN concat('ORD-', lpad(concat(o_orderkey, ''), 10, '0')) END AS order_id,
@@ -70,7 +70,7 @@ SELECT concat('off_', lpad(concat(o_orderkey, ''), 10, '0'))            AS offer
        cast(o_orderdate AS timestamp) + cast(o_orderkey % 86400 AS int) * interval '1' second AS created_at,
        cast(o_orderdate AS timestamp) + interval '14' day               AS valid_until,
        cast(o_orderdate AS timestamp) + interval '7' day                AS cooldown_until
-FROM orders WHERE o_orderkey % 5 = 0""",
+FROM orders""",
     # Offers moved close to the fixed clock, so that the seven-day gates are busy.
     "fx_fresh_offers": """
 SELECT concat('off_', lpad(concat(o_orderkey, ''), 10, '0'))            AS offer_id,
@@ -78,20 +78,20 @@ SELECT concat('off_', lpad(concat(o_orderkey, ''), 10, '0'))            AS offer
        CASE (o_orderkey * 7919) % 6 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'EXPIRED' WHEN 2 THEN 'SUPERSEDED'
             ELSE 'REDEEMED' END                                         AS status,
        cast(timestamp '2001-08-01 00:00:00' AS timestamp)
-         - cast((o_orderkey * 31) % 900 AS int) * interval '1' hour     AS created_at,
+         - cast((o_orderkey * 31) % 2400 AS int) * interval '1' hour     AS created_at,
        CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE
             cast(timestamp '2001-08-01 00:00:00' AS timestamp)
-              - cast((o_orderkey * 31) % 900 AS int) * interval '1' hour + interval '7' day END AS cooldown_until,
+              - cast((o_orderkey * 31) % 2400 AS int) * interval '1' hour + interval '7' day END AS cooldown_until,
        cast(timestamp '2001-08-01 00:00:00' AS timestamp)
-         - cast((o_orderkey * 31) % 900 AS int) * interval '1' hour + interval '3' day AS valid_until
-FROM orders WHERE o_orderkey % 3 <> 0""",
+         - cast((o_orderkey * 31) % 2400 AS int) * interval '1' hour + interval '3' day AS valid_until
+FROM orders""",
     "fx_logins": """
 SELECT concat('sess_', lpad(concat(event_id, ''), 10, '0'))             AS session_id,
        CASE WHEN event_id % 53 = 0 THEN NULL ELSE concat('cust_', lpad(concat(user_id, ''), 10, '0')) END AS customer_id,
        CASE event_id % 7 WHEN 0 THEN 'PROCESSED' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE 'PENDING' END AS agent_processing_status,
        cast(ts AS timestamp) - interval '8218' day                      AS login_timestamp,
        event_id                                                         AS event_key
-FROM events WHERE event_type IN ('signup', 'view')""",
+FROM events""",
     "fx_scores": """
 SELECT concat('cust_', lpad(concat(c_custkey, ''), 10, '0'))            AS customer_id,
        CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE cast((c_custkey * 7919) % 1000 AS double) / 1000 END AS churn_probability,

@@ -382,7 +382,10 @@ def stable_hash_query(t):
     )
 
 
-@query("schema_parity")
+@query("schema_parity", """
+SELECT 'customerFeedback.rating' AS path, 'number' AS left_kind, 'text' AS right_kind, 'different kind' AS problem FROM fx_orders
+  WHERE feedback_rating IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'customerFeedback.sentiment_score', 'number', NULL, 'missing on the right' FROM fx_orders WHERE sentiment_score IS NOT NULL GROUP BY 1""")
 def schema_parity(t):
     """Field differences between seeded and app order documents."""
     orders = t.fx_orders

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tideline.operators import ingest
 from tideline.plans.fixtures import NOW, Tables
 from tideline.plans.registry import query
 from tideline.session import work_dir
-from tideline.sources import mirror, specs
+from tideline.sources import mirror, snapshots, specs
 from tideline.sources.events import read_change_events
 from tideline.streaming.ingest_stream import start_ingest
 
@@ -396,9 +398,13 @@ def late_change_guard(t):
     return merged.select("order_id", "order_status", "change_timestamp")
 
 
-@query("dedupe_redelivery", f"WITH {_EVENTS} SELECT DISTINCT event_id FROM ev UNION ALL SELECT event_id FROM ({_RUBBISH}) r")
+@query("dedupe_redelivery", f"WITH {_EVENTS} SELECT DISTINCT event_id FROM ev UNION ALL SELECT event_id FROM ({_RUBBISH}) r "
+       f"UNION ALL SELECT CAST(NULL AS varchar) AS event_id FROM ev WHERE v = 1")
 def dedupe_redelivery(t):
-    return ingest.dedupe_redelivery(order_envelopes(t)).select("event_id")
+    """Twice the same envelopes, and some that have no id."""
+    envelopes = order_envelopes(t)
+    nameless = envelopes.where(F.col("event_id").like("%-1")).withColumn("event_id", F.lit(None).cast("string"))
+    return ingest.dedupe_redelivery(envelopes.unionByName(envelopes).unionByName(nameless)).select("event_id")
 
 
 def _snapshot(t: Tables) -> DataFrame:
@@ -426,9 +432,20 @@ def backfill_reconcile(t):
     return ingest.live_rows(twice).select("order_id", "order_status", "change_timestamp")
 
 
-@query("ensure_tables")
+@query("ensure_tables", f"""WITH {_EVENTS}, {_LIVE}
+SELECT 'retail_cdc' AS table_name, 'ready' AS status, (SELECT count(*) FROM ev) AS loaded
+UNION ALL SELECT 'retail_current', 'ready', (SELECT count(*) FROM live) UNION ALL SELECT 'customers_current', 'ready', 0""")
 def ensure_tables(t):
-    return ingest.ensure_tables(t.spark, work_dir(t.spark, "tables"))
+    """Missing tables are made, loaded ones stay as they are."""
+    root = work_dir(t.spark, "tables")
+    ingest.ensure_tables(t.spark, root)
+    changes = ingest.decode_events(_readable(t), NOW).where(_FROM_ORDERS)
+    snapshots.write_version(ingest.ledger_rows(changes), f"{root}/{specs.ORDERS_LEDGER.name}")
+    snapshots.write_version(ingest.upsert_current(changes, specs.ORDERS_CURRENT), f"{root}/{specs.ORDERS_CURRENT.name}")
+    again = ingest.ensure_tables(t.spark, root)
+    sizes = [snapshots.read_latest(t.spark, f"{root}/{spec.name}").agg(F.count("*").alias("loaded")).withColumn(
+        "table_name", F.lit(spec.name)) for spec in ingest.all_specs()]
+    return again.join(reduce(DataFrame.unionByName, sizes), "table_name")
 
 
 @query("order_trace", f"""WITH {_EVENTS}
@@ -448,22 +465,17 @@ def order_trace(t):
     )
 
 
-_STREAMED: dict[tuple[str, str], str] = {}
-
-
-def _streamed(t: Tables) -> str:
-    """Replicate the envelopes as a stream of several micro-batches, once per session."""
-    run = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if run not in _STREAMED:
-        source = work_dir(t.spark, "stream-source")
-        build_order_envelopes(t).repartition(3, F.xxhash64("event_id", "event_type")).write.json(source)
-        customer_envelopes(t).coalesce(1).write.mode("append").json(source)
-        root = work_dir(t.spark, "stream-tables")
-        envelopes = read_change_events(t.spark, source, streaming=True, max_files_per_trigger=2)
-        running = start_ingest(envelopes, root, work_dir(t.spark, "stream-checkpoint"), trigger={"availableNow": True})
-        running.awaitTermination()
-        _STREAMED[run] = root
-    return _STREAMED[run]
+def _streamed(t: Tables, dedupe: bool = False) -> str:
+    """Replicate the envelopes as a stream of several micro-batches; the folder of the tables."""
+    source = work_dir(t.spark, "stream-source")
+    build_order_envelopes(t).repartition(3, F.xxhash64("event_id", "event_type")).write.json(source)
+    customer_envelopes(t).repartition(3, "event_id").write.mode("append").json(source)
+    root = work_dir(t.spark, "stream-tables")
+    envelopes = read_change_events(t.spark, source, streaming=True, max_files_per_trigger=2)
+    running = start_ingest(
+        envelopes, root, work_dir(t.spark, "stream-checkpoint"), dedupe=dedupe, trigger={"availableNow": True})
+    running.awaitTermination()
+    return root
 
 
 @query("stream_orders_current", f"WITH {_EVENTS}, {_LIVE} SELECT order_id, {_ORDER_COLUMNS}, cast(ts AS varchar) AS change_timestamp FROM live")

@@ -77,10 +77,16 @@ _FALLBACK: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where unset."""
+    """The shared folder named by the cluster.
+
+    Where ``spark.checkpoint.dir`` is unset, a local master gets a temporary folder;
+    on a cluster that is an error, as executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _FALLBACK:
             _FALLBACK[app] = tempfile.mkdtemp(prefix="tideline-")
         root = _FALLBACK[app]
