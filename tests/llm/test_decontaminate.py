@@ -69,11 +69,12 @@ def test_rounds_give_the_same(spark):
 
 def test_spans_go_and_clean_texts_stay(spark):
     item = "one two three four five six seven eight nine ten"
-    docs = [(1, f"Keep é this, {item.upper()}. And this.", 0), (2, "clean text\n stays", 17), (3, item, 5), (4, None, 0), (5, "", 0)]
+    docs = [(1, f"Keep é this, {item.upper()}. And this as well, all of it.", 0), (2, "clean text\n stays", 17), (3, item, 5), (4, None, 0), (5, "", 0)]
     table = spark.createDataFrame(docs, "doc_id long, text string, n_chars long").withColumn("_row", F.lit(1))
     out = {r.doc_id: r for r in dc.remove_spans(table, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(out) == {1, 2, 4, 5}
-    assert out[1].text == "Keep é this, . And this." and out[1].n_chars == len(out[1].text)
+    assert out[1].text == "Keep é this, . And this as well, all of it." and out[1].n_chars == len(out[1].text)
+    assert out[2].n_chars == 17 and out[4].n_chars == 0
     assert out[2].text == "clean text\n stays" and out[4].text is None and out[5].text == ""
     assert set(out[1].asDict()) == {"doc_id", "text", "n_chars", "_row"}
 

@@ -223,13 +223,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5,
     begins = F.concat(F.array(F.lit(0).cast("long")), ends)
     kept = F.array_join(F.zip_with(begins, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
     clean = F.when(F.size("char_spans") > 0, kept).otherwise(text)
-    out = hits.where(hit_words() <= F.lit(max_share) * F.col("n_words")).select("_key._row", clean.alias("text"))
+    out = hits.where(hit_words() <= F.lit(max_share) * F.col("n_words")).select(
+        "_key._row", clean.alias("text"), (F.size("char_spans") > 0).alias("_cut"))
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(F.col("text"))
         elif c == "n_chars":
-            columns.append(F.length("text").cast(dict(docs.dtypes)[c]).alias(c))
+            length = F.length("text").cast(dict(docs.dtypes)[c])
+            columns.append(F.when(F.col("_cut"), length).otherwise(F.col("_row.n_chars")).alias(c))
         else:
             columns.append(F.col(f"_row.`{c}`").alias(c))
     return out.select(*columns)
