@@ -43,7 +43,7 @@ def test_context_is_an_arc_of_its_own():
     assert arcs("it was said. and scum") == ["insult-plain"]  # a clause ends the report
     assert arcs("he said it was plain old vequille") == ["insult-reported"]
     assert arcs("i will kill you") == ["threat-aimed"]
-    assert arcs("to kill time") == [] and arcs("scummy vequ") == [] and arcs("") == []
+    assert arcs("to kill time") == [] and arcs("scummy vequ.") == [] and arcs("") == []
 
 
 def test_licence_notices(spark):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import wordhash as wh
 from tideline.llm.common import crc_remainder, documents_columns, output_schema
 from tideline.llm.quality import training_rows
 
@@ -42,10 +43,10 @@ ARCS = [f"{kind}-{context}" for kind in ("insult", "threat") for context in CONT
 # How far, in words, a target, negation or report reaches within a clause.
 REACH = 4
 
-# Learning the lexicon: a word or stem is an insult if so many sample texts hold
-# it and its log-odds of the toxic class are at least this.
-STEM_LETTERS = (5, 6)
-LEAST_TEXTS = 3
+# Learning the lexicon: a word or stem is an insult if its log-odds of the toxic class
+# are at least this, and it is in more toxic texts than the most telling of all words
+# would be by chance (log-likelihood ratio above the logarithm of their number).
+STEM_LETTERS = (4, 5, 6)
 LEAST_LOG_ODDS = 2.0
 MOST_ENTRIES = 400
 # Bound of the training sample: rows, taken by hash, and bytes of their texts.
@@ -155,18 +156,39 @@ def _entries(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEM_LETTERS if len(w) > n}
 
 
+def _apart(texts: list[str]) -> list[bool]:
+    """Which texts are no near copies of earlier ones, by two min-hashes of word triples."""
+    seen: tuple[set[int], set[int]] = (set(), set())
+    out = []
+    for piece in wh.texts_of(pa.array(texts, pa.string())):
+        for values in wh.shingle_sets(piece, wh.non_space(), 3):
+            ends = (int(values[0]), int(values[-1])) if len(values) else (0, 0)
+            out.append(all(e not in s for e, s in zip(ends, seen, strict=True)))
+            for e, s in zip(ends, seen, strict=True):
+                s.add(e)
+    return out
+
+
 def learn_insults(texts: list[str], labels: np.ndarray) -> dict[str, float]:
-    """Words and stems that tell toxic texts from others, with their log-odds."""
-    n = np.array([max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))])
+    """Words and stems that tell toxic texts from others, with their log-odds.
+
+    Near copies count once: in a family of them every word would tell.
+    """
+    apart = np.array(_apart(texts), dtype=bool)
+    n = np.array([max(1, int((labels[apart] == 0).sum())), max(1, int((labels[apart] == 1).sum()))])
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        counts[int(label)].update(_entries(text))
+    for text, label, use in zip(texts, labels, apart, strict=True):
+        if use:
+            counts[int(label)].update(_entries(text))
+    chance = np.log(len(counts[0] | counts[1]) + 1) + 1
+    share = n[1] / n.sum()
     found = {}
     for entry, toxic in counts[1].items():
-        if toxic < LEAST_TEXTS:
-            continue
-        odds = np.log((toxic + 0.1) / n[1]) - np.log((counts[0][entry] + 0.1 + 0.01 * toxic) / n[0])
-        if odds >= LEAST_LOG_ODDS:
+        clean = counts[0][entry]
+        of_all = toxic + clean
+        ratio = toxic * np.log(toxic / (of_all * share)) + (clean * np.log(clean / (of_all * (1 - share))) if clean else 0.0)
+        odds = np.log((toxic + 0.1) / n[1]) - np.log((clean + 0.1 + 0.01 * toxic) / n[0])
+        if ratio >= chance and odds >= LEAST_LOG_ODDS:
             found[entry] = (float(odds), toxic)
     # The most telling first, and no entry whose texts a stem of it already covers.
     best = sorted(found, key=lambda e: (-found[e][0] * np.sqrt(found[e][1]), e))
