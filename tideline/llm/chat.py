@@ -61,20 +61,27 @@ def reply_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     # Round k: ``up`` is the ancestor 2**k steps up, ``steps`` and ``total`` cover the way to it.
     link = stored(link.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
                   .withColumnRenamed("score", "total"), "chat-link")
-    jumps = [link.select("_tree", "node", "up").where("up IS NOT NULL")]
-    is_parent = jumps[0].select("_tree", F.col("up").alias("node")).distinct()
+    is_parent = link.where("up IS NOT NULL").select("_tree", F.col("up").alias("node")).distinct()
+    # Nodes that have reached their root are done; only the others are joined again, so
+    # a few long conversations do not carry the short ones through their rounds.
+    jumps: list[DataFrame] = []
+    done = link.where("up IS NULL")
     longest = nodes.count()
-    while link.where("up IS NOT NULL").limit(1).count() and (1 << len(jumps)) <= 2 * longest:
-        above = link.select(F.col("_tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
-                            F.col("steps").alias("_steps"), F.col("total").alias("_total"))
-        link = stored(
-            link.join(above, (link["_tree"] == above["_t"]) & (link["up"] == above["_n"]), "left").select(
+    moving = link.where("up IS NOT NULL")
+    while moving.limit(1).count() and (1 << len(jumps)) <= 2 * longest:
+        jumps.append(moving.select("_tree", "node", "up"))
+        above = done.unionByName(moving).select(
+            F.col("_tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
+            F.col("steps").alias("_steps"), F.col("total").alias("_total"))
+        moved = stored(
+            moving.join(above, (moving["_tree"] == above["_t"]) & (moving["up"] == above["_n"])).select(
                 "_tree", "node", F.col("_up").alias("up"),
-                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
+                (F.col("steps") + F.col("_steps")).alias("steps"),
+                (F.col("total") + F.col("_total")).alias("total"),
             ), "chat-link")
-        jumps.append(link.select("_tree", "node", "up").where("up IS NOT NULL"))
-    leaves = link.where("up IS NULL").join(is_parent, ["_tree", "node"], "left_anti")
+        done = done.unionByName(moved.where("up IS NULL"))
+        moving = moved.where("up IS NOT NULL")
+    leaves = done.join(is_parent, ["_tree", "node"], "left_anti")
     order = Window.partitionBy("_tree").orderBy(F.col("total").desc(), F.col("node"))
     best = leaves.withColumn("path_rank", F.row_number().over(order)).where(F.col("path_rank") <= per_tree)
     path = stored(best.select("_tree", "path_rank", F.col("node").alias("leaf"), "node", F.col("steps").alias("depth")),
