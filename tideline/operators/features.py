@@ -57,7 +57,7 @@ def order_facts(orders: DataFrame) -> DataFrame:
     """Orders that can enter a per-customer time series."""
     return (
         orders.where(F.col("customer_id").isNotNull() & F.col("created_at").isNotNull())
-        .where(F.coalesce(F.col("order_status"), F.lit("")) != "CANCELLED")
+        .where(F.col("order_status").isNull() | (F.col("order_status") != "CANCELLED"))
         .withColumn("order_date", F.to_date("created_at"))
         .select(*FACT_COLUMNS)
     )
@@ -183,8 +183,14 @@ def customer_features(facts: DataFrame, as_of: dt.date | str) -> DataFrame:
 
 
 def churn_labels(facts: DataFrame, as_of: dt.date | str, horizon_days: int = HORIZON_DAYS) -> DataFrame:
-    """1 when a customer known at the cutoff bought nothing in the horizon after it."""
+    """1 when a customer known at the cutoff bought nothing in the horizon after it.
+
+    Orders after the horizon decide nothing; the bound on the stored column
+    keeps them out of the scan.
+    """
     day = _day(as_of)
+    after = day + dt.timedelta(days=horizon_days + 1)
+    facts = facts.where(F.col("created_at") < F.lit(after.isoformat()).cast("timestamp"))
     in_horizon = (F.col("order_date") > F.lit(day)) & (
         F.col("order_date") <= F.lit(day + dt.timedelta(days=horizon_days))
     )

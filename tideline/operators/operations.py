@@ -48,7 +48,7 @@ def purge_by_prefix(df: DataFrame, field: str, prefix: str) -> DataFrame:
 
 def remaining_by_prefix(df: DataFrame, field: str, prefix: str) -> DataFrame:
     """How many rows still carry the prefix: zero once replication has drained."""
-    return df.where(_has_prefix(field, prefix)).agg(F.count(F.lit(1)).alias("remaining"))
+    return df.where(F.col(field).startswith(prefix)).agg(F.count(F.lit(1)).alias("remaining"))
 
 
 def reset_plan(
@@ -107,7 +107,7 @@ def recent_traces(traces: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
 def recent_app_orders(
     orders: DataFrame, prefix: str = APP_ORDER_PREFIX, limit: int = APP_ORDERS_LIMIT
 ) -> DataFrame:
-    return orders.where(_has_prefix("order_id", prefix)).orderBy("order_id").limit(limit)
+    return orders.where(F.col("order_id").startswith(prefix)).orderBy("order_id").limit(limit)
 
 
 def latest_document(documents: DataFrame, created: str = "create_time", key: str = "id") -> DataFrame:

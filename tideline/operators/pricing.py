@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.scalars import as_col, integer_request, is_text, lookup
+from tideline.functions.scalars import as_col, integer_request, is_text, lookup, null_if_empty
 
 # Fixed values.
 TAX_RATE = "0.21"
@@ -109,7 +109,7 @@ def offer_pricing(offers: DataFrame) -> DataFrame:
 def priced_lines(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Cart lines with the catalog's price and cost, or the stated fallbacks.
 
-    The catalog is joined without a hint: its size decides the strategy, and a
+    A line's own name and category come before the catalog's.  The catalog is joined without a hint: its size decides the strategy, and a
     bestseller's lines are split by the adaptive skew join.
     """
     listed = catalog.select(
@@ -119,15 +119,19 @@ def priced_lines(items: DataFrame, catalog: DataFrame) -> DataFrame:
     price = F.coalesce("_price", "unit_price", F.lit(DEFAULT_PRICE))
     cost = F.coalesce(F.col("_cost"), F.col("_unit_price") * COST_SHARE)
     quantity = F.greatest(F.coalesce(F.col("quantity"), F.lit(1)), F.lit(1))
+
+    def own(column: str) -> list[Column]:
+        return [null_if_empty(column)] if column in items.columns else []
+
     return (
         items.join(listed, "sku", "left")
         .withColumn("_unit_price", price)
         .withColumn("_quantity", quantity)
         .select(
-            *[c for c in items.columns if c not in ("sku", "unit_price", "quantity")],
+            *[c for c in items.columns if c not in ("sku", "unit_price", "quantity", "name", "category")],
             F.coalesce("sku", F.lit("SKU-CUSTOM")).alias("sku"),
-            F.coalesce("_name", F.lit("Industrial Component")).alias("name"),
-            F.coalesce("_category", F.lit("Hardware")).alias("category"),
+            F.coalesce(*own("name"), "_name", F.lit("Industrial Component")).alias("name"),
+            F.coalesce(*own("category"), "_category", F.lit("Hardware")).alias("category"),
             F.col("_quantity").alias("quantity"),
             F.col("_unit_price").alias("unit_price"),
             F.round(F.col("_quantity") * F.col("_unit_price"), 2).cast(_CENTS).alias("total_price"),
