@@ -109,9 +109,14 @@ def _derived(keys: list[str]):
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(k) for k in keys),
                                 *(pa.field(n, pa.int64() if n == "content_length" else pa.string()) for n in _FIELDS)])
+            given = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            out: list[list] = [[] for _ in schema.names]
             for i in range(len(batch)):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                yield pa.RecordBatch.from_pylist([{k: row[k] for k in keys} | d for d in derive(row)], schema=schema)
+                for record in derive({n: values[i] for n, values in given.items()}):
+                    for column, name in zip(out, schema.names, strict=True):
+                        column.append(given[name][i] if name in keys else record[name])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
