@@ -61,8 +61,8 @@ FAMILIES = [*TEMPLATES, UNKNOWN]
 # ordinary paragraphs as unknown, at most so many, chosen by hash.
 DROPPED_WORDS = 1
 UNKNOWN_EXAMPLES = 2000
-ITERATIONS = 15
-STEP = 60.0
+ITERATIONS = 8
+STEP = 120.0
 SHRINK = 1e-4
 # Share of a template's words a paragraph must hold, and the other way about.
 CONFIRM_TEMPLATE = 0.7
