@@ -50,8 +50,8 @@ STEM_LETTERS = (4, 5, 6)
 LEAST_LOG_ODDS = 2.0
 MOST_ENTRIES = 400
 # Bound of the training sample: rows, taken by hash, and bytes of their texts.
-TRAIN_ROWS = 12_000
-TRAIN_BYTES = 30_000_000
+TRAIN_ROWS = 10_000
+TRAIN_BYTES = 20_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _CLAUSE_END = re.compile(r"[.!?;:\n|]+")
@@ -177,11 +177,16 @@ def learn_insults(texts: list[str], labels: np.ndarray) -> dict[str, float]:
     apart = np.array(_apart(texts), dtype=bool)
     n = np.array([max(1, int((labels[apart] == 0).sum())), max(1, int((labels[apart] == 1).sum()))])
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label, use in zip(texts, labels, apart, strict=True):
-        if use:
-            counts[int(label)].update(_entries(text))
-    chance = np.log(len(counts[0] | counts[1]) + 1) + 1
     share = n[1] / n.sum()
+    for text, label, use in zip(texts, labels, apart, strict=True):
+        if use and label == 1:
+            counts[1].update(_entries(text))
+    chance = np.log(len(counts[1]) / share + 1) + 1
+    # No entry of fewer toxic texts can beat chance; the driver holds only the others.
+    counts = (Counter(), Counter({e: k for e, k in counts[1].items() if -k * np.log(share) >= chance}))
+    for text, label, use in zip(texts, labels, apart, strict=True):
+        if use and label == 0:
+            counts[0].update(counts[1].keys() & _entries(text))
     found = {}
     for entry, toxic in counts[1].items():
         clean = counts[0][entry]
