@@ -136,8 +136,13 @@ def one_plain_orders(spark):
 
 def test_point_in_time_filter_reaches_the_scan(spark):
     facts = features.order_facts(one_plain_orders(spark))
-    plan = features.visible_orders(facts, CUTOFF)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(created_at" in plan
+    # The list of pushed filters is cut off in a plan's text beyond this length.
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    for df in (features.visible_orders(facts, CUTOFF), features.churn_labels(facts, CUTOFF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters"):plan.index("ReadSchema")]
+        assert "LessThan(created_at" in pushed and "order_status" in pushed
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_churn_run_reports_errors(spark):
