@@ -92,3 +92,23 @@ def test_a_response_without_a_head():
     record = dict(block="just text", target_uri=None, date=None, record_id=None, payload_digest=warc.sha1_digest(b"just text"))
     conversion, metadata = warc.derive(record)
     assert conversion["block"] == "just text" and "payload-digest-agrees: true" in metadata["block"]
+
+
+def test_source_headers_come_back_from_the_files(spark, tmp_path):
+    headers = [("Server", "WARC/1.1"), ("Last-Modified", "Mon, 01 Jan 2024 00:00:00 GMT"), ("ETag", '"a:b"'), ("Content-Language", "fr"),
+               ("Set-Cookie", "a=1"), ("Set-Cookie", "b=2; Path=/"), ("X-Empty", ""), ("X-Accent", "caf\u00e9\u2028x"), ("WARC-Type", "response")]
+    head = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "X-Folded: one\r\n  two\r\n\r\n"
+    rows = [("<urn:uuid:1>", "http://a/", warc.PAGE_DATE, "sha1:GIVEN", head + "<p>Text</p>"),
+            ("<urn:uuid:2>", "http://b/", warc.PAGE_DATE, None, "HTTP/1.0 404 Gone\nServer: x\n\n<p>No</p>"),
+            ("<urn:uuid:3>", "http://c/", warc.PAGE_DATE, None, "no head")]
+    responses = spark.createDataFrame(rows, "record_id string, target_uri string, date string, payload_digest string, block string")
+    records = warc.derivatives(responses)
+    warc.write(records.coalesce(1), str(tmp_path / "out"))
+    back = warc.read(spark, str(tmp_path / "out")).collect()
+    assert len(back) == 6
+    want = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("X-Folded", "one two")])
+    assert {r.refers_to: (r.source_headers, r.given_digest) for r in back if r.warc_type == "metadata"} == {
+        "<urn:uuid:1>": (want, "sha1:GIVEN"), "<urn:uuid:2>": ("Server: x\r\n", None), "<urn:uuid:3>": ("", None)}
+    assert {(r.source_headers, r.given_digest) for r in back if r.warc_type == "conversion"} == {(None, None)}
+    written = {r.record_id: r for r in records.collect()}
+    assert all(r.block == written[r.record_id].block for r in back)

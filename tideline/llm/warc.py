@@ -2,8 +2,10 @@
 
 Each response gives two records that refer to it: a conversion, whose block is the
 page's text, and a metadata record with the facts of the fetch and the conversion.
-Both keep the response's record id (WARC-Refers-To), target URI, date and payload
-digest.  Record ids are made from the contents, so a rerun writes the same records.
+Both keep the response's record id (WARC-Refers-To), target URI and date; their payload
+digest is computed.  The metadata block holds every HTTP header of the response, a
+field each, and the payload digest that came with it.  Record ids are made from the
+contents, so a rerun writes the same records.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ VERSION = "WARC/1.1"
 # Date of responses made from pages, which come without one.
 PAGE_DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
+# Before the name of a response's HTTP header, as a field of the metadata block.
+SOURCE_HEADER = "source-header-"
+GIVEN_DIGEST = "payload-digest-given"
 _CHARSET = re.compile(r"charset=[\"']?([\w\-]+)", re.I)
 
 _FIELDS = ("record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "content_length",
@@ -59,9 +64,10 @@ def http_parts(response: str) -> tuple[str, list[tuple[str, str]], str]:
     head, found, body = response.partition("\r\n\r\n")
     if not found:
         head, _, body = response.partition("\n\n")
-    status, *lines = head.splitlines()
+    # A line that begins with white space goes on with the value before it.
+    status, *lines = re.split(r"\r\n|\r|\n", re.sub(r"(?:\r\n|\r|\n)[ \t]+", " ", head))
     pairs = [line.partition(":") for line in lines if ":" in line]
-    return status, [(k.strip(), v.strip()) for k, _, v in pairs], body
+    return status, [(k.strip(" \t"), v.strip(" \t")) for k, _, v in pairs], body
 
 
 def derive(record: dict) -> list[dict]:
@@ -78,16 +84,18 @@ def derive(record: dict) -> list[dict]:
         ("fetch-status", status), ("source-content-type", kind),
         ("charset-detected", charset.group(1).lower() if charset else ""),
         ("payload-length", str(len(body.encode()))), ("text-length", str(len(text))),
-        ("payload-digest-given", given), ("payload-digest-agrees", str(given == payload).lower() if given else ""),
+        (GIVEN_DIGEST, given), ("payload-digest-agrees", str(given == payload).lower() if given else ""),
     ]
     out = []
     conversion = record_id("conversion", source, uri, payload)
+    fields = [f"{k}: {one_line(v)}\r\n" for k, v in [*facts, ("conversion-record", conversion)] if v]
+    lines = [f"{k}: {v}\r\n" for k, v in headers]
+    kept = "".join(lines)
     blocks = [
         ("conversion", conversion, "text/plain; charset=utf-8", text.encode()),
-        ("metadata", record_id("metadata", source, uri, payload), "application/warc-fields",
-         "".join(f"{k}: {one_line(v)}\r\n" for k, v in [*facts, ("conversion-record", conversion)] if v).encode()),
+        ("metadata", record_id("metadata", source, uri, payload, status, given, kept), "application/warc-fields",
+         "".join([*fields, *(SOURCE_HEADER + line for line in lines)]).encode()),
     ]
-    kept = "".join(f"{k}: {v}\r\n" for k, v in headers)
     for warc_type, own, content_type, block in blocks:
         digest = sha1_digest(block)
         named = [
@@ -156,8 +164,14 @@ def write(records: DataFrame, path: str, column: str | Column = "record") -> Non
 
 
 def read(spark, path: str) -> DataFrame:
-    """Records of WARC files: warc_type, record_id, refers_to, target_uri, date, digests and block."""
-    lines = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).where(F.length("value") > 0)
+    """Records of WARC files: warc_type, record_id, refers_to, target_uri, date, digests and block.
+
+    Of a metadata record also source_headers, the response's HTTP headers a line each,
+    and given_digest, the payload digest that came with the response; both are null
+    for other records, which refer to the same response.
+    """
+    # The empty lines after a block belong to the separator: a header may end with the version.
+    lines = spark.read.option("lineSep", f"\r\n\r\n{VERSION}\r\n").text(path).where(F.length("value") > 0)
     head = F.substring_index("value", "\r\n\r\n", 1)
 
     def header(name: str) -> Column:
@@ -166,12 +180,21 @@ def read(spark, path: str) -> DataFrame:
 
     length = header("Content-Length").cast("long")
     body = F.substring(F.col("value").cast("binary"), F.octet_length(head) + 5, length.cast("int")).cast("string")
+    # Only line breaks that the writer sets end a field.
+    fields = F.split(body, "\r\n")
+
+    def named(prefix: str) -> Column:
+        return F.transform(F.filter(fields, lambda f: f.startswith(prefix)), lambda f: F.substring(f, len(prefix) + 1, F.length(f)))
+
+    is_metadata = F.lower(header("WARC-Type")) == "metadata"
+    source_headers = F.array_join(F.transform(named(SOURCE_HEADER), lambda f: F.concat(f, F.lit("\r\n"))), "")
     return lines.select(
         header("WARC-Type").alias("warc_type"), header("WARC-Record-ID").alias("record_id"),
         header("WARC-Refers-To").alias("refers_to"), header("WARC-Target-URI").alias("target_uri"),
         header("WARC-Date").alias("date"), header("Content-Type").alias("content_type"), length.alias("content_length"),
         header("WARC-Block-Digest").alias("block_digest"), header("WARC-Payload-Digest").alias("payload_digest"),
-        body.alias("block"))
+        body.alias("block"), F.when(is_metadata, source_headers).alias("source_headers"),
+        F.when(is_metadata, F.try_element_at(named(f"{GIVEN_DIGEST}: "), F.lit(1))).alias("given_digest"))
 
 
 def digest(records: DataFrame) -> DataFrame:
