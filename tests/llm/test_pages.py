@@ -45,6 +45,28 @@ def test_no_element_is_kept_under_a_dropped_one():
         assert all(keep[e.parent] for e, k in zip(page.elements[1:], keep[1:], strict=True) if k)
 
 
+def test_drawings_and_formulas_cut_nothing():
+    article = "<article><h1>Title</h1><p>First line of it.</p><p>Second line, some more words here.</p></article>"
+    want = "Title\n\nFirst line of it.\n\nSecond line, some more words here."
+    icons = ["<svg class='i' viewBox='0 0 1 1'/>", "<math/>", "<svg><title/><style/><path d='M0'/></svg>", "<svg><use href='#a'></svg>",
+             "<svg class='i'><g><path d='M0 0'>", "<svg><title>Icon</title><path d='M0'/>", "<svg/><svg><path/></svg>", "<math><mrow>"]
+    for icon in icons:
+        for page in (f"<html><body>{icon}{article}</body></html>", f"<html><body><header class='site-header'>{icon}<a href='/'>Home</a></header>{article}",
+                     f"<html><body><div>{icon}</div>{article}<svg></svg><footer>&copy; 2024</footer></body></html>"):
+            assert mainhtml.main_texts([page], mainhtml.train()) == [want], page
+            assert markup.plain_text(page).replace("\n", "\n\n").find(want) >= 0, page
+
+
+def test_text_of_formulas_objects_and_drawings_is_read():
+    inside = ("<p>So <math><mi>E</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mi>m</mi></math> holds.</p>"
+              "<object data='a.swf'><p>A fallback text.</p></object><noscript><p>Plain reading.</p></noscript>"
+              "<p>See <svg><title>no</title><text>left</text><text>right</text><foreignObject><b>Note</b></foreignObject></svg> above.</p>")
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title</h1>{inside}</article><footer>&copy; x</footer></body></html>"
+    parts = ["Title", "So E= 1 2m holds.", "A fallback text.", "Plain reading.", "See left rightNote above."]
+    assert markup.blocks(markup.read(f"<h1>Title</h1>{inside}")) == parts
+    assert mainhtml.main_texts([page], mainhtml.train()) == ["\n\n".join(parts)]
+
+
 def test_given_pages(spark):
     prepare(spark)
     pages = table(spark, f"{TESTDATA}/sf0.001", "pages")

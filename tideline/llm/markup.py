@@ -8,7 +8,9 @@ from dataclasses import dataclass
 
 # Element names by how they behave.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg math iframe object".split())
+RAW = set("script style template textarea title iframe".split())
+# Elements with a language of their own, in which "/>" closes any tag.
+FOREIGN = {"svg", "math"}
 BLOCKS = set(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -16,6 +18,12 @@ BLOCKS = set(
 _ENDS_P = BLOCKS - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption", "dd", "dt", "li"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}}
+# Start tags that end an open foreign element, and the elements in it that hold HTML again.
+_ENDS_FOREIGN = BLOCKS | set("b big br center code em embed font i img listing nobr ruby s small span strike strong sub sup tt u var".split())
+_HOLDS_HTML = set("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+# In a formula or a drawing, parts that stand apart: those of the left, and these elements themselves.
+_APART = set("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtr mtable semantics".split())
+_APART_SELF = {"text", "annotation"}
 _NONE: set[str] = set()
 _SCOPE = set("ul ol dl table tbody thead tfoot select article section div aside nav main body".split())
 
@@ -52,22 +60,35 @@ def attributes_of(raw: str) -> dict[str, str]:
 def read(source: str) -> Page:
     """The elements and texts of a page; whatever is left open ends with the page.
 
-    Content of scripts, styles and the like is no text.  Broken markup never
-    fails: stray end tags are skipped, and a tag cut off by the end of the page
-    is a tag.
+    Content of scripts, styles and the like is no text; that of formulas, drawings,
+    objects and noscript is.  Broken markup never fails: stray end tags are skipped,
+    a tag cut off by the end of the page is a tag, and a formula or drawing left open
+    ends at the next HTML element.  A drawing without text is one element.
     """
     elements = [Element("#root", "", -1, 0, 0)]
     texts: list[tuple[int, str]] = []
     stack = [0]
+    foreign = 0  # open foreign elements
+    solid = -1  # the last text that is not blank
     at, size = 0, len(source)
 
     def close(k: int) -> None:
+        nonlocal foreign
         while len(stack) > k:
-            elements[stack.pop()].end = len(elements)
+            i = stack.pop()
+            if elements[i].tag in FOREIGN:
+                foreign -= 1
+                if solid < elements[i].start:
+                    del texts[elements[i].start:], elements[i + 1:]
+            elements[i].end = len(elements)
 
     def add(raw: str) -> None:
+        nonlocal solid
         if raw:
-            texts.append((stack[-1], html.unescape(raw) if "&" in raw else raw))
+            text = html.unescape(raw) if "&" in raw else raw
+            texts.append((stack[-1], text))
+            if text.strip():
+                solid = len(texts) - 1
 
     search = _TOKEN.search
     while at < size:
@@ -87,7 +108,7 @@ def read(source: str) -> Page:
         tag = tag.lower()
         if slash:
             if elements[stack[-1]].tag == tag:
-                elements[stack.pop()].end = len(elements)
+                close(len(stack) - 1)
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if elements[stack[k]].tag == tag:
@@ -96,6 +117,15 @@ def read(source: str) -> Page:
                 if elements[stack[k]].tag in _SCOPE and tag not in BLOCKS:
                     break
             continue
+        self_closed = bool(raw) and raw.rstrip().endswith("/")
+        if foreign and tag in _ENDS_FOREIGN:
+            for k in range(len(stack) - 1, 0, -1):
+                open_tag = elements[stack[k]].tag
+                if open_tag in FOREIGN:
+                    close(k)
+                    break
+                if open_tag in _HOLDS_HTML or open_tag in _ENDS_FOREIGN:
+                    break
         ends = _SAME.get(tag, _NONE)
         if tag in _ENDS_P or ends:
             for k in range(len(stack) - 1, 0, -1):
@@ -105,13 +135,16 @@ def read(source: str) -> Page:
                     break
                 if open_tag in _SCOPE:
                     break
+        if foreign and (tag in _APART_SELF or elements[stack[-1]].tag in _APART):
+            add(" ")
         elements.append(Element(tag, raw, stack[-1], elements[stack[-1]].depth + 1, len(texts)))
         if tag == "br":
             add(" ")
-        if tag in VOID or (raw and raw.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW):
+        if tag in VOID or (self_closed and tag not in BLOCKS and (foreign or tag not in RAW)):
             elements[-1].end = len(elements)
             continue
         stack.append(len(elements) - 1)
+        foreign += tag in FOREIGN
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]|</{re.escape(tag)}\Z", re.I).search(source, at)
             # What is not closed runs to the end of the page.
