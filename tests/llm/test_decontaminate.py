@@ -67,6 +67,25 @@ def test_rounds_give_the_same(spark):
     check(dc.benchmark_hits(*frames(spark, docs, items), ["doc_id"], broadcast_windows=7), docs, items)
 
 
+def test_rounds_keep_every_row(spark):
+    docs, items = texts(7)
+    # Repeated, null-id and wordless rows, and equal ids with different texts.
+    docs += [(None, docs[5][1]), (None, docs[6][1]), (None, "..."), (None, None), (5, docs[9][1]), (60, None), (61, ""), (61, ""),
+             (70, "x" * 400 + " " + " ".join(["y" * 90] * 9))]
+    items.append((102, "x" * 400 + " " + " ".join(["y" * 90] * 9)))
+    some = frames(spark, docs, items)
+    found = dc.benchmark_hits(*some, ["doc_id"], broadcast_windows=7)
+    key = lambda row: (-1 if row[0] is None else row[0], *row[1:])
+    got = sorted((key((r.doc_id, r.n_words, r.n_hit, list(r.items))) for r in found.select(
+        "doc_id", "n_words", dc.hit_words().alias("n_hit"), "items").collect()))
+    assert got == sorted(key((i, *brute(t, items))) for i, t in docs)
+    left = [sorted(key((r.doc_id, r.text or "", r.text is None)) for r in dc.remove_spans(*some, broadcast_windows=n).collect())
+            for n in (7, dc.BROADCAST_WINDOWS)]
+    assert left[0] == left[1]
+    kept = [(i, t) for i, t in docs if not brute(t, items)[1] * 2 > brute(t, items)[0]]
+    assert [row[0] for row in left[0]] == sorted(key((i,))[0] for i, _ in kept)
+
+
 def test_spans_go_and_clean_texts_stay(spark):
     item = "one two three four five six seven eight nine ten"
     docs = [(1, f"Keep é this, {item.upper()}. And this as well, all of it.", 0), (2, "clean text\n stays", 17), (3, item, 5), (4, None, 0), (5, "", 0)]
