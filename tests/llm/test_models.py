@@ -58,3 +58,20 @@ def test_licence_notices(spark):
     want = [(0, "cc-by-nc-4.0"), (0, "cc-by-nc-4.0"), (1, "gpl-3.0"), (2, "apache-2.0"), (3, "mit"), (4, "all-rights-reserved")]
     assert got == [(i, 2, family) for i, family in want]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licence_notices_that_are_wrapped_or_inside_a_line(spark):
+    prepare(spark)
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation "
+           "files (the \"Software\"), to deal\nin the Software without restriction.")
+    gpl = (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public "
+           "License as published by\n * the Free Software Foundation.")
+    apache = ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance\n"
+              "# with the License.")
+    long = "We walked along the river for many hours that day and " * 4
+    inside = f"{long}released under the MIT License {long}"
+    texts = [(1, f"A file.\n\n{mit}\n\nMore."), (2, f"/*\n *\n{gpl}\n */\nint main;"), (3, f"{apache}\n#\nimport os"), (4, f"Story.\n{inside}"),
+             (None, f"A file.\n\n{mit}"), (None, f"A file.\n\n{mit}"), (5, long), (6, f"{long}\n\nThe work\nwas under the version\nthat all had.")]
+    found = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r.paragraph, r.family) for r in found if r.confirmed)
+    assert got == [(0, 2, "mit"), (0, 2, "mit"), (1, 2, "mit"), (2, 2, "gpl-3.0"), (3, 0, "apache-2.0"), (4, 1, "mit")]

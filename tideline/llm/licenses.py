@@ -1,6 +1,7 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph (a line of a text) is a set of words and word pairs.  A multinomial logistic
+A unit is a line, or a window of words in a paragraph, whose lines are joined: a notice
+may be wrapped or stand inside a long line.  It is a set of words and word pairs.  A multinomial logistic
 regression over them, with a class for unknown text, names a licence family; the
 probability needed is calibrated on held-out examples, and the named family must be
 confirmed by comparing the paragraph with the family's templates.  Everything is
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import documents_columns, stored
@@ -67,6 +68,9 @@ SHRINK = 1e-4
 # Share of a template's words a paragraph must hold, and the other way about.
 CONFIRM_TEMPLATE = 0.7
 CONFIRM_PARAGRAPH = 0.5
+# Windows begin at a word of a template and are this many times as long as it; a
+# longer one cannot hold CONFIRM_PARAGRAPH of the template's words.
+WINDOW_LENGTHS = (1.0, 1.4, 2.0)
 
 
 def words_of(text: Column) -> Column:
@@ -97,6 +101,58 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.where(F.length(F.trim("line")) > 0)
 
 
+def joined_paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, lines, words) of each run of lines that have words.
+
+    ``lines`` has number and words of each line, ``words`` the number of its line and
+    the word of all of them.
+    """
+    marks = F.translate("text", "\x01\x02", "  ")
+    numbered = F.transform(F.split(marks, "\n"), lambda line, i: F.when(
+        line.rlike(r"[\p{L}\p{N}]"), F.concat(i.cast("string"), F.lit("\x02"), line)).otherwise(F.lit("\x01")))
+    parts = documents_columns(docs, ["doc_id", "text"]).select(
+        "doc_id", F.explode(F.split(F.array_join(numbered, "\n"), "\x01")).alias("part")).where(F.contains("part", F.lit("\x02")))
+    lines = F.transform(
+        F.filter(F.split("part", "\n"), lambda line: F.contains(line, F.lit("\x02"))),
+        lambda line: F.struct(F.substring_index(line, "\x02", 1).cast("long").alias("number"),
+                              words_of(F.substring_index(line, "\x02", -1)).alias("words")))
+    return parts.select("doc_id", lines.alias("lines")).select(
+        "doc_id", "lines",
+        F.flatten(F.transform("lines", lambda line: F.transform(
+            line["words"], lambda w: F.struct(line["number"].alias("number"), w.alias("word"))))).alias("words"))
+
+
+def _windows(spark: SparkSession) -> Column:
+    """Windows of ``words`` that agree with a template: at, length, first and last line, words.
+
+    A window can only agree with a template of which the whole paragraph has enough words.
+    """
+    templates = [list(r["words"]) for r in template_table(spark).collect()]
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in templates for w in t})])
+    every = F.array(*[F.struct(F.array(*[F.lit(w) for w in dict.fromkeys(t)]).alias("wording"), F.lit(len(t)).alias("n")) for t in templates])
+    known = F.array_intersect(F.transform("words", lambda w: w["word"]), vocabulary)
+    covered = F.filter(every, lambda t: F.size(F.array_intersect(known, t["wording"])) >= F.size(t["wording"]) * CONFIRM_TEMPLATE)
+
+    def window(at: Column, length: Column) -> Column:
+        part = F.slice("words", at, length)
+        return F.struct(
+            at.cast("long").alias("at"), length.cast("long").alias("length"), part[0]["number"].alias("first"),
+            F.element_at(part, -1)["number"].alias("last"), F.transform(part, lambda w: w["word"]).alias("words"))
+
+    def of(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(t["wording"], F.element_at("words", i)["word"]))
+        lengths = F.array(*[F.ceil(t["n"] * F.lit(x)).cast("int") for x in WINDOW_LENGTHS])
+        cut = F.flatten(F.transform(starts, lambda i: F.transform(lengths, lambda n: window(i, n))))
+
+        def agrees(w: Column) -> Column:
+            same = F.size(F.array_intersect(w["words"], t["wording"]))
+            return (same >= F.size(t["wording"]) * CONFIRM_TEMPLATE) & (same >= F.size(F.array_distinct(w["words"])) * CONFIRM_PARAGRAPH)
+
+        return F.filter(cut, agrees)
+
+    return F.when(F.size("words") > 0, F.array_distinct(F.flatten(F.transform(covered, of))))
+
+
 def examples(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(family, words, held_out): bounded training and calibration examples."""
     templates = template_table(spark)
@@ -222,36 +278,58 @@ def _telling(weights: DataFrame, bias: dict[str, float], needed: float) -> list[
 def scan(docs: DataFrame) -> DataFrame:
     """Licence notices in ``docs``: doc_id, paragraph, family, probability, template, confirmed.
 
-    A row per paragraph that the classifier gives to a family with at least the
-    calibrated probability; all other paragraphs are unknown and have no row.
-    ``confirmed`` says that the paragraph agrees with the nearest template of that
-    family, whose number is ``template``.  Null and empty texts have no
+    ``paragraph`` is the number of the line, from 0, on which a notice begins.  A row per
+    line that the classifier gives to a family with at least the calibrated
+    probability; all other lines are unknown and have no row.
+    ``confirmed`` says that the line agrees with the nearest template of that
+    family, whose number is ``template``.  Besides, a row per notice that a window of
+    a paragraph's joined words holds: of windows of a family that overlap, the one that
+    agrees best, unless a confirmed line of the family is among their lines.  Null and empty texts have no
     paragraphs; repeated rows and ids give rows each; other columns are ignored.
     """
     spark = docs.sparkSession
-    lines = paragraphs(docs)
-    weights, bias, needed = train(spark, lines)
+    weights, bias, needed = train(spark, paragraphs(docs))
     telling = F.array(*[F.lit(w) for w in _telling(weights, bias, needed)])
-    # Exact: a line without one of these words cannot reach the needed probability.
-    near = lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("words")).where(
-        F.arrays_overlap("words", telling))
-    near = stored(near.withColumn("id", F.monotonically_increasing_id()), "licence-near")
+    # Exact: a unit without one of these words cannot reach the needed probability.
+    near = joined_paragraphs(docs).where(F.arrays_overlap(F.transform("words", lambda w: w["word"]), telling)).select(
+        F.monotonically_increasing_id().alias("part"), "doc_id",
+        F.transform(F.filter("lines", lambda line: F.arrays_overlap(line["words"], telling)), lambda line: F.struct(
+            F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("length"),
+            line["number"].alias("first"), line["number"].alias("last"), line["words"].alias("words"))).alias("lines"),
+        F.filter(_windows(spark), lambda w: F.arrays_overlap(w["words"], telling)).alias("windows"))
+    units = near.select("part", "doc_id", F.explode(F.concat("lines", "windows")).alias("unit")).select("part", "doc_id", "unit.*")
+    near = stored(units.withColumn("id", F.monotonically_increasing_id()), "licence-near")
     grams = near.select("id", F.explode(grams_of(F.col("words"))).alias("gram"))
-    named = _probabilities(near.select("id", "doc_id", "paragraph", "words"), grams, weights, bias)
+    kept = ["part", "doc_id", "at", "length", "first", "last"]
+    named = _probabilities(near.select("id", *kept, "words"), grams, weights, bias)
     top = F.array_max(F.slice("p", 1, len(TEMPLATES)))
     named = named.where(top >= needed).select(
-        "id", "doc_id", "paragraph", "words", top.alias("probability"),
+        "id", *kept, "words", top.alias("probability"),
         _family_of(F.slice("p", 1, len(TEMPLATES))).alias("family"))
     templates = template_table(spark).select("family", "template", F.col("words").alias("wording"))
     same = F.size(F.array_intersect("words", "wording"))
     agreed = named.join(F.broadcast(templates), "family").select(
-        "id", "doc_id", "paragraph", "family", "probability", "template",
+        "id", *kept, "family", "probability", "template",
         (same / F.size(F.array_distinct("wording"))).alias("of_template"),
         (same / F.size(F.array_distinct("words"))).alias("of_paragraph"))
-    return agreed.groupBy("id", "doc_id", "paragraph", "family", "probability").agg(
+    judged = agreed.groupBy("id", *kept, "family", "probability").agg(
         F.max_by(F.struct("template", "of_template", "of_paragraph"),
                  F.struct(F.col("of_template") + F.col("of_paragraph"), -F.col("template"))).alias("best")
-    ).select(
-        "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family",
-        F.round("probability", 6).alias("probability"), F.col("best.template").cast("long").alias("template"),
-        ((F.col("best.of_template") >= CONFIRM_TEMPLATE) & (F.col("best.of_paragraph") >= CONFIRM_PARAGRAPH)).alias("confirmed"))
+    ).withColumn("confirmed", (F.col("best.of_template") >= CONFIRM_TEMPLATE) & (F.col("best.of_paragraph") >= CONFIRM_PARAGRAPH))
+    judged = stored(judged, "licence-judged")
+    lines = judged.where(F.col("at").isNull())
+    whole = lines.where("confirmed").select(F.col("part").alias("_part"), F.col("family").alias("_family"), F.col("first").alias("_line"))
+    windows = judged.where(F.col("at").isNotNull() & F.col("confirmed"))
+    by = Window.partitionBy("part", "family").orderBy("at", "length", "id")
+    reach = F.max(F.col("at") + F.col("length")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    windows = windows.withColumn("new", F.when(F.col("at") >= reach, 1).otherwise(0)).withColumn("run", F.sum("new").over(by))
+    windows = windows.groupBy("part", "family", "run").agg(
+        F.max_by(F.struct(*[F.col(c) for c in judged.columns if c not in ("part", "family")]),
+                 F.struct(F.col("best.of_template") + F.col("best.of_paragraph"), -F.col("at"), -F.col("length"))).alias("w"),
+        F.min("first").alias("_from"), F.max("last").alias("_to"))
+    windows = windows.join(
+        whole, (F.col("part") == F.col("_part")) & (F.col("family") == F.col("_family")) & F.col("_line").between(F.col("_from"), F.col("_to")),
+        "left_anti").select("part", "family", "w.*")
+    return lines.unionByName(windows.select(*lines.columns)).select(
+        "doc_id", F.col("first").alias("paragraph"), "family",
+        F.round("probability", 6).alias("probability"), F.col("best.template").cast("long").alias("template"), "confirmed")
