@@ -76,11 +76,15 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op4_mixing", sql=mixing.poisson_sql(MIX_SEED, MIX_WEIGHTS, MIX_OTHER))
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of the mixture, in its global order."""
+    """Every copy of the mixture, in its global order.
+
+    Whole documents are mixed, ordered and stored; returned are the columns that the SQL has.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "source"), MIX_WEIGHTS, MIX_OTHER, MIX_SEED)
-    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy",
-                        F.round("shuffle_key", 9).alias("shuffle_key"))
+    mixed = common.stored(mixing.mix(docs, MIX_WEIGHTS, MIX_OTHER, MIX_SEED), "mixture")
+    return mixed.orderBy("shuffle_key", "doc_id").select(
+        "doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy",
+        F.round("shuffle_key", 9).alias("shuffle_key"))
 
 
 @_query("op5_license_scan")
