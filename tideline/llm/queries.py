@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import (
-    chat, common, decontaminate, jaccard, licenses, mainhtml, mixing, quality, topk, toxicity, warc,
+    chat, common, decontaminate, divergence, jaccard, licenses, mainhtml, mixing, quality, topk, toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,38 @@ FROM word_lists AS w JOIN least AS l ON l.a = w.doc_id LEFT JOIN sizes AS s ON s
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return jaccard.near_duplicate_classes(common.table(spark, sf_dir, "documents"))
+
+
+@_query("op13_source_divergence", sql=r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT row_id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT g.lang, count(k.term) AS v, CAST(coalesce(sum(k.n), 0) AS HUGEINT) AS total
+          FROM (SELECT DISTINCT lang FROM groups) AS g LEFT JOIN kept AS k ON k.lang = g.lang GROUP BY g.lang),
+counted AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words AS w JOIN kept AS k ON k.lang = w.lang AND k.term = w.term
+            GROUP BY w.lang, w.source, w.term),
+sizes AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n
+          FROM groups AS g LEFT JOIN counted AS c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+shares AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+                  1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (s.n + 2 * l.v) AS p,
+                  1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // (l.total + 2 * l.v) AS q
+           FROM sizes AS s JOIN langs AS l ON l.lang = s.lang JOIN kept AS k ON k.lang = s.lang
+           LEFT JOIN counted AS c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pair_sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+              FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+              GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair_sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+          FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) AS every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source of a language from the others, and its most telling terms."""
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
