@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,18 @@ def unit_hash(*columns: Column, seed: str) -> Column:
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
     digest = F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+# Texts longer than this are read match by match, so many at once.
+LONG_TEXT = 1 << 20
+MATCHES_AT_ONCE = 200_000
+
+
+def matches(pattern: re.Pattern, text: str | bytes) -> Iterator[list]:
+    """All matches of a text in lists of bounded length."""
+    if len(text) < LONG_TEXT:
+        yield pattern.findall(text)
+        return
+    found = (m.group() for m in pattern.finditer(text))
+    while part := list(islice(found, MATCHES_AT_ONCE)):
+        yield part

@@ -23,14 +23,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents_columns, stored
+from tideline.llm.common import documents_columns, matches, stored
 
 SCALE = 1_000_000_000
 # A language keeps the terms that stand in at least so many of its documents.
@@ -43,20 +42,10 @@ TILE_SOURCES = 64
 
 # Entries that a counting task holds before it hands them on.
 FLUSH_ENTRIES = 300_000
-_WORDS_AT_ONCE = 200_000
+# Letters and non-ASCII bytes; bytes.lower() turns A-Z only.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def terms_of(text: bytes) -> Iterator[list[bytes]]:
-    """Terms of a UTF-8 text in lists of bounded length: letters and non-ASCII, A-Z lower-cased."""
-    found = (m.group() for m in _TERM.finditer(text.lower()))
-    if len(text) < 1 << 20:
-        yield _TERM.findall(text.lower())
-        return
-    while part := list(islice(found, _WORDS_AT_ONCE)):
-        yield part
-
-
 def _flushed(counts: dict, holders: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for (lang, source), words in counts.items():
         terms = list(words)
@@ -81,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(zip(langs, sources, strict=True), batch.column("text").cast(pa.large_binary()), strict=True):
             here, held = counts.setdefault(key, Counter()), holders.setdefault(key, Counter())
             own: set[bytes] = set()
-            for words in terms_of(text.as_py()):
+            for words in matches(_TERM, text.as_py().lower()):
                 here.update(words)
                 own.update(words)
             held.update(own)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import (
-    chat, common, decontaminate, divergence, jaccard, licenses, mainhtml, mixing, quality, topk, toxicity, warc,
+    chat, common, decontaminate, divergence, jaccard, licenses, mainhtml, mixing, quality, repeats, spelling,
+    topk, toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +212,65 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every source of a language from the others, and its most telling terms."""
     return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+@_query("op11_suffix_dedup", sql=r"""
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT row_id, doc_id, i, substr(h, 2 * i + 1, 100) AS s
+           FROM (SELECT row_id, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM texts WHERE length(h) >= 100) AS t),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+hits AS (SELECT row_id, i FROM starts AS a JOIN firsts AS f ON f.s = a.s AND f.first < a.doc_id),
+marked AS (SELECT row_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hits),
+numbered AS (SELECT row_id, i, sum(opens) OVER (PARTITION BY row_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT row_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY row_id, run),
+gaps AS (SELECT t.row_id, r.a, r.b, coalesce(lag(r.b) OVER (PARTITION BY t.row_id ORDER BY r.a), 0) AS before, t.h
+         FROM texts AS t JOIN runs AS r ON r.row_id = t.row_id),
+cut AS (SELECT row_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+               string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+        FROM gaps GROUP BY row_id)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(c.kept, t.h))) AS kept_sha256
+FROM texts AS t LEFT JOIN cut AS c ON c.row_id = t.row_id""")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    return repeats.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+@_query("op12_spelling_variants", sql=r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS of_byte FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(flatten([CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+                                           ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END
+                                          FOR x IN string_split(id || ':' || run, '')]),
+                                 lambda a, b: xor(a // 256, of_byte[xor(a % 256, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM counted, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed) AS s
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words),
+skipped AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM skipped AS a JOIN skipped AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM skipped AS s JOIN words AS w ON w.word = s.rest
+  UNION SELECT w.word, s.word, s.n FROM skipped AS s JOIN words AS w ON w.word = s.rest),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+forms AS (SELECT n.word, min(n.other) AS form, b.top AS form_n FROM near AS n JOIN best AS b ON b.word = n.word AND n.other_n = b.top
+          JOIN words AS w ON w.word = n.word WHERE b.top >= 10 * w.n GROUP BY n.word, b.top),
+steps(word, root, k) AS (SELECT word, word, 0 FROM words
+  UNION ALL SELECT s.word, f.form, k + 1 FROM steps AS s JOIN forms AS f ON f.word = s.root),
+roots AS (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word)
+SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words AS w JOIN roots AS r ON r.word = w.word LEFT JOIN best AS b ON b.word = w.word LEFT JOIN forms AS f ON f.word = w.word""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and forms."""
+    return spelling.group_variants(common.table(spark, sf_dir, "documents"))
