@@ -216,8 +216,10 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op11_suffix_dedup", sql=r"""
 WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT row_id, doc_id, i, substr(h, 2 * i + 1, 100) AS s
-           FROM (SELECT row_id, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM texts WHERE length(h) >= 100) AS t),
+blocks AS (SELECT row_id, doc_id, j, substr(h, 2 * j + 1, 498) AS b
+           FROM (SELECT row_id, doc_id, h, unnest(range(0, length(h) // 2 - 49, 200)) AS j FROM texts WHERE length(h) >= 100) AS t),
+starts AS (SELECT row_id, doc_id, j + k AS i, substr(b, 2 * k + 1, 100) AS s
+           FROM (SELECT row_id, doc_id, j, b, unnest(range(0, least(200, length(b) // 2 - 49))) AS k FROM blocks) AS t),
 firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
 hits AS (SELECT row_id, i FROM starts AS a JOIN firsts AS f ON f.s = a.s AND f.first < a.doc_id),
 marked AS (SELECT row_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hits),
