@@ -63,7 +63,7 @@ def edited(rng, word):
 def test_against_plain_reading(spark):
     rng = random.Random(3)
     base = ["".join(rng.choices("abcé", k=rng.randrange(6, 10))) for _ in range(60)] + ["aaaaaaaa", "abababab", "ÀÉÿ×÷çñ"]
-    words = base * 6 + [edited(rng, w) for w in base * 4] + [edited(rng, edited(rng, w)) for w in base]
+    words = base * 20 + [edited(rng, w) for w in base * 4] * 3 + [edited(rng, edited(rng, w)) for w in base] * 3
     rng.shuffle(words)
     rows = [(i % 40, " ".join(words[i * 9:i * 9 + 9]).title()) for i in range(len(words) // 9)]
     got = found(spark, rows)
