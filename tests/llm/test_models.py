@@ -1,5 +1,7 @@
 """Trained operators on labels they never saw, and on odd texts."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -46,6 +48,60 @@ def test_context_is_an_arc_of_its_own():
     assert arcs("to kill time") == [] and arcs("scummy vequ.") == [] and arcs("") == []
 
 
+def test_threats_are_inflected_and_need_an_object():
+    reader = toxicity.Reader(toxicity.Grammar({"scum": 3.0}, dict.fromkeys(toxicity.ARCS, 1.0), -1.0))
+    arcs = lambda text: sorted(reader.counts(text))
+    for text in ("he kills you", "I am killing you", "they murdered her", "shoot me and then you", "ich werde dich töten",
+                 "te voy a matar", "je vais vous frapper", "we will beat all of you"):
+        assert arcs(text) == ["threat-aimed"], text
+    for text in ("the chef will beat the eggs for you", "they attack at dawn", "you burn the toast", "kills", "tu es la"):
+        assert arcs(text) == [], text
+    assert arcs("i would never hurt you") == ["threat-denied"]
+    assert arcs("she wrote that he would kill them") == ["threat-reported"]
+    assert arcs("nobody said not to hurt them") == ["threat-denied-reported"]
+
+
+def _plain_arcs(words, lexicon):
+    """Arcs of a clause by looking at the words around each hit."""
+    kinds = [lexicon.read(w)[0] for w in words]
+    out = []
+    for i, kind in enumerate(kinds):
+        near = lambda j, a: 0 <= j < len(kinds) and kinds[j] & a
+        reach = range(1, toxicity.REACH + 1)
+        denied = any(near(i - d, toxicity.NEGATION) for d in reach)
+        reported = any(k & toxicity.REPORT for k in kinds[:i])
+        if kind & toxicity.INSULT:
+            name, aimed = "insult", any(near(i - d, toxicity.TARGET) or near(i + d, toxicity.TARGET) for d in reach)
+        elif kind & toxicity.THREAT:
+            ahead = next((d for d in reach if near(i + d, toxicity.OBJECT | toxicity.BREAK)), None)
+            name, aimed = "threat", any(near(i - d, toxicity.CLITIC) for d in reach) or (
+                ahead is not None and near(i + ahead, toxicity.OBJECT))
+            if not aimed:
+                continue
+        else:
+            continue
+        out.append(f"{name}-" + ("denied-reported" if denied and reported else "denied" if denied else "reported"
+                                 if reported else "aimed" if aimed else "plain"))
+    return out
+
+
+def test_composed_transducers_against_plain_reading():
+    reader = toxicity.Reader(toxicity.Grammar({"scum": 3.0, "vequ*": 2.0}, {}, 0.0))
+    rng = np.random.default_rng(1)
+    words = ["scum", "vequille", "kill", "killing", "matar", "you", "dich", "te", "her", "not", "said", "the", "for", "x", "y", "z"]
+    for _ in range(2000):
+        clause = rng.choice(words, size=rng.integers(1, 20)).tolist()
+        assert [a for a, _, _, _ in reader.clause(" ".join(clause))] == _plain_arcs(clause, reader.lexicon), clause
+
+
+def test_a_clause_without_end_is_read_in_one_pass():
+    reader = toxicity.Reader(toxicity.Grammar({"scum": 3.0}, dict.fromkeys(toxicity.ARCS, 1.0), -1.0))
+    began = time.perf_counter()
+    counts = reader.counts("you scum not x y " * 40_000)
+    assert sum(counts.values()) == 3.0 * 40_000
+    assert time.perf_counter() - began < 5
+
+
 def test_licence_notices(spark):
     prepare(spark)
     lines = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",

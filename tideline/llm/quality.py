@@ -11,16 +11,18 @@ feature, which is what scoring tasks receive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm import wordhash as wh
-from tideline.llm.common import crc_remainder, documents_columns, output_schema
+from tideline.llm.common import crc_remainder, documents_columns, output_schema, stored
 
 BUCKETS_LOG2 = 16
 DIMENSIONS = 4
@@ -90,7 +92,7 @@ def _sparse_row(text: str) -> tuple[np.ndarray, np.ndarray]:
                 ids.append(own)
                 shares.append(counts / len(features) / KINDS)
     every, back = np.unique(np.concatenate(ids), return_inverse=True)
-    return every, np.bincount(back, weights=np.concatenate(shares))
+    return every.astype(np.int32), np.bincount(back, weights=np.concatenate(shares)).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 17) -> Model:
@@ -137,11 +139,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column,
-                  rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> list[tuple[str, int]]:
-    """A bounded sample of (text, label): the first ``rows`` labelled ids by hash, up to ``size`` bytes.
+                  rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:
+    """A bounded sample (place, text, label): labelled texts by hash of their ids.
 
-    Null labels, ids and texts teach nothing.  The ids are chosen among the labels
-    alone, so the texts are read once and only the sample's reach the driver.
+    At most ``rows`` texts of at most ``size`` bytes together; one that does not fit
+    any more is passed over.  Null labels, ids and texts teach nothing, repeated rows
+    count once.  The rows are chosen by ids and lengths alone; texts are joined after that.
     """
     chosen = (
         labels.select("doc_id", F.col(label).alias("_label")).where(allowed & F.col("doc_id").isNotNull())
@@ -150,14 +153,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
     )
     # At most ``rows`` ids are broadcast.
     met = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    met = met.withColumn("_bytes", F.octet_length("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "_bytes").limit(rows)
-    out, used = [], 0
-    for row in met.select("text", "_label", "_bytes").toLocalIterator():
-        used += row["_bytes"]
-        if used > size and out:
-            break
-        out.append((row["text"], int(row["_label"])))
-    return out
+    met = met.withColumn("_size", F.octet_length("text").cast("long"))
+    key = ["doc_id", "_label", "_size", "_digest"]
+    sizes = met.where(F.col("_size") <= size).select("doc_id", "_label", "_size", F.xxhash64("text").alias("_digest")).distinct()
+    fit, used = [], 0
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "_size", "_digest").limit(rows).collect():
+        if used + row["_size"] <= size:
+            used += row["_size"]
+            fit.append((len(fit), *row))
+    taken = docs.sparkSession.createDataFrame(fit, T.StructType([
+        T.StructField("place", T.LongType()), *sizes.schema.fields]))
+    texts = met.withColumn("_digest", F.xxhash64("text")).join(F.broadcast(taken), key)
+    return texts.groupBy("place").agg(F.first("text").alias("text"), F.first("_label").cast("int").alias("label"))
+
+
+def fitted(sample: DataFrame, train: Callable[[list[str], np.ndarray], object]) -> object:
+    """What ``train`` makes of a sample, which is bounded: fitted in one task, stored, then read.
+
+    The driver holds the model, never the texts.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        model = train(rows.column("text").to_pylist(), np.asarray(rows.column("label"), dtype=np.int64))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    rows = sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, "model binary")
+    found = stored(rows, "fitted").first()
+    return pickle.loads(found["model"]) if found else train([], np.zeros(0, dtype=np.int64))
 
 
 def _scores(column, model: Model) -> np.ndarray:
@@ -186,8 +208,7 @@ def _score(model):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> Model:
     """A model of ``label`` from the rows of ``labels`` that ``allowed`` admits."""
-    sample = training_rows(docs, labels, label, allowed)
-    return train([t for t, _ in sample], np.array([y for _, y in sample]))
+    return fitted(training_rows(docs, labels, label, allowed), train)
 
 
 def scored(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:

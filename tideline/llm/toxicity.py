@@ -1,25 +1,31 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers read a clause's words and write symbols: insults, threats, targets,
-negations and reported speech.  Insults are read by a trie of weighted words and
-stems; its entries and weights are learned from labelled texts, the other lists are
-fixed values.  The symbols feed a composed automaton whose states remember what
-came before (a target, a negation, a report), and each insult or threat leaves it
-with an arc named after that context.  A clause is thus a set of arcs, not a bag of
-words: an insult that is aimed, denied or quoted is another arc with a weight of
-its own.  Arc weights are learned with the document score, the weighted number of
-arcs through a logistic curve.
-
-Only clauses that hold an insult or a threat are read word by word; an Aho-Corasick
-machine over the lists finds them.
+Words are read by a lexical transducer, a character automaton that writes the classes a
+word belongs to: insult (with a weight), threat, target, object, clitic, negation,
+report, break.  Insults are words and stems learned from labelled texts; a threat is a
+fixed stem followed by one of its language's endings, so that inflected forms are read too.
+
+Clause transducers read those classes, each a table of states: negation and target
+count down the words they reach over, a report holds until the clause ends, an object
+reaches back to a threat unless an article or preposition stands between ("beat the eggs
+for you"), a clitic reaches ahead to one ("te voy a matar").  They are composed into two
+tables of states, one read from the left and one from the right, and an insult or threat
+leaves the pair with an arc named by the states it stands between: plain, aimed, denied,
+reported.  A threat without an object leaves by no arc.  So a clause is a set of weighted
+arcs, not a bag of words.  Arc weights are learned with the document score, a logistic
+curve over the weighted logarithms of what the arcs carried.
+
+Reading takes time in proportion to the text, however long a clause is.  Only clauses that
+hold a possible insult or threat are read word by word; an Aho-Corasick machine finds them.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -29,18 +35,33 @@ from pyspark.sql import functions as F
 
 from tideline.llm import wordhash as wh
 from tideline.llm.common import crc_remainder, documents_columns, output_schema
-from tideline.llm.quality import training_rows
-
-# Words of each transducer in English, German, French and Spanish.
-THREATS = "kill hurt destroy murder attack beat shoot burn umbringen töten schlagen tuer frapper détruire matar golpear destruir".split()
+from tideline.llm.quality import fitted, training_rows
+
+# Word lists in English, German, French and Spanish.  Threats are stems
+# with the endings of their language ("-" is no ending).
+THREATS = [
+    ("kill murder attack hurt shoot shot stab burn beat strangl destroy", "- s e es ed d ing en er t"),
+    ("umbring töt getöt schlag schläg geschlag erschieß erschoss verprügel", "- e en t te ten st et n"),
+    ("tu frapp détruis détrui tabass poignard", "er e es é ée és ez ons ent erai era re s t sez sent"),
+    ("mat golpe destru dispar apuñal", "ar o a as an ó aré ará aron ir yo ye yó iré ando"),
+]
 TARGETS = "you your youre u he she they them him her du dich dir ihr euch sie tu toi te vous ils elle tú usted ustedes ellos ella".split()
-NEGATIONS = "not no never none isnt arent dont doesnt wasnt nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna".split()
+OBJECTS = "you u ya him her them me us everyone dich ihn sie euch mich uns toi vous moi nous eux usted ustedes ellos ellas".split()
+CLITICS = "te vous nous dich euch ihn mich uns os".split()
+NEGATIONS = ("not no never none isnt arent dont doesnt wasnt isn aren don doesn wasn nicht kein keine nie niemals ne pas jamais "
+             "aucun nunca jamás ningún ninguna").split()
 REPORTS = "said says say wrote writes called calls quoted claimed sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
+BREAKS = ("the a an for with to at in on by from about der die das den dem ein eine für mit zu auf von le la les un une pour avec à "
+          "dans sur el los las una para con por en").split()
 
 CONTEXTS = ("plain", "aimed", "denied", "reported", "denied-reported")
 ARCS = [f"{kind}-{context}" for kind in ("insult", "threat") for context in CONTEXTS]
 
-# How far, in words, a target, negation or report reaches within a clause.
+# Classes of words: a word's set of them is one symbol of the clause transducers.
+INSULT, THREAT, TARGET, OBJECT, CLITIC, NEGATION, REPORT, BREAK = (1 << k for k in range(8))
+SYMBOLS = 256
+
+# How far, in words, a target, object, clitic or negation reaches within a clause.
 REACH = 4
 
 # Learning the lexicon: a word or stem is an insult if its log-odds of the toxic class
@@ -48,7 +69,6 @@ REACH = 4
 # would be by chance (log-likelihood ratio above the logarithm of their number).
 STEM_LETTERS = (4, 5, 6)
 LEAST_LOG_ODDS = 2.0
-MOST_ENTRIES = 400
 # Bound of the training sample: rows, taken by hash, and bytes of their texts.
 TRAIN_ROWS = 10_000
 TRAIN_BYTES = 20_000_000
@@ -66,55 +86,161 @@ class Grammar:
     bias: float = 0.0
 
 
+class Lexicon:
+    """The lexical transducer: character arcs, and what a word writes where it ends.
+
+    A learned stem writes its weight for every longer word, so its last state keeps
+    itself whatever follows.
+    """
+
+    def __init__(self, insults: dict[str, float]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.writes: list[tuple[int, float]] = [(0, 0.0)]
+        self.beyond: list[float] = [0.0]
+        for stems, endings in THREATS:
+            for stem in stems.split():
+                for ending in endings.split():
+                    self._add(stem + ending.replace("-", ""), THREAT)
+        for words, kind in ((TARGETS, TARGET), (OBJECTS, OBJECT), (CLITICS, CLITIC), (NEGATIONS, NEGATION),
+                            (REPORTS, REPORT), (BREAKS, BREAK)):
+            for word in words:
+                self._add(word, kind)
+        for entry, weight in insults.items():
+            if entry.endswith("*"):
+                self.beyond[self._state(entry[:-1])] = weight
+            else:
+                self._add(entry, INSULT, weight)
+
+    def _state(self, word: str) -> int:
+        at = 0
+        for letter in word:
+            if letter not in self.arcs[at]:
+                self.arcs[at][letter] = len(self.arcs)
+                self.arcs.append({})
+                self.writes.append((0, 0.0))
+                self.beyond.append(0.0)
+            at = self.arcs[at][letter]
+        return at
+
+    def _add(self, word: str, kind: int, weight: float = 0.0) -> None:
+        at = self._state(word)
+        self.writes[at] = (self.writes[at][0] | kind, max(self.writes[at][1], weight))
+
+    def read(self, word: str) -> tuple[int, float]:
+        """(classes, weight) that a word writes."""
+        at, best, last = 0, 0.0, len(word) - 1
+        for i, letter in enumerate(word):
+            at = self.arcs[at].get(letter, -1)
+            if at < 0:
+                break
+            if i < last:
+                best = max(best, self.beyond[at])
+        kinds, weight = self.writes[at] if at >= 0 else (0, 0.0)
+        weight = max(weight, best)
+        # An insult is read as nothing else.
+        return (INSULT, weight) if weight > 0 else (kinds, 0.0)
+
+    def hits(self) -> Iterator[str]:
+        """Beginnings of every word that is an insult or a threat."""
+        stack = [(0, "")]
+        while stack:
+            at, word = stack.pop()
+            if self.beyond[at] or self.writes[at][0] & (INSULT | THREAT):
+                yield word
+            stack.extend((to, word + letter) for letter, to in self.arcs[at].items())
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """States from 0; ``step`` gives the next for a symbol, and states above 0 write the mark."""
+
+    states: int
+    step: Callable[[int, int], int]
+
+
+def within_reach(opens: int, closes: int = 0, reach: int = REACH) -> Transducer:
+    """Marks the next ``reach`` words after a word of class ``opens``, up to one of class ``closes``."""
+    return Transducer(reach + 1, lambda state, symbol: (
+        reach if symbol & opens else 0 if symbol & closes else max(state - 1, 0)))
+
+
+def from_now_on(opens: int) -> Transducer:
+    """Marks every word after one of class ``opens``."""
+    return Transducer(2, lambda state, symbol: 1 if symbol & opens else state)
+
+
+def composed(*parts: Transducer) -> tuple[list[list[int]], list[int]]:
+    """(next state by state and symbol, marks by state) of transducers that read side by side.
+
+    States are the reachable tuples of the parts' states; bit k of the marks is part k's.
+    """
+    numbers = {(0,) * len(parts): 0}
+    order = [(0,) * len(parts)]
+    table = []
+    for state in order:
+        row = []
+        for symbol in range(SYMBOLS):
+            to = tuple(part.step(own, symbol) for part, own in zip(parts, state, strict=True))
+            if to not in numbers:
+                numbers[to] = len(order)
+                order.append(to)
+            row.append(numbers[to])
+        table.append(row)
+    return table, [sum((own > 0) << k for k, own in enumerate(state)) for state in order]
+
+
+# Read from the left: denied 1, reported 2, target before 4, clitic before 8; from the
+# right: target after 1, object after 2.
+@lru_cache(maxsize=1)
+def machines() -> tuple[tuple[list[list[int]], list[int]], tuple[list[list[int]], list[int]]]:
+    """The composed clause transducers, from the left and from the right."""
+    left = composed(within_reach(NEGATION), from_now_on(REPORT), within_reach(TARGET), within_reach(CLITIC))
+    right = composed(within_reach(TARGET), within_reach(OBJECT, closes=BREAK))
+    return left, right
+
+
 class Reader:
-    """The composed automaton of a grammar."""
+    """A grammar's lexical transducer, followed by the clause transducers."""
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
-        self.words = {w: v for w, v in grammar.insults.items() if not w.endswith("*")}
-        self.stems = {w[:-1]: v for w, v in grammar.insults.items() if w.endswith("*")}
-        self.symbols = {w: "threat" for w in THREATS}
-        self.symbols |= {w: "target" for w in TARGETS}
-        self.symbols |= {w: "negation" for w in NEGATIONS}
-        self.symbols |= {w: "report" for w in REPORTS}
+        self.lexicon = Lexicon(grammar.insults)
+        self.word = lru_cache(maxsize=1 << 16)(self.lexicon.read)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for w in {*self.words, *self.stems, *THREATS}:
-            self.machine.add_word(w)
+        for beginning in self.lexicon.hits():
+            self.machine.add_word(beginning)
         self.machine.make_automaton()
 
-    def insult(self, word: str) -> float:
-        """Weight with which the insult transducer accepts a word; 0 if it does not."""
-        best = self.words.get(word, 0.0)
-        for n in STEM_LETTERS:
-            if len(word) > n:
-                best = max(best, self.stems.get(word[:n], 0.0))
-        return best
-
     def clause(self, text: str) -> list[tuple[str, float, int, int]]:
         """(arc, weight, start, end) of the insults and threats of a lower-cased clause."""
-        tokens = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-        marks: dict[str, list[int]] = {"target": [], "negation": [], "report": []}
-        hits: list[tuple[int, str, float]] = []
-        for i, (word, _, _) in enumerate(tokens):
-            weight = self.insult(word)
-            symbol = self.symbols.get(word)
-            if weight > 0:
-                hits.append((i, "insult", weight))
-            elif symbol == "threat":
-                hits.append((i, "threat", 1.0))
-            elif symbol:
-                marks[symbol].append(i)
+        (left, left_marks), (right, right_marks) = machines()
+        symbols = bytearray()
+        hits: list[tuple[int, int, float, int, int, int]] = []
+        state = 0
+        for found in _WORD.finditer(text):
+            symbol, weight = self.word(found.group())
+            if symbol & (INSULT | THREAT):
+                hits.append((len(symbols), symbol, weight, left_marks[state], found.start(), found.end()))
+            state = left[state][symbol]
+            symbols.append(symbol)
         out = []
-        for i, kind, weight in hits:
-            denied = any(0 < i - j <= REACH for j in marks["negation"])
-            reported = any(j < i for j in marks["report"])
-            aimed = any(0 < abs(i - j) <= REACH for j in marks["target"])
-            if kind == "threat" and not aimed:
-                continue  # a threat needs a target to leave the automaton
+        state, at = 0, len(symbols)
+        for place, symbol, weight, before, start, end in reversed(hits):
+            while at > place + 1:
+                at -= 1
+                state = right[state][symbols[at]]
+            after = right_marks[state]
+            if symbol & INSULT:
+                kind, aimed = "insult", before & 4 or after & 1
+            else:
+                kind, weight, aimed = "threat", 1.0, before & 8 or after & 2
+                if not aimed:
+                    continue
+            denied, reported = before & 1, before & 2
             context = ("denied-reported" if denied and reported else "denied" if denied
                        else "reported" if reported else "aimed" if aimed else "plain")
-            out.append((f"{kind}-{context}", weight, tokens[i][1], tokens[i][2]))
-        return out
+            out.append((f"{kind}-{context}", weight, start, end))
+        return out[::-1]
 
     def clauses(self, text: str) -> Iterator[tuple[int, str, list[tuple[str, float, int, int]]]]:
         """(start, clause, arcs) of the clauses that leave the automaton."""
@@ -126,9 +252,9 @@ class Reader:
             if start < done or (start and low[start - 1].isalnum()):
                 continue
             if ends is None:
-                ends = [0, *(m.end() for m in _CLAUSE_END.finditer(low)), len(low)]
+                ends = np.array([0, *(m.end() for m in _CLAUSE_END.finditer(low)), len(low)])
             k = int(np.searchsorted(ends, start, side="right")) - 1
-            first, done = ends[k], ends[min(k + 1, len(ends) - 1)]
+            first, done = int(ends[k]), int(ends[min(k + 1, len(ends) - 1)])
             clause = low[first:done]
             arcs = self.clause(clause)
             if arcs:
@@ -146,7 +272,7 @@ class Reader:
         """Score of a text from the weights that its arcs carried."""
         total = self.grammar.bias
         for arc, amount in counts.items():
-            total += self.grammar.arcs.get(arc, 0.0) * min(amount, 20.0)
+            total += self.grammar.arcs.get(arc, 0.0) * np.log1p(amount)
         return 1 / (1 + float(np.exp(-np.clip(total, -30, 30))))
 
 
@@ -200,10 +326,8 @@ def learn_insults(texts: list[str], labels: np.ndarray) -> dict[str, float]:
     kept: dict[str, float] = {}
     for entry in best:
         stems = {f"{entry[:n]}*" for n in STEM_LETTERS if len(entry.rstrip("*")) > n} - {entry}
-        if not stems & set(kept):
+        if not stems & kept.keys():
             kept[entry] = found[entry][0]
-        if len(kept) >= MOST_ENTRIES:
-            break
     return kept
 
 
@@ -224,7 +348,7 @@ def train(texts: list[str], labels: np.ndarray) -> Grammar:
     for i, text in enumerate(texts):
         if not half[i]:
             for arc, amount in draft.counts(text).items():
-                rows[i, ARCS.index(arc)] = min(amount, 20.0)
+                rows[i, ARCS.index(arc)] = np.log1p(amount)
     x, y = rows[~half], labels[~half]
     # Logistic regression with a pull towards a prior: every arc is somewhat toxic.
     prior = np.array([{"plain": 1.0, "aimed": 1.5, "denied": 0.7, "reported": 0.7, "denied-reported": 0.4}[a.split("-", 1)[1]] for a in ARCS])
@@ -243,8 +367,8 @@ def train(texts: list[str], labels: np.ndarray) -> Grammar:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Grammar:
-    sample = training_rows(docs, labels, "toxic", allowed, TRAIN_ROWS, TRAIN_BYTES)
-    return train([t for t, _ in sample], np.array([y for _, y in sample]))
+    """A grammar from the rows of ``labels`` that ``allowed`` admits."""
+    return fitted(training_rows(docs, labels, "toxic", allowed, TRAIN_ROWS, TRAIN_BYTES), train)
 
 
 _READERS: dict[int, Reader] = {}
