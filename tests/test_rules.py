@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import policy
 from tideline.functions.scalars import change_sequence_hex, parse_instant, stable_hash
 from tideline.functions.values import BRANCHES, coerce_column, plain_fields
+from tideline.operators import offers as of
 from tideline.operators import catalog, retention, scoring, sessions
 
 
@@ -97,6 +98,17 @@ def test_bad_arguments(spark):
     assert sessions.reuse_age("x") == 120 and sessions.reuse_age("-1") == 120 and sessions.reuse_age("5") == 5
 
 
+def test_one_of_equal_claims_wins(spark):
+    columns = "offer_id string, claim_id string, order_id string, claimed_at string"
+    claims = [("a", "c1", None, "1"), ("a", "c1", None, "1"), ("a", "c2", None, "2"), ("a", "c3", "o", "3"), ("a", "c3", "o", "3"),
+              ("b", "c4", "o", "1"), ("b", "c4", "o", "1"), ("b", "c4", None, "1"), ("x", "c5", None, "1"), (None, "c6", None, "1")]
+    offers = spark.createDataFrame([("a", "ACTIVE", None), ("b", "REDEEMED", "")], "offer_id string, status string, order_id string")
+    rows = of.claim_offers(spark.createDataFrame(claims, columns).repartition(4), offers).collect()
+    assert sorted((r.claim_id, r.order_id or "") for r in rows if r.accepted) == [("c1", ""), ("c3", "o"), ("c4", "o")]
+    assert len(rows) == len(claims) and sum(r.rejection == "OFFER_NOT_FOUND" for r in rows) == 2
+    assert [c for c in rows[0].asDict()][:4] == ["offer_id", "claim_id", "order_id", "claimed_at"]
+
+
 NOW = "2026-09-21 12:00:00"
 
 

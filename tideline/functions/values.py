@@ -25,8 +25,8 @@ BRANCHES = [
 _SCALAR_BRANCHES = ["booleanValue", "integerValue", "doubleValue", "stringValue", "referenceValue"]
 # The branches that matter to a column type; the others are not even parsed.
 _READ_BRANCHES = {
-    "FLOAT64": _SCALAR_BRANCHES,
-    "INT64": _SCALAR_BRANCHES + ["timestampValue"],
+    "FLOAT64": _SCALAR_BRANCHES + ["bytesValue"],
+    "INT64": _SCALAR_BRANCHES + ["timestampValue", "bytesValue"],
     "TIMESTAMP": _SCALAR_BRANCHES + ["timestampValue"],
     "BOOL": BRANCHES[1:],
     "STRING": BRANCHES[1:],
@@ -54,21 +54,60 @@ def _integer(value: Column) -> Column:
     return value["integerValue"].try_cast("bigint")
 
 
+def _whole(value: Column) -> Column:
+    """The integer branch as text, if it is a whole number."""
+    return F.when(_integer(value).isNotNull(), value["integerValue"])
+
+
 def _text(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["referenceValue"])
 
 
+def _bytes(value: Column) -> Column:
+    """The decoded bytes; NULL if they are malformed."""
+    return F.try_to_binary(value["bytesValue"], F.lit("base64"))
+
+
 def _number(value: Column) -> Column:
-    """Any numeric branch, or text that reads as a number."""
+    """Any numeric branch, or text or bytes that read as a number."""
     return parse_number(
         F.coalesce(
-            value["doubleValue"], value["integerValue"], value["stringValue"], value["referenceValue"]
+            value["doubleValue"], _whole(value), value["stringValue"], value["referenceValue"],
+            _bytes(value).cast("string"),
         )
     )
 
 
-def _nested(value: Column) -> Column:
-    return F.coalesce(value["geoPointValue"], value["arrayValue"], value["mapValue"])
+def float_text(number: Column) -> Column:
+    """A double in its shortest spelling: plain from 1e-4 to below 1e16, else with an exponent."""
+    size = F.abs(number)
+    short = number.cast("string")
+    plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.regexp_replace(F.regexp_extract(short, "^([^E]*)", 1), r"\.0$", "")
+    power = F.regexp_extract(short, "E(-?[0-9]+)$", 1).try_cast("int")
+    sign = F.when(power < 0, "-").otherwise("+")
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return (
+        F.when(F.isnan(number), "nan")
+        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
+        .when(number == 0.0, short)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(scientific)
+    )
+
+
+def _double(value: Column) -> Column:
+    return parse_number(value["doubleValue"])
+
+
+def nested_value(value: Column) -> Column:
+    """JSON text of a value whose reading needs more than a cast: bytes, points, arrays and maps."""
+    def wrapped(branch: str) -> Column:
+        return F.when(value[branch].isNotNull(), F.concat(F.lit('{"' + branch + '":'), value[branch], F.lit("}")))
+
+    raw = F.when(value["bytesValue"].isNotNull(), F.to_json(F.struct(value["bytesValue"].alias("bytesValue"))))
+    return F.coalesce(raw, *[wrapped(b) for b in ("geoPointValue", "arrayValue", "mapValue")])
 
 
 def _instant(value: Column) -> Column:
@@ -77,27 +116,37 @@ def _instant(value: Column) -> Column:
     )
 
 
-def to_string(value: Column) -> Column:
+def to_string(value: Column, nested: Column | None = None) -> Column:
+    """Text as it is, other values as they are spelled, nested ones as JSON of their plain form."""
     return F.coalesce(
         _text(value),
         F.initcap(_boolean(value).cast("string")),
         _integer(value).cast("string"),
-        parse_number(value["doubleValue"]).cast("string"),
+        float_text(_double(value)),
         iso_text(parse_instant(value["timestampValue"])),
-        value["bytesValue"],
-        _nested(value),
+        plain_text(nested_value(value)) if nested is None else nested,
     )
 
 
-def to_json_text(value: Column) -> Column:
-    quoted = F.coalesce(iso_text(parse_instant(value["timestampValue"])), value["bytesValue"])
+def _quoted(text: Column) -> Column:
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+def to_json_text(value: Column, nested: Column | None = None) -> Column:
+    """JSON of the plain value; text stands as it is."""
+    number = _double(value)
+    spelled = float_text(number)
+    special = F.when(F.isnan(number), "NaN").when(spelled == "inf", "Infinity").when(spelled == "-inf", "-Infinity")
+    moment = F.replace(iso_text(parse_instant(value["timestampValue"])), F.lit("T"), F.lit(" "))
+    nested = plain_text(nested_value(value)) if nested is None else nested
     return F.coalesce(
         _text(value),
         _boolean(value).cast("string"),
         _integer(value).cast("string"),
-        parse_number(value["doubleValue"]).cast("string"),
-        F.concat(F.lit('"'), quoted, F.lit('"')),
-        _nested(value),
+        special, spelled,
+        _quoted(moment),
+        F.when(value["bytesValue"].isNotNull(), _quoted(nested)).otherwise(nested),
     )
 
 
@@ -116,20 +165,24 @@ def to_float64(value: Column) -> Column:
 
 def to_bool(value: Column) -> Column:
     """Text is true only for a few words; other values by being non-zero."""
-    numeric = parse_number(F.coalesce(value["doubleValue"], value["integerValue"]))
-    solid = F.coalesce(value["bytesValue"], _nested(value))
+    numeric = parse_number(F.coalesce(value["doubleValue"], _whole(value)))
+    members = F.get_json_object(value["mapValue"], "$.fields")
     return F.coalesce(
         F.lower(F.trim(_text(value))).isin(_TRUE_WORDS),
         _boolean(value),
         numeric != 0.0,
-        F.when(solid.isNotNull(), ~solid.isin("", "{}", "[]")),
+        F.octet_length(_bytes(value)) > 0,
+        F.when(value["geoPointValue"].isNotNull(), F.lit(True)),
+        F.when(value["arrayValue"].isNotNull(),
+               F.coalesce(F.json_array_length(F.get_json_object(value["arrayValue"], "$.values")) > 0, F.lit(False))),
+        F.when(value["mapValue"].isNotNull(), F.coalesce(F.size(F.json_object_keys(members)) > 0, F.lit(False))),
         F.when(parse_instant(value["timestampValue"]).isNotNull(), F.lit(True)),
     )
 
 
 def to_timestamp(value: Column) -> Column:
     number = F.coalesce(
-        parse_number(F.coalesce(value["doubleValue"], value["integerValue"])),
+        parse_number(F.coalesce(value["doubleValue"], _whole(value))),
         _boolean(value).cast("int").cast("double"),
     )
     scale = F.when(F.abs(number) > MICROS_ABOVE, 1.0).otherwise(1_000_000.0)
@@ -142,9 +195,18 @@ _CASTS = {
 }
 
 
-def coerce_column(value: Column, kind: str) -> Column:
-    """Lossy cast of a typed value to a column type; NULL instead of an error."""
-    return F.when(value.isNotNull(), _CASTS[kind](value))
+# Kinds in which a nested value has a text.
+TEXT_KINDS = ("STRING", "JSON")
+
+
+def coerce_column(value: Column, kind: str, nested: Column | None = None) -> Column:
+    """Lossy cast of a typed value to a column type; NULL instead of an error.
+
+    ``nested`` is ``plain_text(nested_value(value))`` where the caller has it already.
+    """
+    cast = _CASTS[kind]
+    result = cast(value, nested) if kind in TEXT_KINDS else cast(value)
+    return F.when(value.isNotNull(), result)
 
 
 # --- whole documents --------------------------------------------------------
@@ -223,3 +285,27 @@ def decode_document(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     for batch in batches:
         yield batch.map(decode, na_action=None).astype(object)
+
+
+def _plain_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        value = plain_value(json.loads(text))
+    except (ValueError, AttributeError, TypeError):
+        return None
+    return value if value is None or isinstance(value, str) else json.dumps(value, default=str)
+
+
+@F.pandas_udf(T.StringType())
+def plain_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Text of nested typed values in their plain form; NULL for NULL."""
+    for batch in batches:
+        yield batch.map(_plain_text, na_action=None).astype(object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def plain_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The same for the nested values of all columns of a row at once; NULL where a row has none."""
+    for batch in batches:
+        yield batch.map(lambda row: None if row is None else [_plain_text(text) for text in row], na_action=None).astype(object)

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from tideline.functions.scalars import (
     as_col, change_sequence, change_sequence_hex, null_if_empty, parse_instant,
 )
-from tideline.functions.values import coerce_column, decode_document, value_schema
+from tideline.functions.values import (
+    TEXT_KINDS, coerce_column, decode_document, nested_value, plain_texts, value_schema,
+)
 from tideline.sources import snapshots, specs
 from tideline.sources.specs import ROUTES, ColumnSpec, TableSpec
 
@@ -233,9 +235,15 @@ def extract_columns(changes: DataFrame, spec: TableSpec, *extra: str) -> DataFra
     """
     document = F.from_json("document_text", fields_schema(spec.columns), _STRICT_JSON)
     parsed = changes.select("*", F.inline(F.array(F.struct(document.alias("_document")))))
+    values = {c.name: _path_in(F.col("_document"), c.source) for c in spec.columns if not c.derived}
+    # Nested values are read in Python, those of all columns in one call; most rows have none.
+    texts = [c.name for c in spec.columns if c.name in values and c.kind in TEXT_KINDS]
+    if texts:
+        nested = F.array(*[nested_value(values[name]) for name in texts])
+        parsed = parsed.withColumn("_nested", plain_texts(F.when(F.exists(nested, lambda x: x.isNotNull()), nested)))
     columns = [
         F.col(_DERIVED[c.source]) if c.derived
-        else coerce_column(_path_in(F.col("_document"), c.source), c.kind)
+        else coerce_column(values[c.name], c.kind, F.get("_nested", texts.index(c.name)) if c.name in texts else None)
         for c in spec.columns
     ]
     return parsed.select(*[col.alias(c.name) for col, c in zip(columns, spec.columns)], *extra)

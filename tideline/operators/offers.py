@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.policy import PRICING_SCAN_LIMIT
 from tideline.functions.scalars import as_col, null_if_empty
 from tideline.operators.retention import at
+from tideline.session import work_dir
 
 GUARDED_FIELDS = ["status", "claimed_at", "order_id"]
 
@@ -72,9 +73,15 @@ def claim_offers(claims: DataFrame, offers: DataFrame) -> DataFrame:
 
     An ACTIVE offer takes its first claim.  A redeemed offer without an order
     still takes the first claim that brings one.  Both are grouped minimums,
-    so an offer with very many claims needs no ordered pass over them.
+    so an offer with very many claims needs no ordered pass over them.  Claims
+    come by time, id and order; of equal ones a stored row number makes exactly
+    one the first, however often a claim was delivered.
     """
-    position = F.struct("claimed_at", "claim_id")
+    columns = claims.columns
+    path = work_dir(claims.sparkSession, "claims")
+    claims.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    claims = claims.sparkSession.read.parquet(path)
+    position = F.struct("claimed_at", "claim_id", null_if_empty("order_id").alias("order_id"), "_row")
     brings_order = null_if_empty("order_id").isNotNull()
     firsts = claims.groupBy("offer_id").agg(
         F.min(position).alias("_first"),
@@ -84,7 +91,7 @@ def claim_offers(claims: DataFrame, offers: DataFrame) -> DataFrame:
         "offer_id", F.col("status").alias("_status"),
         null_if_empty("order_id").alias("_spent_on"), F.lit(True).alias("_known"),
     )
-    mine = F.struct(F.col("claimed_at"), F.col("claim_id"))
+    mine = position
     active = F.col("_status") == "ACTIVE"
     unspent = (F.col("_status") == "REDEEMED") & F.col("_spent_on").isNull()
     accepted = F.coalesce(
@@ -97,7 +104,7 @@ def claim_offers(claims: DataFrame, offers: DataFrame) -> DataFrame:
         claims.join(state, "offer_id", "left")
         .join(firsts, "offer_id", "left")
         .select(
-            *claims.columns,
+            *columns,
             accepted.alias("accepted"),
             F.when(F.col("_known").isNull(), "OFFER_NOT_FOUND")
             .when(~accepted, F.concat(F.lit("OFFER_IS_"), F.coalesce(status_then, F.lit("NULL"))))

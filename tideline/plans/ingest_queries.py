@@ -303,36 +303,76 @@ def extract_columns(t):
     return ingest.extract_columns(changes, specs.ORDERS_CURRENT, "event_id").select("event_id", *_ORDER_NAMES)
 
 
-_MESSY = """SELECT order_key, CASE order_key % 9 WHEN 0 THEN 'stringValue' WHEN 1 THEN 'doubleValue' WHEN 2 THEN 'integerValue' WHEN 3 THEN 'booleanValue'
-    WHEN 4 THEN 'stringValue' WHEN 5 THEN 'stringValue' WHEN 6 THEN 'timestampValue' WHEN 7 THEN 'nullValue' ELSE 'doubleValue' END AS branch,
-  CASE order_key % 9 WHEN 0 THEN concat(order_key, '.9') WHEN 1 THEN concat('-', order_key, '.5') WHEN 2 THEN concat(order_key, '') WHEN 3 THEN CASE WHEN order_key % 2 = 0 THEN 'true' ELSE 'false' END
-    WHEN 4 THEN ' YES ' WHEN 5 THEN 'not-a-number' WHEN 6 THEN '2026-08-31T10:15:00Z' WHEN 7 THEN 'x' ELSE 'Infinity' END AS raw FROM fx_orders"""
-
-
-@query("coerce_column", f"""WITH m AS ({_MESSY})
-SELECT order_key, CASE order_key % 9 WHEN 0 THEN order_key WHEN 1 THEN -order_key WHEN 2 THEN order_key WHEN 3 THEN CASE WHEN raw = 'true' THEN 1 ELSE 0 END
-    WHEN 6 THEN 1788171300000000 END AS as_int64,
-  CASE order_key % 9 WHEN 0 THEN order_key + 0.9e0 WHEN 1 THEN -(order_key + 0.5e0) WHEN 2 THEN order_key WHEN 3 THEN CASE WHEN raw = 'true' THEN 1 ELSE 0 END END AS as_float64,
-  CASE order_key % 9 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN raw = 'true' WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN true WHEN 8 THEN true END AS as_bool,
-  CASE order_key % 9 WHEN 0 THEN raw WHEN 2 THEN raw WHEN 3 THEN CASE WHEN raw = 'true' THEN 'True' ELSE 'False' END WHEN 4 THEN raw WHEN 5 THEN raw WHEN 6 THEN '2026-08-31T10:15:00+00:00' END AS as_string,
-  cast(CASE order_key % 9 WHEN 1 THEN make_timestamp(-(order_key * 1000000 + 500000)) WHEN 2 THEN make_timestamp(order_key * 1000000) WHEN 3 THEN make_timestamp(CASE WHEN raw = 'true' THEN 1000000 ELSE 0 END)
-    WHEN 6 THEN timestamp '2026-08-31 10:15:00' END AS varchar) AS as_timestamp
-FROM m""")
+# One case per branch, and the odd spellings of some: branch, raw value, then what each
+# column type makes of it (SQL expressions over k, the order key; none is NULL).
+_CASES = [
+    ("stringValue", "concat(k, '.9')", {"int64": "k", "float64": "k + 0.9e0", "bool": "false", "string": "raw", "json": "raw"}),
+    ("stringValue", "' YES '", {"bool": "true", "string": "raw", "json": "raw"}),
+    ("stringValue", "'not-a-number'", {"bool": "false", "string": "raw", "json": "raw"}),
+    ("stringValue", "'2026-08-31T10:15:00'", {"bool": "false", "string": "raw", "json": "raw", "timestamp": "'2026-08-31 10:15:00'"}),
+    ("doubleValue", "concat('-', k, '.5')", {
+        "int64": "-k", "float64": "-(k + 0.5e0)", "bool": "true", "string": "raw", "json": "raw",
+        "timestamp": "cast(make_timestamp(-(k * 1000000 + 500000)) AS varchar)"}),
+    ("doubleValue", "'12345678.5'", {
+        "int64": "12345678", "float64": "12345678.5e0", "bool": "true", "string": "raw", "json": "raw", "timestamp": "'1970-05-23 21:21:18.5'"}),
+    ("doubleValue", "'1.0E22'", {"float64": "1e22", "bool": "true", "string": "'1e+22'", "json": "'1e+22'"}),
+    ("doubleValue", "'0.00001'", {
+        "int64": "0", "float64": "0.00001e0", "bool": "true", "string": "'1e-05'", "json": "'1e-05'", "timestamp": "'1970-01-01 00:00:00.00001'"}),
+    ("doubleValue", "'0'", {
+        "int64": "0", "float64": "0", "bool": "false", "string": "'0.0'", "json": "'0.0'", "timestamp": "'1970-01-01 00:00:00'"}),
+    ("integerValue", "concat('00', k)", {
+        "int64": "k", "float64": "k", "bool": "k <> 0", "string": "concat(k, '')", "json": "concat(k, '')",
+        "timestamp": "cast(make_timestamp(k * 1000000) AS varchar)"}),
+    ("integerValue", "'4.5'", {}),
+    ("booleanValue", "CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END", {
+        "int64": "1 - k % 2", "float64": "1 - k % 2", "bool": "k % 2 = 0", "string": "CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END",
+        "json": "raw", "timestamp": "CASE WHEN k % 2 = 0 THEN '1970-01-01 00:00:01' ELSE '1970-01-01 00:00:00' END"}),
+    ("timestampValue", "'2026-08-31T10:15:00.25Z'", {
+        "int64": "1788171300250000", "bool": "true", "string": "'2026-08-31T10:15:00.250000+00:00'",
+        "json": "'\"2026-08-31 10:15:00.250000+00:00\"'", "timestamp": "'2026-08-31 10:15:00.25'"}),
+    ("nullValue", "'x'", {}),
+    ("bytesValue", "'YSJiXGMA'", {"bool": "true", "string": "'b\'\'a\"b\\\\c\\x00\'\''", "json": "'\"b\'\'a\\\"b\\\\\\\\c\\\\x00\'\'\"'"}),
+    ("referenceValue", "concat('docs/', k)", {"bool": "false", "string": "raw", "json": "raw"}),
+    ("geoPointValue", "concat('{\"latitude\":', k, '.25}')", {
+        "bool": "true", "string": "concat('{\"latitude\": ', k, '.25, \"longitude\": 0.0}')", "json": "concat('{\"latitude\": ', k, '.25, \"longitude\": 0.0}')"}),
+    ("arrayValue", "concat('{\"values\":[{\"integerValue\":\"', k, '\"},{\"mapValue\":{\"fields\":{\"a\":{\"arrayValue\":{}}}}},{\"nullValue\":null}]}')", {
+        "bool": "true", "string": "concat('[', k, ', {\"a\": []}, null]')", "json": "concat('[', k, ', {\"a\": []}, null]')"}),
+    ("arrayValue", "'{}'", {"bool": "false", "string": "'[]'", "json": "'[]'"}),
+    ("mapValue", "concat('{\"fields\":{\"n\":{\"integerValue\":\"', k, '\"},\"t\":{\"timestampValue\":\"2026-08-31T10:15:00Z\"},\"b\":{\"booleanValue\":true}}}')", {
+        "bool": "true", **dict.fromkeys(("string", "json"), "concat('{\"n\": ', k, ', \"t\": \"2026-08-31 10:15:00+00:00\", \"b\": true}')")}),
+    ("mapValue", "'{\"fields\":{}}'", {"bool": "false", "string": "'{}'", "json": "'{}'"}),
+]
+_COLUMN_TYPES = {"int64": "bigint", "float64": "double", "bool": "boolean", "string": "varchar", "json": "varchar", "timestamp": "varchar"}
+
+
+def _cases(of, over: str) -> str:
+    return f"CASE order_key % {len(_CASES)} " + " ".join(
+        f"WHEN {i} THEN {of(case)}" for i, case in enumerate(_CASES)) + f" END AS {over}"
+
+
+def _coerced_sql() -> str:
+    raw = f"SELECT order_key, order_key AS k, {_cases(lambda c: c[1].replace('concat(k', 'concat(order_key').replace(', k,', ', order_key,').replace(', k)', ', order_key)').replace('k % 2', 'order_key % 2'), 'raw')} FROM fx_orders"
+    wanted = ", ".join(
+        "CAST(" + _cases(lambda c, kind=kind: c[2].get(kind, "NULL"), "v").removesuffix(" AS v") + f" AS {sql}) AS as_{kind}"
+        for kind, sql in _COLUMN_TYPES.items())
+    return f"WITH m AS ({raw}) SELECT order_key, {wanted} FROM m"
+
+
+@query("coerce_column", _coerced_sql())
 def coerce_query(t):
+    """Every branch of a typed value, cast to every column type."""
     from tideline.functions.values import BRANCHES
 
-    rows = t.sql(_MESSY).withColumn(
-        "value", F.struct(*[F.when(F.col("branch") == b, F.col("raw")).alias(b) for b in BRANCHES])
-    )
-    value = F.col("value")
-    number = coerce_column(value, "FLOAT64")
-    kind = F.col("order_key") % 9
-    return rows.select(
-        "order_key", coerce_column(value, "INT64").alias("as_int64"),
-        F.when(kind != 8, number).alias("as_float64"), coerce_column(value, "BOOL").alias("as_bool"),
-        F.when(~kind.isin(1, 8), coerce_column(value, "STRING")).alias("as_string"),
-        coerce_column(value, "TIMESTAMP").alias("as_timestamp"),
-    )
+    raw, branch, key = F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("order_key")
+    for i, (name, spelled, _) in enumerate(_CASES):
+        mine = key % len(_CASES) == i
+        spelled = F.expr(spelled.replace("concat(k", "concat(order_key").replace(", k,", ", order_key,").replace(
+            ", k)", ", order_key)").replace("k % 2", "order_key % 2").replace("\\", "\\\\"))
+        raw, branch = F.when(mine, spelled).otherwise(raw), F.when(mine, F.lit(name)).otherwise(branch)
+    rows = t.fx_orders.select("order_key", raw.alias("raw"), branch.alias("branch"))
+    value = F.struct(*[F.when(F.col("branch") == b, F.col("raw")).alias(b) for b in BRANCHES])
+    rows = rows.select("order_key", F.explode(F.array(value)).alias("value"))
+    return rows.select("order_key", *[coerce_column(F.col("value"), kind.upper()).alias(f"as_{kind}") for kind in _COLUMN_TYPES])
 
 
 @query("change_sequence", f"WITH {_EVENTS} SELECT event_id, epoch_us(ts) AS sequence, lower(to_hex(epoch_us(ts))) AS sequence_hex FROM ev")

@@ -160,8 +160,8 @@ def resolve_offer(t):
 
 @query("claim_offers", """
 WITH claims AS (SELECT c.*, o.status, nullif(o.order_id, '') AS spent, o.offer_id IS NOT NULL AS known,
-    row_number() OVER (PARTITION BY c.offer_id ORDER BY c.claimed_at, c.claim_id) AS pos,
-    CASE WHEN c.order_id IS NOT NULL THEN row_number() OVER (PARTITION BY c.offer_id, c.order_id IS NULL ORDER BY c.claimed_at, c.claim_id) END AS order_pos
+    row_number() OVER (PARTITION BY c.offer_id ORDER BY c.claimed_at, c.claim_id, c.order_id NULLS FIRST) AS pos,
+    CASE WHEN c.order_id IS NOT NULL THEN row_number() OVER (PARTITION BY c.offer_id, c.order_id IS NULL ORDER BY c.claimed_at, c.claim_id, c.order_id) END AS order_pos
   FROM fx_claims c LEFT JOIN fx_offers o ON o.offer_id = c.offer_id),
 judged AS (SELECT *, coalesce((status = 'ACTIVE' AND pos = 1)
     OR ((status = 'ACTIVE' OR (status = 'REDEEMED' AND spent IS NULL)) AND order_pos = 1), false) AS accepted FROM claims)
