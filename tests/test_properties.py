@@ -8,7 +8,9 @@ from tideline.plans import ingest_queries as iq
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY, Tables
 from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
 from tideline.session import work_dir
-from tideline.sources import mirror, specs
+from tideline.sources import days, mirror, specs
+from tideline.streaming import ingest_stream
+from tideline.streaming.ingest_stream import process_batch
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,6 +118,93 @@ def test_repeated_batch_changes_nothing(spark):
     assert rows(mirror.read_current(spark, root, spec)) == first
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mirror_buckets(spark):
+    """Compacted buckets are read without a shuffle, others keep their files, old tombstones can go."""
+    t = Tables(spark, SF)
+    root, spec = work_dir(spark, "buckets"), specs.CUSTOMERS_CURRENT
+    changes = ingest.decode_events(iq.customer_envelopes(t), received_at=NOW, with_raw=False)
+    winners = ingest.mirror_changes(ingest.newest_changes(ingest.for_table(changes, spec)), spec)
+    mirror.write_batch(winners, root, spec, 0, buckets=4)
+    assert "Exchange" in plan_of(mirror.read_current(spark, root, spec))
+    assert mirror.compact(spark, root, spec) == [0, 1, 2, 3]
+    whole = mirror.read_current(spark, root, spec)
+    first = rows(whole)
+    assert len(first) == winners.count()
+    assert "Exchange" not in plan_of(whole) and "Sort" not in plan_of(whole)
+    # A delete of one key touches one bucket.
+    key = winners.agg(F.min("customer_id")).first()[0]
+    rest = rows(whole.where(F.col("customer_id") != key))
+    gone = winners.where(F.col("customer_id") == key).withColumns({"_is_delete": F.lit(True), "_sequence": F.col("_sequence") + 1})
+    mirror.write_batch(gone, root, spec, 1)
+    mirror.write_batch(winners.where(F.col("customer_id") == key), root, spec, 2)
+    assert mirror.compact(spark, root, spec, least=3) == []
+    assert rows(mirror.read_current(spark, root, spec)) == rest
+    moment = gone.first()["_sequence"]
+    assert len(mirror.compact(spark, root, spec, forget_before=moment)) == 1
+    assert mirror.read_winners(spark, root, spec).where("_is_delete").count() == 1
+    mirror.write_batch(winners.limit(0), root, spec, 3, channel="walk")
+    assert mirror.compact(spark, root, spec, forget_before=moment + 1) == []
+    mirror.write_batch(gone, root, spec, 0, channel="walk")
+    assert len(mirror.compact(spark, root, spec, forget_before=moment + 1)) == 1
+    assert mirror.read_winners(spark, root, spec).where("_is_delete").count() == 0
+    assert rows(mirror.read_current(spark, root, spec)) == rest
+
+
+def test_newest_changes_are_found_before_documents_are_decoded(spark):
+    t = Tables(spark, SF)
+    changes = ingest.decode_events(iq.order_envelopes(t), received_at=NOW, with_raw=False)
+    plan = plan_of(ingest.upsert_current(changes, specs.ORDERS_CURRENT))
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    # Plans are printed from the top: documents are decoded above the shuffle.
+    assert plan.index("plain_texts") < plan.index("Exchange hashpartitioning")
+
+
+def test_ledger_days(spark):
+    """A day's rows come from that day's folders; folding and repeating change nothing."""
+    t = Tables(spark, SF)
+    path = work_dir(spark, "ledger")
+    changes = ingest.decode_events(iq.order_envelopes(t), received_at=NOW, with_raw=True)
+    ledger = ingest.ledger_rows(changes.where("change_timestamp < '1995-03-01'"))
+    for batch, channel in ((0, "batch"), (1, "batch"), (0, "walk"), (1, "batch")):
+        part = ledger.where(F.pmod(F.xxhash64("order_id"), F.lit(3)) == batch + 2 * (channel == "walk"))
+        ingest.append_ledger(part, path, batch, channel=channel)
+    want = rows(ledger.withColumn("change_date", F.to_date("change_timestamp")))
+    assert rows(ingest.read_ledger(spark, path)) == want
+    day = next(d for d, names in sorted(days.writers_of(spark, path).items()) if len(names) > 1)
+    one = ingest.read_ledger(spark, path, [day])
+    assert {f"/_day={day}/" in f for f in one.inputFiles()} == {True}
+    assert day in ingest.fold_ledger(spark, path, least=2)
+    assert len(days.writers_of(spark, path, [day])[day]) == 1
+    assert rows(ingest.read_ledger(spark, path)) == want
+    ingest.append_ledger(ledger.where(F.to_date("change_timestamp") == day).limit(1), path, 7)
+    assert len(days.writers_of(spark, path, [day])[day]) == 2 and ingest.read_ledger(spark, path).count() == len(want) + 1
+    last = days.days_of(spark, path)[-1]
+    days.drop_days(spark, path, last)
+    assert days.days_of(spark, path) == [last]
+
+
+def test_redelivery_is_dropped_from_the_ledger_alone(spark):
+    """A repeated event, batches later, reads only the ids of its own days."""
+    t = Tables(spark, SF)
+    root = work_dir(spark, "redelivered")
+    envelopes = iq.order_envelopes(t).where("event_id LIKE '%7-1'")
+    old = envelopes.where(F.col("event_time") < "1996")
+    process_batch(envelopes, 0, root, dedupe=True)
+    process_batch(envelopes.where(F.col("event_time") > "2000"), 1, root, dedupe=True)
+    process_batch(old, 2, root, dedupe=True)
+    path = f"{root}/{specs.ORDERS_LEDGER.name}"
+    assert ingest.read_ledger(spark, path).count() == envelopes.select("event_id").distinct().count()
+    process_batch(envelopes, 0, root, dedupe=True)
+    assert ingest.read_ledger(spark, path).count() == envelopes.select("event_id").distinct().count()
+    touched = {r[0] for r in old.select(F.substring("event_time", 1, 10)).distinct().collect()}
+    ids = days.read_days(spark, f"{root}/ledger_ids", ingest_stream._IDS, touched)
+    assert {any(f"_day={d}/" in f for d in touched) for f in ids.inputFiles()} == {True}
+
+
 def test_features_do_not_see_the_future(spark):
     facts = features.order_facts(Tables(spark, SF).fx_orders)
     past = facts.where(F.col("order_date") <= F.lit(CUTOFF).cast("date"))

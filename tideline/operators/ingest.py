@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from tideline.functions.scalars import (
 from tideline.functions.values import (
     TEXT_KINDS, coerce_column, decode_document, nested_value, plain_texts, value_schema,
 )
-from tideline.sources import snapshots, specs
+from tideline.sources import days, snapshots, specs
 from tideline.sources.specs import ROUTES, ColumnSpec, TableSpec
 
 # Event types and the operations they stand for.
@@ -257,21 +257,29 @@ def ledger_rows(changes: DataFrame, spec: TableSpec = specs.ORDERS_LEDGER) -> Da
     return extract_columns(for_table(changes, spec), spec)
 
 
-def append_ledger(rows: DataFrame, path: str, batch_id: int, spec: TableSpec = specs.ORDERS_LEDGER) -> None:
-    """Append a batch to the ledger, partitioned by day inside the batch's folder.
+def ledger_schema(spec: TableSpec = specs.ORDERS_LEDGER) -> T.StructType:
+    return T.StructType([*spec.schema.fields, T.StructField("change_date", T.DateType())])
 
-    A batch owns its folder, so repeating it replaces what it wrote.  Rows are
-    rebalanced by day: small days share a task, and a day that holds most of a
-    batch is split over several.
+
+def append_ledger(rows: DataFrame, path: str, batch_id: int, spec: TableSpec = specs.ORDERS_LEDGER,
+                  channel: str = days.CHANNELS[0]) -> None:
+    """Append a batch to the ledger, whose days hold one folder per batch.
+
+    A batch owns its folders, so repeating it replaces what it wrote.
     """
-    (
-        rows.withColumn("change_date", F.to_date(spec.partition_by))
-        .hint("rebalance", "change_date")
-        .sortWithinPartitions("change_date", *spec.cluster_by)
-        .write.mode("overwrite")
-        .partitionBy("change_date")
-        .parquet(f"{path}/batch_id={batch_id}")
-    )
+    dated = rows.withColumn("change_date", F.to_date(spec.partition_by))
+    days.write_days(dated, path, batch_id, F.col("change_date"), channel, spec.cluster_by)
+
+
+def read_ledger(spark: SparkSession, path: str, only: Iterable[str] | None = None,
+                spec: TableSpec = specs.ORDERS_LEDGER) -> DataFrame:
+    """The ledger's rows; ``only`` names days, and no others are listed."""
+    return days.read_days(spark, path, ledger_schema(spec), only)
+
+
+def fold_ledger(spark: SparkSession, path: str, least: int = 8, spec: TableSpec = specs.ORDERS_LEDGER) -> list[str]:
+    """Fold the small files of days that have at least ``least`` folders."""
+    return days.fold_days(spark, path, ledger_schema(spec), F.col("change_date"), least, spec.cluster_by)
 
 
 def dedupe_redelivery(envelopes: DataFrame) -> DataFrame:
@@ -310,20 +318,28 @@ def mirror_changes(changes: DataFrame, spec: TableSpec, arrival: str = "event_id
     )
 
 
+def _newest(rows: DataFrame, key: str, order: Iterable[str]) -> DataFrame:
+    """One row per key, the last by ``order``.
+
+    The rank filter runs before the shuffle too, so a key with very many versions
+    sends one row per task.
+    """
+    by = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
+
+
+def newest_changes(changes: DataFrame, arrival: str = "event_id") -> DataFrame:
+    """Per document the change with the greatest (sequence, delete, arrival), not yet decoded."""
+    columns = [c for c in changes.columns if c != "document_json"]
+    return _newest(changes.select(*columns), "document_id", ["sequence", "is_delete", arrival])
+
+
 def upsert_winners(changes: DataFrame, key: str) -> DataFrame:
     """Per key the version with the greatest (sequence, delete, arrival).
 
     Tombstones stay, so a late older upsert cannot bring a deleted key back.
-    The maximum is taken on the map side first: a key with very many versions
-    sends one row per task.
     """
-    rest = [c for c in changes.columns if c != key]
-    return (
-        changes.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), F.struct(*CONTROL)).alias("w"))
-        .select(key, "w.*")
-        .select(*changes.columns)
-    )
+    return _newest(changes, key, CONTROL)
 
 
 def live_rows(winners: DataFrame) -> DataFrame:
@@ -332,8 +348,12 @@ def live_rows(winners: DataFrame) -> DataFrame:
 
 
 def upsert_current(changes: DataFrame, spec: TableSpec, arrival: str = "event_id") -> DataFrame:
-    """Current state of a keyed table from any set of changes, in any order."""
-    return live_rows(upsert_winners(mirror_changes(changes, spec, arrival), spec.key))
+    """Current state of a keyed table from any set of changes, in any order.
+
+    The newest change of each document is found before documents are decoded.
+    """
+    newest = newest_changes(for_table(changes, spec), arrival).where(~F.col("is_delete"))
+    return live_rows(mirror_changes(newest, spec, arrival))
 
 
 def merge_mirror(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:

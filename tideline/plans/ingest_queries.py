@@ -15,7 +15,7 @@ from tideline.plans.registry import query
 from tideline.session import work_dir
 from tideline.sources import mirror, snapshots, specs
 from tideline.sources.events import read_change_events
-from tideline.streaming.ingest_stream import start_ingest
+from tideline.streaming.ingest_stream import backfill, process_batch, start_ingest
 
 _TYPE = "google.cloud.firestore.document.v1."
 _NAME = "projects/p/databases/(default)/documents/"
@@ -59,23 +59,50 @@ def _order_members() -> Column:
         customerEmail=_v("stringValue", "customer_email"),
         customerSegment=_v("stringValue", "customer_segment"),
         paymentStatus=_v("stringValue", "payment_status"),
+        paymentMethod=_v("referenceValue", F.concat(F.lit("method/"), (key % 5).cast("string"))),
         currency=_v("stringValue", F.lit("EUR")),
         financials=_section(
             grandTotal=_v("doubleValue", "grand_total"),
             subtotal=_v("integerValue", F.floor("grand_total").cast("string")),
             profitMargin=_v("stringValue", F.col("profit_margin").cast("string")),
+            taxAmount=_v("doubleValue", key * 0.25),
+            shippingFee=_v("integerValue", (key % 20).cast("string")),
+            discountTotal=_v("stringValue", F.concat(key % 7, F.lit(".5"))),
+        ),
+        transactionalMetrics=_section(
+            totalSpend90d=_v("doubleValue", key * 1.5),
+            lifetimeSpend=_v("doubleValue", key * 3.0),
+            avgOrderValue=_v("integerValue", key.cast("string")),
+            purchaseFrequencyMonthly=_v("doubleValue", (key % 8) * 0.5),
+            daysSinceLastPurchase=_v("stringValue", (key % 90).cast("string")),
+            ordersCountLast12m=_v("integerValue", (key % 12).cast("string")),
         ),
         engagement=_section(
             loginFrequencyMonthly=_v("doubleValue", F.col("login_frequency_monthly") + 0.9),
             avgSessionDurationMinutes=_v("doubleValue", "avg_session_duration_minutes"),
             cartAbandonmentCount=_v("stringValue", F.concat("cart_abandonment_count", F.lit(".7"))),
+            appEngagementScore=_v("doubleValue", "app_engagement_score"),
+            appSessionsLast30d=_v("integerValue", (key % 40).cast("string")),
+            abandonedCartValue90d=_v("doubleValue", "abandoned_cart_value_90d"),
         ),
         supportMetrics=_section(
+            supportTicketsCount=_v("integerValue", F.col("support_tickets_count").cast("string")),
+            openSupportTicketsCount=_v("integerValue", F.col("open_support_tickets_count").cast("string")),
+            returnRatePercent=_v("doubleValue", "return_rate_percent"),
+            primaryComplaintReason=_v("stringValue", F.when(key % 3 != 0, "LATE_DELIVERY")),
             complaintsCount=_v("booleanValue", F.col("complaints_count") > 1),
             sentimentScore=_v("doubleValue", "sentiment_score"),
             hasActiveComplaint=_v("stringValue", complained),
         ),
-        customerFeedback=_section(rating=_v("integerValue", F.col("feedback_rating").cast("string"))),
+        customerFeedback=_section(
+            rating=_v("integerValue", F.col("feedback_rating").cast("string")),
+            channel=_v("stringValue", F.when(key % 2 == 0, "APP").otherwise("EMAIL")),
+        ),
+        shippingAddress=_section(
+            # A nested value where text is expected.
+            city=F.concat(F.lit('{"mapValue":{"fields":{"name":{"integerValue":"'), (key % 50).cast("string"), F.lit('"}}}}')),
+            countryCode=_v("stringValue", F.lit("DE")),
+        ),
         accountState=_section(
             loyaltyTier=_v("stringValue", "loyalty_tier"),
             isLoyaltyMember=_v("integerValue", F.col("is_loyalty_member").cast("int").cast("string")),
@@ -84,6 +111,7 @@ def _order_members() -> Column:
             ),
         ),
         createdAt=created,
+        updatedAt=_v("timestampValue", F.date_format(F.expr("created_at + INTERVAL '1' HOUR"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         tags=F.lit('{"arrayValue":{"values":[{"stringValue":"a"},{"mapValue":{"fields":{"n":{"integerValue":"7"}}}}]}}'),
     )
 
@@ -160,13 +188,36 @@ def customer_envelopes(t: Tables) -> DataFrame:
     key = F.col("order_key")
     fields = _map(
         customerName=_v("stringValue", F.concat(F.lit("Name "), "customer_id")),
+        customerEmail=_v("stringValue", F.concat("customer_id", F.lit("@example.test"))),
         customerSegment=_v("stringValue", "customer_segment"),
         loyaltyTier=_v("stringValue", "loyalty_tier"),
         isLoyaltyMember=_v("booleanValue", F.col("loyalty_tier") != "NONE"),
         accountAgeDays=_v("integerValue", F.col("account_age_days").cast("string")),
         lifetimeSpend=_v("doubleValue", "grand_total"),
+        totalSpend90d=_v("doubleValue", key * 0.5),
+        ordersCount=_v("integerValue", (key % 30).cast("string")),
+        daysSinceLastPurchase=_v("doubleValue", key % 60 + 0.5),
         lastOrderAt=_v("stringValue", F.lit("2001-07-31T12:00:00+02:00")),
-        supportMetrics=_section(returnFrequency=_v("integerValue", (key % 5).cast("string"))),
+        updatedAt=_v("integerValue", F.lit("996624000")),
+        iamPrincipal=_v("referenceValue", F.concat(F.lit("users/"), key)),
+        isDemoPersona=_v("stringValue", F.when(key % 2 == 0, "yes").otherwise("off")),
+        engagement=_section(
+            loginFrequencyMonthly=_v("integerValue", (key % 31).cast("string")),
+            avgSessionDurationMinutes=_v("doubleValue", (key % 100) * 0.25),
+            appEngagementScore=_v("stringValue", F.lit("0.75")),
+            cartAbandonmentCount=_v("integerValue", (key % 4).cast("string")),
+        ),
+        supportMetrics=_section(
+            returnFrequency=_v("integerValue", (key % 5).cast("string")),
+            supportTicketsCount=_v("integerValue", (key % 6).cast("string")),
+            openSupportTicketsCount=_v("booleanValue", key % 2 == 0),
+            complaintsCount=_v("integerValue", (key % 3).cast("string")),
+            returnRatePercent=_v("doubleValue", (key % 10) * 1.5),
+            sentimentScore=_v("doubleValue", "sentiment_score"),
+            hasActiveComplaint=_v("booleanValue", "has_active_complaint"),
+            primaryComplaintReason=_v("stringValue", F.when(key % 3 == 0, "RMA_DELAY")),
+            recentFrictionEvent=F.concat(F.lit('{"arrayValue":{"values":[{"integerValue":"'), key, F.lit('"},{"stringValue":"x"}]}}')),
+        ),
         customerFeedback=_section(rating=_v("integerValue", F.col("feedback_rating").cast("string"))),
     )
     name = F.concat(F.lit(_NAME + "customers/"), F.col("customer_id"))
@@ -284,17 +335,21 @@ def route_changes(t):
     return ingest.route_changes(ingest.decode_events(both, received_at=NOW, with_raw=False)).select("event_id", "destination")
 
 
+# Every column of the orders mirror but its key and its commit time.
 _ORDER_COLUMNS = """customer_id, customer_name, customer_email, customer_segment, st AS order_status, payment_status, 'EUR' AS currency,
-  grand_total, cast(floor(grand_total) AS double) AS subtotal, profit_margin, login_frequency_monthly, avg_session_duration_minutes,
-  cart_abandonment_count, CASE WHEN complaints_count > 1 THEN 1 ELSE 0 END AS complaints_count, sentiment_score, has_active_complaint,
-  feedback_rating, loyalty_tier, is_loyalty_member, CASE WHEN order_key % 9 = 0 THEN NULL ELSE account_age_days END AS account_age_days,
-  cast(created_at AS varchar) AS created_at"""
-_ORDER_NAMES = [
-    "customer_id", "customer_name", "customer_email", "customer_segment", "order_status", "payment_status",
-    "currency", "grand_total", "subtotal", "profit_margin", "login_frequency_monthly",
-    "avg_session_duration_minutes", "cart_abandonment_count", "complaints_count", "sentiment_score",
-    "has_active_complaint", "feedback_rating", "loyalty_tier", "is_loyalty_member", "account_age_days", "created_at",
-]
+  concat('method/', order_key % 5) AS payment_method, grand_total, cast(floor(grand_total) AS double) AS subtotal, profit_margin,
+  order_key * 0.25e0 AS tax_amount, cast(order_key % 20 AS double) AS shipping_fee, order_key % 7 + 0.5e0 AS discount_total,
+  order_key * 1.5e0 AS total_spend_90d, order_key * 3.0e0 AS lifetime_spend, cast(order_key AS double) AS avg_order_value,
+  (order_key % 8) * 0.5e0 AS purchase_frequency_monthly, order_key % 90 AS days_since_last_purchase, order_key % 12 AS orders_count_last_12m,
+  login_frequency_monthly, avg_session_duration_minutes, app_engagement_score, order_key % 40 AS app_sessions_last_30d, abandoned_cart_value_90d,
+  cart_abandonment_count, support_tickets_count, open_support_tickets_count, return_rate_percent,
+  CASE WHEN order_key % 3 <> 0 THEN 'LATE_DELIVERY' END AS primary_complaint_reason,
+  CASE WHEN complaints_count > 1 THEN 1 ELSE 0 END AS complaints_count, sentiment_score, has_active_complaint,
+  feedback_rating, CASE WHEN order_key % 2 = 0 THEN 'APP' ELSE 'EMAIL' END AS feedback_channel, loyalty_tier, is_loyalty_member,
+  CASE WHEN order_key % 9 = 0 THEN NULL ELSE account_age_days END AS account_age_days,
+  concat('{"name": ', order_key % 50, '}') AS shipping_city, 'DE' AS shipping_country_code,
+  cast(created_at AS varchar) AS created_at, cast(created_at + interval '1' hour AS varchar) AS updated_at"""
+_ORDER_NAMES = [c.name for c in specs.ORDERS_CURRENT.columns if c.name not in ("order_id", "change_timestamp")]
 
 
 @query("extract_columns", f"WITH {_EVENTS} SELECT event_id, {_ORDER_COLUMNS} FROM ev")
@@ -380,22 +435,21 @@ def change_sequence(t):
     return _decoded(t).where(_FROM_ORDERS).select("event_id", "sequence", "sequence_hex")
 
 
-_LEDGER_SQL = f"""SELECT order_id, op AS operation_type, customer_id, st AS order_status, grand_total, profit_margin,
+_LEDGER_SQL = f"""SELECT order_id, op AS operation_type, customer_id, customer_name, customer_email, customer_segment, st AS order_status,
+  payment_status, concat('method/', order_key % 5) AS payment_method, 'EUR' AS currency, grand_total,
+  cast(floor(grand_total) AS double) AS subtotal, profit_margin,
   cast(ts AS varchar) AS change_timestamp, cast(cast(ts AS date) AS varchar) AS change_date, customer_id AS document_customer FROM ev"""
 
 
 def _ledger_result(df: DataFrame) -> DataFrame:
-    return df.select(
-        "order_id", "operation_type", "customer_id", "order_status", "grand_total", "profit_margin",
-        "change_timestamp", "change_date", F.get_json_object("document_data", "$.customerId").alias("document_customer"),
-    )
+    return df.withColumn("document_customer", F.get_json_object("document_data", "$.customerId")).drop("document_data")
 
 
 @query("append_ledger", f"WITH {_EVENTS} {_LEDGER_SQL}")
 def append_ledger(t):
     path = work_dir(t.spark, "ledger")
     ingest.append_ledger(ingest.ledger_rows(_decoded(t, with_raw=True)), path, batch_id=0)
-    return _ledger_result(t.spark.read.parquet(path))
+    return _ledger_result(ingest.read_ledger(t.spark, path))
 
 
 _LIVE = f"""live AS (SELECT * FROM (SELECT ev.*, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, v DESC) AS rn FROM ev) q
@@ -412,13 +466,18 @@ def orders_current(t):
     return ingest.upsert_current(_decoded(t), specs.ORDERS_CURRENT).select("order_id", *_ORDER_NAMES, "change_timestamp")
 
 
-_CUSTOMER_SQL = """SELECT customer_id, concat('Name ', customer_id) AS customer_name, customer_segment, loyalty_tier,
-  loyalty_tier <> 'NONE' AS is_loyalty_member, account_age_days, grand_total AS lifetime_spend, '2001-07-31 10:00:00' AS last_order_at,
-  order_key % 5 AS return_frequency, feedback_rating, '2001-08-01 00:00:00' AS change_timestamp FROM fx_profiles"""
-_CUSTOMER_NAMES = [
-    "customer_id", "customer_name", "customer_segment", "loyalty_tier", "is_loyalty_member", "account_age_days",
-    "lifetime_spend", "last_order_at", "return_frequency", "feedback_rating", "change_timestamp",
-]
+# Every column of the customers mirror.
+_CUSTOMER_SQL = """SELECT customer_id, concat('Name ', customer_id) AS customer_name, concat(customer_id, '@example.test') AS customer_email,
+  customer_segment, loyalty_tier, loyalty_tier <> 'NONE' AS is_loyalty_member, account_age_days, grand_total AS lifetime_spend,
+  order_key % 30 AS orders_count, '2001-07-31 10:00:00' AS last_order_at, order_key % 60 AS days_since_last_purchase,
+  order_key % 31 AS login_frequency_monthly, (order_key % 100) * 0.25e0 AS avg_session_duration_minutes, 0.75e0 AS app_engagement_score,
+  order_key % 4 AS cart_abandonment_count, order_key % 6 AS support_tickets_count, 1 - order_key % 2 AS open_support_tickets_count,
+  order_key % 3 AS complaints_count, (order_key % 10) * 1.5e0 AS return_rate_percent, concat('users/', order_key) AS iam_principal,
+  order_key % 2 = 0 AS is_demo_persona, '2001-08-01 00:00:00' AS updated_at, '2001-08-01 00:00:00' AS change_timestamp,
+  order_key * 0.5e0 AS total_spend_90d, order_key % 5 AS return_frequency, sentiment_score, has_active_complaint,
+  CASE WHEN order_key % 3 = 0 THEN 'RMA_DELAY' END AS primary_complaint_reason, concat('[', order_key, ', "x"]') AS recent_friction_event,
+  feedback_rating FROM fx_profiles"""
+_CUSTOMER_NAMES = [c.name for c in specs.CUSTOMERS_CURRENT.columns]
 
 
 @query("customers_current", _CUSTOMER_SQL)
@@ -457,19 +516,25 @@ def _snapshot(t: Tables) -> DataFrame:
     )
 
 
-@query("backfill_reconcile", f"""WITH {_EVENTS}, walked AS (
+_WALKED = f"""{_EVENTS}, walked AS (
   SELECT order_id, op, v, ts, st FROM ev
-  UNION ALL SELECT order_id, 'insert', 0, created_at + interval '30' minute, 'WALKED' FROM fx_orders WHERE order_key % 4 <> 1)
-SELECT order_id, st AS order_status, cast(ts AS varchar) AS change_timestamp
+  UNION ALL SELECT order_id, 'insert', 0, created_at + interval '30' minute, 'WALKED' FROM fx_orders WHERE order_key % 4 <> 1)"""
+
+
+@query("backfill_reconcile", f"""WITH {_WALKED}
+SELECT 'retail_cdc' AS destination, order_id, st AS order_status, cast(ts AS varchar) AS change_timestamp FROM walked
+UNION ALL SELECT 'retail_current', order_id, st, cast(ts AS varchar)
 FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, v DESC) AS rn FROM walked) q WHERE rn = 1 AND op <> 'delete'""")
 def backfill_reconcile(t):
-    """The walk is applied twice over the replicated changes."""
-    spec = specs.ORDERS_CURRENT
-    stored = ingest.upsert_winners(ingest.mirror_changes(_decoded(t), spec), spec.key)
-    walk = ingest.mirror_changes(ingest.backfill_changes(_snapshot(t), NOW), spec)
-    once = ingest.merge_mirror(stored, walk, spec.key)
-    twice = ingest.merge_mirror(once, walk, spec.key)
-    return ingest.live_rows(twice).select("order_id", "order_status", "change_timestamp")
+    """Changes, then a walk that is run twice, read back from the ledger and the mirror."""
+    root = work_dir(t.spark, "walked")
+    process_batch(order_envelopes(t), 0, root)
+    for _ in range(2):
+        backfill(_snapshot(t), root, 0, NOW)
+    ledger = ingest.read_ledger(t.spark, f"{root}/{specs.ORDERS_LEDGER.name}")
+    both = {"retail_cdc": ledger, "retail_current": mirror.read_current(t.spark, root, specs.ORDERS_CURRENT)}
+    return reduce(DataFrame.unionByName, [rows.select(
+        F.lit(name).alias("destination"), "order_id", "order_status", "change_timestamp") for name, rows in both.items()])
 
 
 @query("ensure_tables", f"""WITH {_EVENTS}, {_LIVE}
@@ -505,7 +570,7 @@ def order_trace(t):
     )
 
 
-def _streamed(t: Tables, dedupe: bool = False) -> str:
+def _streamed(t: Tables, dedupe: bool = False, trace_prefix: str = ingest.TRACE_PREFIX) -> str:
     """Replicate the envelopes as a stream of several micro-batches; the folder of the tables."""
     source = work_dir(t.spark, "stream-source")
     build_order_envelopes(t).repartition(3, F.xxhash64("event_id", "event_type")).write.json(source)
@@ -513,7 +578,8 @@ def _streamed(t: Tables, dedupe: bool = False) -> str:
     root = work_dir(t.spark, "stream-tables")
     envelopes = read_change_events(t.spark, source, streaming=True, max_files_per_trigger=2)
     running = start_ingest(
-        envelopes, root, work_dir(t.spark, "stream-checkpoint"), dedupe=dedupe, trigger={"availableNow": True})
+        envelopes, root, work_dir(t.spark, "stream-checkpoint"), dedupe=dedupe, trigger={"availableNow": True},
+        trace_prefix=trace_prefix, compact_after=2)
     running.awaitTermination()
     return root
 
@@ -528,9 +594,24 @@ def stream_orders_current(t):
 
 @query("stream_ledger", f"WITH {_EVENTS} {_LEDGER_SQL}")
 def stream_ledger(t):
-    return _ledger_result(t.spark.read.parquet(f"{_streamed(t)}/{specs.ORDERS_LEDGER.name}"))
+    return _ledger_result(ingest.read_ledger(t.spark, f"{_streamed(t)}/{specs.ORDERS_LEDGER.name}"))
 
 
 @query("stream_customers_current", _CUSTOMER_SQL)
 def stream_customers_current(t):
     return mirror.read_current(t.spark, _streamed(t), specs.CUSTOMERS_CURRENT).select(*_CUSTOMER_NAMES)
+
+
+@query("stream_order_trace", f"""WITH {_EVENTS}
+SELECT concat('order_', order_id) AS trace_id, 'ORDER' AS kind, order_id, customer_id, event_id, cast(CASE WHEN v = 1 THEN created_at ELSE later END AS varchar) AS event_time,
+  true AS delivered, true AS measured, true AS added_up, 'retail_cdc,retail_current' AS tables, op AS operation, 30 AS days_kept
+FROM ev WHERE order_id LIKE 'ORD-00000%'""")
+def stream_order_trace(t):
+    """Traces as the stream left them: the write time is what its batches measured."""
+    traces = t.spark.read.parquet(f"{_streamed(t, trace_prefix='ORD-00000')}/traces")
+    return traces.select(
+        "trace_id", "kind", "order_id", "customer_id", "event_id", "event_time",
+        (F.col("delivery_ms") > 0).alias("delivered"), (F.col("write_ms") > 0).alias("measured"),
+        (F.abs(F.col("delivery_ms") + F.col("write_ms") - F.col("total_ms")) < 0.011).alias("added_up"),
+        "tables", "operation", F.datediff("expire_at", "recorded_at").alias("days_kept"),
+    )

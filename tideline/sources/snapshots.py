@@ -25,6 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, folder = _hadoop(spark, path)
+    fs.delete(folder, True)
+
+
 def child_folders(spark: SparkSession, path: str) -> list[str]:
     fs, folder = _hadoop(spark, path)
     if not fs.exists(folder):
@@ -32,6 +37,18 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
 
 
+def grandchild_folders(spark: SparkSession, path: str, pattern: str = "*") -> dict[str, list[str]]:
+    """Folders in the folders of ``path`` that match, by the latter's names; listed in one call."""
+    fs, folder = _hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    found: dict[str, list[str]] = {}
+    if fs.exists(folder):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}/*")) or []:
+            above, name = status.getPath().toString().rsplit("/", 2)[1:]
+            found.setdefault(above, []).append(name)
+    return found
+
+
 def numbered(spark: SparkSession, path: str, prefix: str, committed: bool = True) -> list[int]:
     """Numbers N of the ``prefix=N`` children, ascending."""
     found = []
