@@ -1,14 +1,17 @@
 """Properties that hold for any data: order of events, skew, retries."""
 
+import datetime as dt
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import features, history, ingest, operations, sessions, skew
+from tideline.operators import features, history, ingest, operations, scoring, sessions, skew
 from tideline.plans import ingest_queries as iq
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY, Tables
 from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
 from tideline.session import work_dir
-from tideline.sources import days, mirror, specs
+from tideline.sources import days, mirror, snapshots, specs
 from tideline.streaming import ingest_stream
 from tideline.streaming.ingest_stream import process_batch
 
@@ -217,6 +220,39 @@ def test_features_shuffle_orders_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_training_set_shuffles_orders_once(spark):
+    facts = features.order_facts(one_plain_orders(spark))
+    train = features.training_set(facts, TODAY)
+    plan = plan_of(train)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    cutoff = features._day(TODAY) - dt.timedelta(days=features.HORIZON_DAYS)
+    want = features.customer_features(facts, cutoff).join(features.churn_labels(facts, cutoff), "customer_id")
+    assert train.columns == want.columns
+    got, same = (df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]) for df in (train, want))
+    assert rows(got) == rows(same)
+
+
+def test_a_merge_depends_on_its_target_and_fails_if_that_moved(spark, monkeypatch):
+    root = work_dir(spark, "merge")
+    table = lambda *ids: spark.createDataFrame([(i, f"new-{i}") for i in ids], "customer_id string, tier string")
+    counts = lambda df: {r.merge_action: r.affected for r in df.collect()}
+    assert counts(scoring.store_merge(table("a", "b"), root)) == {"INSERT": 2}
+    assert counts(scoring.store_merge(table("b", "c", "d"), root)) == {"INSERT": 2, "UPDATE": 1, "DELETE": 1}
+    assert rows(snapshots.read_latest(spark, root)) == rows(table("b", "c", "d"))
+    assert {(r.customer_id, r.merge_action) for r in scoring.merge_log(spark, root, 2).collect()} == {
+        ("a", "DELETE"), ("b", "UPDATE"), ("c", "INSERT"), ("d", "INSERT")}
+    write = snapshots.write_version
+
+    def overtaken(df, path, *args):
+        write(table("x"), path)
+        return write(df, path, *args)
+
+    monkeypatch.setattr(scoring.snapshots, "write_version", overtaken)
+    with pytest.raises(RuntimeError):
+        scoring.store_merge(table("e"), root)
+    assert rows(snapshots.read_latest(spark, root)) == rows(table("x"))
+
+
 def one_plain_orders(spark):
     path = work_dir(spark, "orders")
     Tables(spark, SF).fx_orders.write.parquet(path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import work_dir
+
 MIN_LIMIT, DEFAULT_LIMIT, MAX_LIMIT = 1, 30, 100
 
 
@@ -65,54 +69,60 @@ def _kind(type_name: Column) -> Column:
 
 
 def document_paths(feed: DataFrame, body: str = "body") -> DataFrame:
-    """Distinct (path, kind) of the fields of JSON documents.
+    """(path, kinds) of every field of JSON documents, at any depth.
 
-    Sections are opened one level, and the objects inside arrays one level,
-    which is as deep as the order documents go.
+    ``kinds`` are the type classes that occur at the path, sorted; nulls are none.
+    Members of arrays have paths that end in ``[]``.  Each round opens the objects and
+    arrays of the one before, until there are none; rounds are stored, so a
+    document is parsed once.
     """
     spark = feed.sparkSession
-    view = f"_document_paths_{id(feed)}"
-    feed.select(F.expr(f"parse_json({body})").alias("doc")).createOrReplaceTempView(view)
-    top = spark.sql(f"SELECT t.key AS path, t.value AS value FROM {view}, LATERAL variant_explode(doc) t")
-    shaped = top.withColumn("type", F.expr("schema_of_variant(value)"))
-    shaped.createOrReplaceTempView(f"{view}_top")
-    inner = spark.sql(
-        f"""SELECT concat(p.path, '.', t.key) AS path, schema_of_variant(t.value) AS type
-            FROM {view}_top p, LATERAL variant_explode(p.value) t WHERE p.type LIKE 'OBJECT%'"""
-    )
-    elements = spark.sql(
-        f"""SELECT concat(p.path, '[].', e.key) AS path, schema_of_variant(e.value) AS type
-            FROM {view}_top p, LATERAL variant_explode(p.value) t, LATERAL variant_explode(t.value) e
-            WHERE p.type LIKE 'ARRAY<OBJECT%'"""
-    )
-    return (
-        shaped.select("path", "type").unionByName(inner).unionByName(elements)
-        .select("path", _kind(F.col("type")).alias("kind"))
-        .groupBy("path")
-        .agg(F.max(F.when(F.col("kind") != "null", F.col("kind"))).alias("kind"),
-             F.min(F.when(F.col("kind") != "null", F.col("kind"))).alias("other_kind"))
-    )
+    found = []
+    level = feed.select(F.lit("").alias("path"), F.expr(f"parse_json({body})").alias("value"))
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(
+            F.col("key"), F.col("value").alias("inner")))
+        step = F.when(F.col("key").isNull(), "[]").when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), "key"))
+        inner = opened.select(F.concat("path", step).alias("path"), F.col("inner").alias("value"))
+        folder = work_dir(spark, "document-paths")
+        inner.withColumn("kind", _kind(F.expr("schema_of_variant(value)"))).write.parquet(folder)
+        stored = spark.read.parquet(folder)
+        found.append(stored.select("path", "kind").distinct())
+        level = stored.where(F.col("kind").isin("object", "array")).select("path", "value")
+        if not level.limit(1).count():
+            break
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("path").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"))
 
 
 def schema_parity(
     left: DataFrame, right: DataFrame, allowed_extra: tuple[str, ...] = ("loyaltyOffer",), body: str = "body"
 ) -> DataFrame:
-    """Differences between the field sets of two JSON document feeds.
+    """Differences between the fields of two JSON document feeds, at any depth.
 
-    No row means parity.  ``right`` may have the ``allowed_extra`` sections.
+    No row means parity.  ``right`` may have the ``allowed_extra`` sections.  A path with
+    several kinds inside one feed is a row, even if both feeds have the same ones; a path
+    that is always null agrees with any kind.
     """
-    a = document_paths(left, body).select("path", F.col("kind").alias("left_kind"), F.lit(True).alias("_l"))
-    b = document_paths(right, body).select("path", F.col("kind").alias("right_kind"), F.lit(True).alias("_r"))
+    a = document_paths(left, body).select("path", F.col("kinds").alias("_left"), F.lit(True).alias("_l"))
+    b = document_paths(right, body).select("path", F.col("kinds").alias("_right"), F.lit(True).alias("_r"))
+    several = (F.size("_left") > 1) | (F.size("_right") > 1)
     problem = (
         F.when(F.col("_l").isNull(), "missing on the left")
         .when(F.col("_r").isNull(), "missing on the right")
-        .when(F.col("left_kind") != F.col("right_kind"), "different kind")
+        .when(several, "several kinds")
+        .when((F.size("_left") > 0) & (F.size("_right") > 0) & (F.col("_left") != F.col("_right")), "different kind")
     )
     section = F.split_part("path", F.lit("."), F.lit(1))
+
+    def spelled(kinds: str) -> Column:
+        return F.when(F.size(kinds) > 0, F.array_join(kinds, "|"))
+
     return (
         a.join(b, "path", "full_outer")
         .withColumn("problem", problem)
         .where(F.col("problem").isNotNull())
-        .where(~(F.col("_l").isNull() & section.isin(list(allowed_extra))))
-        .select("path", "left_kind", "right_kind", "problem")
+        .where(~(F.col("_l").isNull() & F.regexp_replace(section, r"\[\].*$", "").isin(list(allowed_extra))))
+        .select("path", spelled("_left").alias("left_kind"), spelled("_right").alias("right_kind"), "problem")
     )

@@ -90,7 +90,7 @@ def aggregate_columns(as_of: dt.date) -> list[Column]:
         return F.sum(F.when(condition, spend).otherwise(F.lit(0.0)))
 
     return [
-        F.count(F.lit(1)).alias("orders_lifetime"),
+        F.count("created_at").alias("orders_lifetime"),
         F.sum(spend).alias("spend_lifetime"),
         F.avg(spend).alias("avg_order_value"),
         F.stddev_samp(spend).alias("stddev_order_value"),
@@ -163,6 +163,11 @@ def customer_features(facts: DataFrame, as_of: dt.date | str) -> DataFrame:
         .groupBy("customer_id")
         .agg(*aggregate_columns(day), latest_reading(_LATEST).alias("latest"))
     )
+    return _feature_vector(grouped, day)
+
+
+def _feature_vector(grouped: DataFrame, day: dt.date, *extra: str) -> DataFrame:
+    """The feature columns of aggregated customers, and some more."""
     return rfm_ratios(grouped, day).select(
         "customer_id", "latest.customer_name", "latest.customer_email",
         "latest.customer_segment", "latest.loyalty_tier",
@@ -178,7 +183,7 @@ def customer_features(facts: DataFrame, as_of: dt.date | str) -> DataFrame:
         "latest.support_tickets_count", "latest.open_support_tickets_count",
         "latest.complaints_count", "latest.return_rate_percent",
         F.col("avg_sentiment_180d").alias("sentiment_score"), "avg_rating_180d",
-        "complaint_orders_lifetime", F.lit(day).alias("feature_as_of_date"),
+        "complaint_orders_lifetime", F.lit(day).alias("feature_as_of_date"), *extra,
     )
 
 
@@ -210,11 +215,24 @@ def churn_labels(facts: DataFrame, as_of: dt.date | str, horizon_days: int = HOR
 
 
 def training_set(facts: DataFrame, today: dt.date | str, horizon_days: int = HORIZON_DAYS) -> DataFrame:
-    """Features one horizon back from ``today`` with the outcome since then."""
-    cutoff = _day(today) - dt.timedelta(days=horizon_days)
-    return customer_features(facts, cutoff).join(
-        churn_labels(facts, cutoff, horizon_days), "customer_id"
-    )
+    """Features one horizon back from ``today`` with the outcome since then.
+
+    One grouped aggregation has both cutoffs: features see an order's columns only up to
+    the cutoff (NULL after it, which every aggregate leaves out), labels count those after.
+    """
+    day = _day(today) - dt.timedelta(days=horizon_days)
+    end = day + dt.timedelta(days=horizon_days)
+    bound = F.to_timestamp_ltz(F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time()).isoformat(sep=" ")))
+    known = F.col("order_date") <= F.lit(day)
+    in_horizon = (F.col("order_date") > F.lit(day)) & (F.col("order_date") <= F.lit(end))
+    rows = facts.where(F.col("created_at") < bound).select(
+        "customer_id", in_horizon.alias("_after"),
+        *[F.when(known, F.col(c)).alias(c) for c in facts.columns if c != "customer_id"])
+    grouped = rows.groupBy("customer_id").agg(
+        *aggregate_columns(day), latest_reading(_LATEST).alias("latest"), F.count_if("_after").alias("orders_in_horizon"))
+    labelled = grouped.where(F.col("first_order_date").isNotNull()).withColumn(
+        "is_churned", F.when(F.col("orders_in_horizon") > 0, 0).otherwise(1).cast("bigint"))
+    return _feature_vector(labelled, day, "is_churned", "orders_in_horizon")
 
 
 def live_features(facts: DataFrame, today: dt.date | str) -> DataFrame:

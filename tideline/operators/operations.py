@@ -37,6 +37,12 @@ def purged_by_values(df: DataFrame, field: str, values: Iterable[str] | DataFram
     return _matches(df, field, values, "left_semi")
 
 
+def purge_counts(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """(deleted, kept) of a purge that deletes the rows ``gone`` of ``df``."""
+    return gone.agg(F.count(F.lit(1)).alias("deleted")).join(df.agg(F.count(F.lit(1)).alias("_all"))).select(
+        "deleted", (F.col("_all") - F.col("deleted")).alias("kept"))
+
+
 def _has_prefix(field: str, prefix: str) -> Column:
     return F.coalesce(F.col(field).startswith(prefix), F.lit(False))
 
@@ -46,6 +52,11 @@ def purge_by_prefix(df: DataFrame, field: str, prefix: str) -> DataFrame:
     return df.where(~_has_prefix(field, prefix))
 
 
+def purged_by_prefix(df: DataFrame, field: str, prefix: str) -> DataFrame:
+    """The rows the same purge deletes."""
+    return df.where(_has_prefix(field, prefix))
+
+
 def remaining_by_prefix(df: DataFrame, field: str, prefix: str) -> DataFrame:
     """How many rows still carry the prefix: zero once replication has drained."""
     return df.where(F.col(field).startswith(prefix)).agg(F.count(F.lit(1)).alias("remaining"))
@@ -167,54 +178,85 @@ def correlate_traces(sessions: DataFrame, orders: DataFrame, traces: DataFrame)
     return subjects.join(keyed, "trace_id", "left")
 
 
+# The hops of a login, in order, with the measure each one owns, the states
+# of a hop, and what a hop says while nothing more telling is known.
+HOP_MEASURES = {
+    "client": "login_write_ms", "firestore": "order_write_ms", "eventarc": "delivery_ms", "bridge": "bridge_overhead_ms",
+    "agent": "agent_call_ms", "offer": "llm_reasoning_ms", "bigquery": "total_ms",
+}
+DONE, ACTIVE, IDLE, FAILED, SKIPPED = "done", "active", "idle", "error", "skipped"
+WITH_TELEMETRY, LOGIN_ONLY = "login · telemetry", "login write"
+ORDER_WRITTEN, SESSION_WRITTEN, NO_LOGIN = "order write", "customer_sessions", "awaiting login"
+IN_FLIGHT, PENDING, REPLICATING, NO_ORDER, NO_REASON = "in flight", "pending", "replicating", "no order yet", "no offer"
+
+
+def _single(df: DataFrame) -> DataFrame:
+    """One row per session: of several the greatest, column by column."""
+    rest = [c for c in df.columns if c != "session_id"]
+    if not rest:
+        return df.distinct()
+    return df.groupBy("session_id").agg(F.max(F.struct(*rest)).alias("_row")).select("session_id", "_row.*")
+
+
 def hop_status(
     sessions: DataFrame, traces: DataFrame, offers: DataFrame, telemetry: DataFrame, order_traces: DataFrame
 ) -> DataFrame:
-    """State and latency of each of the seven hops of every session, long form.
+    """State, latency and detail of each of the seven hops of every login, long form.
 
-    All inputs have at most one row per session_id: merged traces; offers;
-    telemetry with login_write_ms and order_write_ms; order traces with
-    total_ms.
+    A login that only telemetry knows has no session yet: its client is active and the
+    hops behind wait.  Inputs may repeat a session; one row of each is used: merged
+    traces; offers; telemetry with login_write_ms and order_write_ms; order traces with
+    total_ms.  Columns that only serve details (agent_worker_id, skip_reason, event_time,
+    bridge_received_at, discount_percent, tables) may be missing.
     """
     joined = (
-        sessions.join(traces.withColumn("_traced", F.lit(True)), "session_id", "left")
-        .join(offers.select("session_id", F.lit(True).alias("_offer")), "session_id", "left")
-        .join(telemetry.select("session_id", "login_write_ms", "order_write_ms"), "session_id", "left")
-        .join(order_traces.select("session_id", "total_ms", F.lit(True).alias("_ordered")), "session_id", "left")
+        _single(sessions.withColumn("_session", F.lit(True)))
+        .join(_single(telemetry.withColumn("_telemetry", F.lit(True))), "session_id", "full_outer")
+        .join(_single(traces), "session_id", "left")
+        .join(_single(offers.withColumn("_offer", F.lit(True))), "session_id", "left")
+        .join(_single(order_traces.withColumn("_ordered", F.lit(True))), "session_id", "left")
     )
-    status = F.col("agent_processing_status")
+
+    def given(name: str) -> Column:
+        return F.col(name) if name in joined.columns else F.lit(None).cast("string")
+
+    def clock(name: str) -> Column:
+        return F.date_format(given(name).cast("timestamp"), "HH:mm:ss")
+
+    status, session, ordered = F.col("agent_processing_status"), F.col("_session"), F.col("order_write_ms").isNotNull()
     terminal = F.coalesce(status.isin(TERMINAL), F.lit(False))
     claimed = F.col("agent_claim_ms").isNotNull() | terminal
     delivered = F.col("bridge_status").isNotNull() | claimed
-    errored = F.coalesce(status == "ERROR", F.lit(False)) | F.coalesce(
-        F.col("bridge_status") == "AGENT_ERROR", F.lit(False)
-    )
-    moving = F.when(delivered, "done").otherwise("active")
-    done = F.lit("done")
+    errored = F.coalesce(status == "ERROR", F.lit(False)) | F.coalesce(F.col("bridge_status") == "AGENT_ERROR", F.lit(False))
+    skipped = F.coalesce(status == "SKIPPED", F.lit(False))
+    moving = F.when(delivered, DONE).when(session, ACTIVE).otherwise(IDLE)
+    travelling = F.when(session, IN_FLIGHT).otherwise(IDLE)
     states = {
-        "client": (done, "login_write_ms"),
-        "firestore": (done, "order_write_ms"),
-        "eventarc": (moving, "delivery_ms"),
-        "bridge": (moving, "bridge_overhead_ms"),
-        "agent": (
-            F.when(errored, "error").when(terminal, "done").when(claimed, "active").otherwise("idle"),
-            "agent_call_ms",
-        ),
-        "offer": (
-            F.when(F.col("_offer"), "done").when(status == "SKIPPED", "skipped").otherwise("idle"),
-            "llm_reasoning_ms",
-        ),
-        "bigquery": (
-            F.when(F.col("_ordered"), "done").when(F.col("order_write_ms").isNotNull(), "active").otherwise("idle"),
-            "total_ms",
-        ),
+        "client": F.when(session, DONE).when(F.col("_telemetry"), ACTIVE).otherwise(IDLE),
+        "firestore": F.when(session, DONE).otherwise(IDLE),
+        "eventarc": moving,
+        "bridge": moving,
+        "agent": F.when(errored, FAILED).when(terminal, DONE).when(claimed, ACTIVE).otherwise(IDLE),
+        "offer": F.when(F.col("_offer"), DONE).when(skipped, SKIPPED).otherwise(IDLE),
+        "bigquery": F.when(F.col("_ordered"), DONE).when(ordered, ACTIVE).otherwise(IDLE),
+    }
+    details = {
+        "client": F.when(F.col("_telemetry"), WITH_TELEMETRY).otherwise(LOGIN_ONLY),
+        "firestore": F.when(ordered, ORDER_WRITTEN).when(session, SESSION_WRITTEN).otherwise(NO_LOGIN),
+        "eventarc": F.coalesce(clock("event_time"), travelling),
+        "bridge": F.coalesce(clock("bridge_received_at"), travelling),
+        "agent": F.coalesce(null_if_empty(given("agent_worker_id")), F.lower(status), F.lit(IDLE)),
+        "offer": F.when(F.col("_offer"), F.coalesce(F.concat(given("discount_percent").cast("string"), F.lit("%")), F.lit("")))
+        .when(skipped, F.concat(F.lit("skipped: "), F.coalesce(given("skip_reason"), F.lit(NO_REASON)))).otherwise(PENDING),
+        "bigquery": F.coalesce(null_if_empty(given("tables")), F.when(ordered, REPLICATING).otherwise(NO_ORDER)),
     }
     hops = F.array(*[
         F.struct(
-            F.lit(hop).alias("hop"), state.alias("state"),
+            F.lit(hop).alias("hop"), states[hop].alias("state"),
             (F.col(ms) if ms in joined.columns else F.lit(None)).cast("double").alias("latency_ms"),
+            details[hop].alias("detail"),
         )
-        for hop, (state, ms) in states.items()
+        for hop, ms in HOP_MEASURES.items()
     ])
     return joined.select("session_id", F.explode(hops).alias("h")).select("session_id", "h.*")
 

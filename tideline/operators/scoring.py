@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import as_col
+from tideline.sources import snapshots
 
 RISK_COLUMNS = [
     "customer_id", "customer_name", "customer_email", "customer_segment",
@@ -106,6 +107,31 @@ def merge_counts(target: DataFrame, source: DataFrame, key: str = "customer_id")
     )
 
 
+def store_merge(source: DataFrame, root: str, key: str = "customer_id") -> DataFrame:
+    """Full-sync merge into the stored table below ``root``: (merge_action, affected).
+
+    The merge is computed once against the newest version and becomes the next one, which
+    readers see when it is whole.  What happened to each key is kept beside it
+    (``merge_log``).  If another merge came between, this one is taken back and fails.
+    """
+    spark = source.sparkSession
+    before = snapshots.versions(spark, root)
+    target = snapshots.read_latest(spark, root, schema=source.schema)
+    # Written once with its tags, then read twice.
+    tagged = snapshots.staged(spark, merge_actions(target, source, key), root)
+    version = snapshots.write_version(tagged.where("merge_action <> 'DELETE'").select(*source.columns), root)
+    if [v for v in snapshots.versions(spark, root) if v != version] != before:
+        snapshots.delete(spark, f"{root}/version={version}")
+        raise RuntimeError(f"{root} has moved on from version {before[-1] if before else 0}")
+    tagged.select(key, "merge_action").write.mode("overwrite").parquet(f"{root}/_log/version={version}")
+    return merge_log(spark, root, version).groupBy("merge_action").agg(F.count(F.lit(1)).alias("affected"))
+
+
+def merge_log(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """What the merge that made a version did with each key."""
+    return spark.read.parquet(f"{root}/_log/version={version}")
+
+
 def churn_scores_for(scores: DataFrame, customer_ids: Iterable[str] | DataFrame) -> DataFrame:
     """Scores of a given set of customers, in id order.
 

@@ -358,9 +358,26 @@ _STALE = """stale AS (
   UNION ALL SELECT concat('gone_', c_custkey) FROM customer WHERE c_custkey % 4 = 0)"""
 
 
-@query("merge_churn_risk", f"WITH {_SCORED} SELECT * FROM scored")
+def _merged(t):
+    """The stale table stored, then the new scores merged into it: (root, counts)."""
+    root, source = work_dir(t.spark, "risk"), _scored(t)
+    old = [F.col("customer_id") if f.name == "customer_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+    snapshots.write_version(_stale_target(t).select(*old), root)
+    return root, sc.store_merge(source, root)
+
+
+@query("merge_churn_risk", f"""WITH {_SCORED}, {_STALE}
+SELECT coalesce(s.customer_id, x.customer_id) AS customer_id, churn_probability, churn_risk_tier, automated_retention_action, calculation_timestamp,
+  CASE WHEN s.customer_id IS NULL THEN 'DELETE' WHEN x.customer_id IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS merge_action,
+  s.customer_id IS NOT NULL AS present
+FROM stale x FULL OUTER JOIN scored s ON s.customer_id = x.customer_id""")
 def merge_churn_risk(t):
-    return sc.merge_churn_risk(_stale_target(t), _scored(t))
+    """What the merge did with each customer, and the rows read back from the stored table."""
+    root, _ = _merged(t)
+    now = snapshots.read_latest(t.spark, root).withColumn("present", F.lit(True))
+    return sc.merge_log(t.spark, root, snapshots.versions(t.spark, root)[-1]).join(now, "customer_id", "full_outer").select(
+        "customer_id", "churn_probability", "churn_risk_tier", "automated_retention_action", "calculation_timestamp",
+        "merge_action", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 @query("merge_churn_risk_counts", f"""WITH {_SCORED}, {_STALE}
@@ -369,7 +386,7 @@ SELECT merge_action, count(*) AS affected FROM (
     ELSE 'UPDATE' END AS merge_action
   FROM stale x FULL OUTER JOIN scored s ON s.customer_id = x.customer_id) q GROUP BY merge_action""")
 def merge_churn_risk_counts(t):
-    return sc.merge_counts(_stale_target(t), _scored(t))
+    return _merged(t)[1]
 
 
 @query("churn_scores_for", """

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.operators import features, model, scoring
 from tideline.sources import snapshots
@@ -96,14 +97,7 @@ def run_churn_pipeline(
         fitted = PipelineModel.load(store.model)
         predictions = model.predict_churn(fitted, features.live_features(facts, today))
         source = scoring.score_customers(predictions, calculated_at)
-        current = snapshots.read_latest(spark, store.risk, schema=source.schema)
-        # Written once with its tags, then read twice: the next version is
-        # chosen by action, and the counts do not run the model again.
-        tagged = snapshots.staged(spark, scoring.merge_actions(current, source), store.risk)
-        snapshots.write_version(
-            tagged.where("merge_action <> 'DELETE'").select(*source.columns), store.risk
-        )
-        return tagged.count()
+        return scoring.store_merge(source, store.risk).agg(F.sum("affected")).first()[0] or 0
 
     if mode == FULL:
         if not step("training_set", "Build the training set", build_training):

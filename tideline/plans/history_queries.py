@@ -385,7 +385,10 @@ def stable_hash_query(t):
 @query("schema_parity", """
 SELECT 'customerFeedback.rating' AS path, 'number' AS left_kind, 'text' AS right_kind, 'different kind' AS problem FROM fx_orders
   WHERE feedback_rating IS NOT NULL GROUP BY 1
-UNION ALL SELECT 'customerFeedback.sentiment_score', 'number', NULL, 'missing on the right' FROM fx_orders WHERE sentiment_score IS NOT NULL GROUP BY 1""")
+UNION ALL SELECT 'customerFeedback.sentiment_score', 'number', NULL, 'missing on the right' FROM fx_orders WHERE sentiment_score IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'logistics.legs[].to.zone', 'number', 'text', 'different kind' FROM fx_orders GROUP BY 1
+UNION ALL SELECT 'logistics.legs[].to.stops[]', 'number', NULL, 'missing on the right' FROM fx_orders GROUP BY 1
+UNION ALL SELECT 'note', 'text', CASE WHEN count(DISTINCT order_key % 2) = 2 THEN 'number|text' END, 'several kinds' FROM fx_orders""")
 def schema_parity(t):
     """Field differences between seeded and app order documents."""
     orders = t.fx_orders
@@ -396,13 +399,22 @@ def schema_parity(t):
         F.array(F.struct(F.lit("s").alias("sku"), F.col("order_key").alias("quantity"))).alias("lineItems"),
     ]
     options = {"ignoreNullFields": "false"}
-    seeded = orders.select(F.to_json(F.struct(*sections), options).alias("body"))
+
+    def legs(zone, stops):
+        return F.struct(F.array(F.struct(F.struct(zone.alias("zone"), stops.alias("stops")).alias("to"))).alias("legs")).alias("logistics")
+
+    key, none = F.col("order_key"), F.array().cast("array<bigint>")
+    text = F.concat(F.lit('"n'), key, F.lit('"}'))
+    seeded = orders.select(F.to_json(F.struct(*sections, legs(key, F.array(key, key + 1))), options).alias("body")).select(
+        F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"note":"x"}')).alias("body"))
     offer = F.struct(F.concat(F.lit("P"), "order_key").alias("promoCode")).alias("loyaltyOffer")
     rating_as_text = F.struct(F.col("feedback_rating").cast("string").alias("rating"))
     app = orders.select(
         F.to_json(
-            F.struct(*sections[:2], rating_as_text.alias("customerFeedback"), sections[3], offer),
+            F.struct(*sections[:2], rating_as_text.alias("customerFeedback"), sections[3], offer, legs(key.cast("string"), none)),
             options,
-        ).alias("body")
-    )
+        ).alias("body"), "order_key",
+    ).select(F.concat(
+        F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"note":'),
+        F.when(key % 2 == 0, F.concat(key.cast("string"), F.lit("}"))).otherwise(text)).alias("body"))
     return cat.schema_parity(seeded, app)

@@ -26,6 +26,20 @@ def purge_by_values(t):
     return op.purge_by_values(t.fx_logins, "customer_id", gone).select("session_id", "customer_id")
 
 
+@query("purge_by_values_counts", """
+SELECT count(*) FILTER (WHERE hit) AS deleted, count(*) FILTER (WHERE NOT hit) AS kept FROM (
+  SELECT coalesce(customer_id IN (SELECT customer_id FROM fx_orders WHERE order_key % 10 = 0), false) AS hit FROM fx_logins) q""")
+def purge_by_values_counts(t):
+    gone = t.fx_orders.where("order_key % 10 = 0").select("customer_id")
+    return op.purge_counts(t.fx_logins, op.purged_by_values(t.fx_logins, "customer_id", gone))
+
+
+@query("purge_by_prefix_counts", f"""
+SELECT count(*) FILTER (WHERE starts_with(order_id, '{_PREFIX}')) AS deleted, count(*) FILTER (WHERE NOT starts_with(order_id, '{_PREFIX}')) AS kept FROM fx_orders""")
+def purge_by_prefix_counts(t):
+    return op.purge_counts(t.fx_orders, op.purged_by_prefix(t.fx_orders, "order_id", _PREFIX))
+
+
 @query("purge_by_prefix", f"SELECT order_id FROM fx_orders WHERE NOT starts_with(order_id, '{_PREFIX}')")
 def purge_by_prefix(t):
     return op.purge_by_prefix(t.fx_orders, "order_id", _PREFIX).select("order_id")
@@ -34,11 +48,12 @@ def purge_by_prefix(t):
 @query("reset_plan", f"""
 SELECT 'sessions' AS sweep, count(*) AS deleted FROM fx_logins WHERE customer_id IN {_IN_IDS}
 UNION ALL SELECT 'offers', count(*) FROM fx_offers WHERE customer_id IN {_IN_IDS}
-UNION ALL SELECT 'traces', count(*) FROM fx_scores WHERE customer_id IN {_IN_IDS}
+UNION ALL SELECT 'traces', count(*) FROM fx_traces r JOIN fx_logins l ON l.session_id = r.session_id WHERE l.customer_id IN {_IN_IDS}
 UNION ALL SELECT 'app_orders', count(*) FROM fx_orders WHERE order_id LIKE '{_PREFIX}%'
 UNION ALL SELECT 'legacy_orders', count(*) FROM fx_orders WHERE order_id NOT LIKE '{_PREFIX}%' AND customer_id IN ('cust_0000000004', 'cust_0000000007')""")
 def reset_plan(t):
-    return op.reset_plan(t.fx_logins, t.fx_offers, t.fx_scores, t.fx_orders, _IDS, _LEGACY, _PREFIX)
+    traces = t.fx_traces.join(t.fx_logins.select("session_id", "customer_id"), "session_id", "left")
+    return op.reset_plan(t.fx_logins, t.fx_offers, traces, t.fx_orders, _IDS, _LEGACY, _PREFIX)
 
 
 @query("remaining_by_prefix", f"SELECT count(*) AS remaining FROM fx_orders WHERE order_id LIKE '{_PREFIX}%'")
@@ -117,27 +132,37 @@ _STATUS = """CASE event_key % 6 WHEN 0 THEN 'PROCESSED' WHEN 1 THEN 'SKIPPED' WH
 
 @query("hop_status", f"""WITH {TRACES_SQL},
 s AS (SELECT l.session_id, l.event_key, {_STATUS} AS st, m.delivery_ms, m.agent_claim_ms, m.agent_call_ms, m.bridge_status,
-    l.event_key % 4 = 0 AS offered, CASE WHEN l.event_key % 5 = 0 THEN 12.5e0 END AS lw, CASE WHEN l.event_key % 10 = 0 THEN 20.5e0 END AS ow, l.event_key % 8 = 0 AS ordered
+    l.event_key % 4 = 0 AS offered, CASE WHEN l.event_key % 5 = 0 THEN 12.5e0 END AS lw, CASE WHEN l.event_key % 10 = 0 THEN 20.5e0 END AS ow, l.event_key % 8 = 0 AS ordered, m.session_id IS NOT NULL AS traced
   FROM fx_logins l LEFT JOIN merged m ON m.session_id = l.session_id),
 f AS (SELECT *, coalesce(st IN ('PROCESSED', 'SKIPPED', 'ERROR'), false) AS term FROM s),
 g AS (SELECT *, agent_claim_ms IS NOT NULL OR term AS claimed FROM f),
 h AS (SELECT *, CASE WHEN claimed OR bridge_status IS NOT NULL THEN 'done' ELSE 'active' END AS moving FROM g)
-SELECT session_id, 'client' AS hop, 'done' AS state, lw AS latency_ms FROM h
-UNION ALL SELECT session_id, 'firestore', 'done', ow FROM h
-UNION ALL SELECT session_id, 'eventarc', moving, round(delivery_ms, 6) FROM h
-UNION ALL SELECT session_id, 'bridge', moving, NULL FROM h
-UNION ALL SELECT session_id, 'agent', CASE WHEN coalesce(st = 'ERROR', false) OR coalesce(bridge_status = 'AGENT_ERROR', false) THEN 'error' WHEN term THEN 'done' WHEN claimed THEN 'active' ELSE 'idle' END, round(agent_call_ms, 6) FROM h
-UNION ALL SELECT session_id, 'offer', CASE WHEN offered THEN 'done' WHEN st = 'SKIPPED' THEN 'skipped' ELSE 'idle' END, NULL FROM h
-UNION ALL SELECT session_id, 'bigquery', CASE WHEN ordered THEN 'done' WHEN ow IS NOT NULL THEN 'active' ELSE 'idle' END, CASE WHEN ordered THEN 99.0e0 END FROM h""")
+SELECT session_id, 'client' AS hop, 'done' AS state, lw AS latency_ms, CASE WHEN event_key % 5 = 0 THEN 'login · telemetry' ELSE 'login write' END AS detail FROM h
+UNION ALL SELECT session_id, 'firestore', 'done', ow, CASE WHEN ow IS NOT NULL THEN 'order write' ELSE 'customer_sessions' END FROM h
+UNION ALL SELECT session_id, 'eventarc', moving, round(delivery_ms, 6), CASE WHEN traced THEN '10:20:30' ELSE 'in flight' END FROM h
+UNION ALL SELECT session_id, 'bridge', moving, NULL, 'in flight' FROM h
+UNION ALL SELECT session_id, 'agent', CASE WHEN coalesce(st = 'ERROR', false) OR coalesce(bridge_status = 'AGENT_ERROR', false) THEN 'error' WHEN term THEN 'done' WHEN claimed THEN 'active' ELSE 'idle' END, round(agent_call_ms, 6), coalesce(lower(st), 'idle') FROM h
+UNION ALL SELECT session_id, 'offer', CASE WHEN offered THEN 'done' WHEN st = 'SKIPPED' THEN 'skipped' ELSE 'idle' END, NULL,
+  CASE WHEN offered THEN concat(event_key % 40, '%') WHEN st = 'SKIPPED' THEN 'skipped: no offer' ELSE 'pending' END FROM h
+UNION ALL SELECT session_id, 'bigquery', CASE WHEN ordered THEN 'done' WHEN ow IS NOT NULL THEN 'active' ELSE 'idle' END, CASE WHEN ordered THEN 99.0e0 END,
+  CASE WHEN ow IS NOT NULL THEN 'replicating' ELSE 'no order yet' END FROM h
+UNION ALL SELECT concat('early_', event_key), e.hop, e.state, CASE WHEN e.hop = 'client' THEN 12.5e0 END, e.detail FROM fx_logins,
+  (VALUES ('client', 'active', 'login · telemetry'), ('firestore', 'idle', 'awaiting login'), ('eventarc', 'idle', 'idle'), ('bridge', 'idle', 'idle'),
+    ('agent', 'idle', 'idle'), ('offer', 'idle', 'pending'), ('bigquery', 'idle', 'no order yet')) AS e(hop, state, detail) WHERE event_key % 15 = 1""")
 def hop_status(t):
+    """Sessions that come twice, and logins that only telemetry knows."""
     logins = t.fx_logins
     sessions = logins.select("session_id", F.expr(_STATUS).alias("agent_processing_status"))
-    offers = logins.where("event_key % 4 = 0").select("session_id")
+    offers = logins.where("event_key % 4 = 0").select("session_id", (F.col("event_key") % 40).alias("discount_percent"))
     telemetry = logins.where("event_key % 5 = 0").select(
         "session_id", F.lit(12.5).alias("login_write_ms"), F.when(F.col("event_key") % 10 == 0, 20.5).alias("order_write_ms")
     )
+    early = logins.where("event_key % 15 = 1").select(
+        F.concat(F.lit("early_"), "event_key").alias("session_id"), F.lit(12.5).alias("login_write_ms"), F.lit(None).cast("double").alias("order_write_ms"))
     order_traces = logins.where("event_key % 8 = 0").select("session_id", F.lit(99.0).alias("total_ms"))
-    return op.hop_status(sessions, merged_traces(t), offers, telemetry, order_traces)
+    traces = merged_traces(t).withColumn("event_time", F.lit("2001-07-31T10:20:30"))
+    twice = sessions.unionByName(sessions.where("hash(session_id) % 3 = 0"))
+    return op.hop_status(twice, traces, offers, telemetry.unionByName(telemetry).unionByName(early), order_traces)
 
 
 @query("merge_telemetry", """
