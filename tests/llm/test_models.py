@@ -1,13 +1,15 @@
 """Trained operators on labels they never saw, and on odd texts."""
 
+import re
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import TESTDATA
 from tideline.llm import licenses, quality, toxicity
-from tideline.llm.common import prepare, table
+from tideline.llm.common import prepare, stored, table
 
 ODD = [(1, None, "x"), (2, "", "x"), (3, "a", "x"), (3, "a", "x"), (None, "word " * 200_000, "x")]
 
@@ -109,7 +111,8 @@ def test_licence_notices(spark):
              "The work was under the version that all had."]
     texts = [(i, f"Some words first.\n\n{line}\nAnd more.") for i, line in enumerate(lines)]
     docs = spark.createDataFrame([*texts, (90, None), (91, ""), (0, texts[0][1])], "doc_id long, text string")
-    found = licenses.scan(docs.withColumn("id", docs.doc_id)).collect()
+    given = docs.withColumn("id", docs.doc_id).withColumn("part", docs.doc_id).withColumn("words", docs.text)
+    found = licenses.scan(given).collect()
     got = sorted((r.doc_id, r.paragraph, r.family) for r in found if r.confirmed)
     want = [(0, "cc-by-nc-4.0"), (0, "cc-by-nc-4.0"), (1, "gpl-3.0"), (2, "apache-2.0"), (3, "mit"), (4, "all-rights-reserved")]
     assert got == [(i, 2, family) for i, family in want]
@@ -131,3 +134,50 @@ def test_licence_notices_that_are_wrapped_or_inside_a_line(spark):
     found = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     got = sorted((r.doc_id or 0, r.paragraph, r.family) for r in found if r.confirmed)
     assert got == [(0, 2, "mit"), (0, 2, "mit"), (1, 2, "mit"), (2, 2, "gpl-3.0"), (3, 0, "apache-2.0"), (4, 1, "mit")]
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    prepare(spark)
+    return licenses.train(spark, licenses.paragraphs(table(spark, f"{TESTDATA}/sf0.01", "documents")))
+
+
+def test_every_wording_is_found_under_its_own_family(spark, licence_model):
+    wordings = [(f, line) for f, lines in licenses.TEMPLATES.items() for line in lines.splitlines()]
+    texts = [(i, f"Some words.\n\n{line}\n\nMore words.") for i, (_, line) in enumerate(wordings)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.family) for r in licenses.scan(docs, licence_model).collect() if r.confirmed}
+    assert [line for i, (f, line) in enumerate(wordings) if (i, f) not in found] == []
+
+
+def _plain_lines(text, model):
+    """(line, family, probability) of the lines that the weights name, line by line."""
+    out = []
+    for number, line in enumerate((text or "").split("\n")):
+        words = re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", line.lower())
+        grams = set(words) | {" ".join(p) for p in zip(words, words[1:], strict=False)}
+        logits = np.array([model.bias[f] for f in licenses.FAMILIES])
+        for gram in grams & model.weights.keys():
+            logits = logits + model.weights[gram]
+        p = np.exp(logits - logits.max())
+        p = p / p.sum()
+        if words and p[:-1].max() >= model.needed:
+            out.append((number, licenses.FAMILIES[int(p[:-1].argmax())], round(float(p[:-1].max()), 6)))
+    return out
+
+
+def test_named_lines_against_a_plain_scorer(spark, licence_model):
+    wordings = [line for lines in licenses.TEMPLATES.values() for line in lines.splitlines()]
+    rows = [(r.doc_id, r.text) for r in table(spark, f"{TESTDATA}/sf0.001", "documents").collect()]
+    cut = [" ".join(w.split()[i::2]) + "\nthe work and all of this" for w in wordings for i in (0, 1)]
+    rows += [(10_000 + i, f"x\n{w}, and so on\n{w[:len(w) // 2]}") for i, w in enumerate([*wordings, *cut])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = licenses.units_of(docs, licence_model).where("at IS NULL").withColumn("id", F.monotonically_increasing_id())
+    units = stored(units, "test-units")
+    top = F.slice("p", 1, len(licenses.TEMPLATES))
+    named = licenses._probabilities(units, licence_model).where(F.array_max(top) >= licence_model.needed)
+    got = sorted((r.doc_id, r["first"], r.f, round(r.top, 6)) for r in named.select(
+        "doc_id", "first", licenses._family_of(top).alias("f"), F.array_max(top).alias("top")).collect())
+    want = sorted((d, *found) for d, text in rows for found in _plain_lines(text, licence_model))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > len(wordings)
+    assert all(abs(g[3] - w[3]) < 1e-5 for g, w in zip(got, want, strict=True))
