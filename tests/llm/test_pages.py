@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,92 @@ def test_source_headers_come_back_from_the_files(spark, tmp_path):
     assert {(r.source_headers, r.given_digest) for r in back if r.warc_type == "conversion"} == {(None, None)}
     written = {r.record_id: r for r in records.collect()}
     assert all(r.block == written[r.record_id].block for r in back)
+
+
+def test_the_head_ends_at_its_first_empty_line():
+    body = "<p>a</p>\r\n\r\n<p>b</p>"
+    for head in ("HTTP/1.1 200 OK\nContent-Type: text/html\n\n", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"):
+        assert warc.http_parts(head + body) == ("HTTP/1.1 200 OK", [("Content-Type", "text/html")], body)
+    assert warc.http_parts("HTTP/1.1 204 None") == ("HTTP/1.1 204 None", [], "")
+
+
+def test_a_block_may_hold_what_looks_like_a_record(spark, tmp_path):
+    inner = "one\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n\r\nWARC/1.1\r\n\u00e9"
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n"
+    rows = [(f"<urn:uuid:{i}>", "http://a/", warc.PAGE_DATE, None, head + text) for i, text in enumerate([inner, "x", inner * 2, ""])]
+    responses = spark.createDataFrame(rows, "record_id string, target_uri string, date string, payload_digest string, block string")
+    records = warc.derivatives(responses)
+    warc.write(records.coalesce(1), str(tmp_path / "out"))
+    back = warc.read(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.record_id, r.block) for r in back) == sorted((r.record_id, r.block) for r in records.collect())
+    assert len(back) == 8 and {r.block for r in back} >= {inner, inner * 2, "x", ""}
+
+
+def test_deep_pages_are_read_in_one_pass():
+    deep = 50_000
+    began = time.perf_counter()
+    page = markup.read("<b>" * deep + "x" + "</i>" * deep)
+    assert len(page.elements) == deep + 1
+    markup.read("<i><table><tr><td>" + "<b>" * deep + "</i>" * deep)
+    markup.read("<b>" * deep + "<div>y</div><p>z" * 2000 + "</ul>" * deep)
+    markup.read("<svg>" + "<g>" * deep + "<p>" + "</g>" * deep)
+    assert time.perf_counter() - began < 4
+
+
+def test_tags_close_as_by_a_walk_over_the_open_elements():
+    """The places kept by tag against a search from the innermost element."""
+    rng = random.Random(6)
+    tags = ["b", "i", "p", "div", "ul", "li", "table", "tr", "td", "svg", "g", "math", "section", "dl", "dt", "dd", "span", "foreignobject"]
+    for _ in range(400):
+        source = "".join(rng.choice(["<{}>", "</{}>", "<{}>t"]).format(rng.choice(tags)) for _ in range(rng.randrange(1, 60)))
+        page = markup.read(source)
+        want = _walked(source)
+        assert [(e.tag, e.parent, e.end) for e in page.elements] == want, source
+
+
+def _walked(source):
+    """Elements of a page of plain tags, each tag looking through the open ones."""
+    out, stack, texts, solid = [["#root", -1, 0, 0]], [0], 0, -1
+
+    def close(k):
+        nonlocal texts
+        while len(stack) > k:
+            i = stack.pop()
+            if out[i][0] in markup.FOREIGN and solid < out[i][3]:
+                texts = out[i][3]
+                del out[i + 1:]
+            out[i][2] = len(out)
+
+    for slash, tag, text in re.findall(r"<(/?)(\w+)>([^<]*)", source):
+        foreign = any(out[i][0] in markup.FOREIGN for i in stack)
+        if slash:
+            for k in range(len(stack) - 1, 0, -1):
+                if out[stack[k]][0] == tag:
+                    close(k)
+                    break
+                if out[stack[k]][0] in markup._SCOPE and tag not in markup.BLOCKS:
+                    break
+            continue
+        if foreign and tag in markup._ENDS_FOREIGN:
+            for k in range(len(stack) - 1, 0, -1):
+                name = out[stack[k]][0]
+                if name in markup.FOREIGN:
+                    close(k)
+                    break
+                if name in markup._HOLDS_HTML or name in markup._ENDS_FOREIGN:
+                    break
+        ends = markup._SAME.get(tag, set()) | ({"p"} if tag in markup._ENDS_P else set())
+        for k in range(len(stack) - 1, 0, -1) if ends else ():
+            name = out[stack[k]][0]
+            if name in ends:
+                close(k)
+                break
+            if name in markup._SCOPE:
+                break
+        out.append([tag, stack[-1], 0, texts])
+        stack.append(len(out) - 1)
+        if text:
+            solid = texts
+            texts += 1
+    close(0)
+    return [(t, p, e) for t, p, e, _ in out]

@@ -68,6 +68,10 @@ def read(source: str) -> Page:
     elements = [Element("#root", "", -1, 0, 0)]
     texts: list[tuple[int, str]] = []
     stack = [0]
+    # Places in the stack of each tag's open elements, and of those that bound a scope, so
+    # that no tag walks over the open elements.
+    places: dict[str, list[int]] = {}
+    scopes = [0]
     foreign = 0  # open foreign elements
     solid = -1  # the last text that is not blank
     at, size = 0, len(source)
@@ -76,12 +80,20 @@ def read(source: str) -> Page:
         nonlocal foreign
         while len(stack) > k:
             i = stack.pop()
+            if stack:
+                places[elements[i].tag].pop()
+                if scopes[-1] == len(stack):
+                    scopes.pop()
             if elements[i].tag in FOREIGN:
                 foreign -= 1
                 if solid < elements[i].start:
                     del texts[elements[i].start:], elements[i + 1:]
             elements[i].end = len(elements)
 
+    def last(tags) -> int:
+        """The innermost open element of these tags; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def add(raw: str) -> None:
         nonlocal solid
         if raw:
@@ -110,31 +122,20 @@ def read(source: str) -> Page:
             if elements[stack[-1]].tag == tag:
                 close(len(stack) - 1)
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == tag:
-                    close(k)
-                    break
-                if elements[stack[k]].tag in _SCOPE and tag not in BLOCKS:
-                    break
+            k = last((tag,))
+            if k and (tag in BLOCKS or k >= scopes[-1]):
+                close(k)
             continue
         self_closed = bool(raw) and raw.rstrip().endswith("/")
         if foreign and tag in _ENDS_FOREIGN:
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = elements[stack[k]].tag
-                if open_tag in FOREIGN:
-                    close(k)
-                    break
-                if open_tag in _HOLDS_HTML or open_tag in _ENDS_FOREIGN:
-                    break
+            k = last(FOREIGN)
+            if k and k > max(last(_HOLDS_HTML), last(_ENDS_FOREIGN)):
+                close(k)
         ends = _SAME.get(tag, _NONE)
         if tag in _ENDS_P or ends:
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = elements[stack[k]].tag
-                if (open_tag == "p" and tag in _ENDS_P) or open_tag in ends:
-                    close(k)
-                    break
-                if open_tag in _SCOPE:
-                    break
+            k = last((*ends, "p") if tag in _ENDS_P else ends)
+            if k and k >= scopes[-1]:
+                close(k)
         if foreign and (tag in _APART_SELF or elements[stack[-1]].tag in _APART):
             add(" ")
         elements.append(Element(tag, raw, stack[-1], elements[stack[-1]].depth + 1, len(texts)))
@@ -143,6 +144,9 @@ def read(source: str) -> Page:
         if tag in VOID or (self_closed and tag not in BLOCKS and (foreign or tag not in RAW)):
             elements[-1].end = len(elements)
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append(len(elements) - 1)
         foreign += tag in FOREIGN
         if tag in RAW:

@@ -32,6 +32,11 @@ SOURCE_HEADER = "source-header-"
 GIVEN_DIGEST = "payload-digest-given"
 _CHARSET = re.compile(r"charset=[\"']?([\w\-]+)", re.I)
 
+_EMPTY_LINE = re.compile(r"\r?\n\r?\n")
+# The empty lines after a block and the next version line; the length of a block.
+_BETWEEN = f"\r\n\r\n{VERSION}\r\n".encode()
+_LENGTH = re.compile(rb"(?mi)^content-length:[ \t]*(\d+)")
+
 _FIELDS = ("record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "content_length",
            "block_digest", "payload_digest", "source_headers", "block", "record")
 SCHEMA = ", ".join(f"{name} {'long' if name == 'content_length' else 'string'}" for name in _FIELDS)
@@ -61,9 +66,9 @@ def http_parts(response: str) -> tuple[str, list[tuple[str, str]], str]:
     """Status line, headers and body of an HTTP response; without a head it is all body."""
     if not response.startswith("HTTP/"):
         return "", [], response
-    head, found, body = response.partition("\r\n\r\n")
-    if not found:
-        head, _, body = response.partition("\n\n")
+    # The head ends at its first empty line, however its lines end.
+    end = _EMPTY_LINE.search(response)
+    head, body = (response[:end.start()], response[end.end():]) if end else (response, "")
     # A line that begins with white space goes on with the value before it.
     status, *lines = re.split(r"\r\n|\r|\n", re.sub(r"(?:\r\n|\r|\n)[ \t]+", " ", head))
     pairs = [line.partition(":") for line in lines if ":" in line]
@@ -163,15 +168,42 @@ def write(records: DataFrame, path: str, column: str | Column = "record") -> Non
         "lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a file in order, joined again where a block held what looks like the next record.
+
+    A record is whole when its block has Content-Length bytes; one is held at a time.
+    """
+    parts: list[bytes] = []
+    missing = 0
+    for batch in batches:
+        out: list[bytes] = []
+        for value in batch.column("value").to_pylist():
+            if parts:
+                parts.append(value)
+                missing -= len(_BETWEEN) + len(value)
+            else:
+                head, _, block = value.partition(b"\r\n\r\n")
+                length = _LENGTH.search(head)
+                parts, missing = [value], (int(length.group(1)) if length else 0) - len(block)
+            if missing <= 0:
+                out.append(_BETWEEN.join(parts))
+                parts = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([_BETWEEN.join(parts)], pa.binary())], names=["value"])
+
+
 def read(spark, path: str) -> DataFrame:
-    """Records of WARC files: warc_type, record_id, refers_to, target_uri, date, digests and block.
+    """Records of compressed WARC files: warc_type, record_id, refers_to, target_uri, date, digests and block.
 
     Of a metadata record also source_headers, the response's HTTP headers a line each,
     and given_digest, the payload digest that came with the response; both are null
     for other records, which refer to the same response.
     """
     # The empty lines after a block belong to the separator: a header may end with the version.
-    lines = spark.read.option("lineSep", f"\r\n\r\n{VERSION}\r\n").text(path).where(F.length("value") > 0)
+    # A compressed file is one partition and its pieces come in order.
+    pieces = spark.read.option("lineSep", _BETWEEN.decode()).text(path).where(F.length("value") > 0)
+    lines = pieces.select(F.col("value").cast("binary")).mapInArrow(_whole_records, "value binary").select(F.col("value").cast("string"))
     head = F.substring_index("value", "\r\n\r\n", 1)
 
     def header(name: str) -> Column:
