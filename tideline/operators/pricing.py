@@ -247,6 +247,27 @@ def recovery_snapshot(orders: DataFrame, recovering: Iterable[str]) -> DataFrame
     return orders.withColumns({"recovered": back, **readings})
 
 
+# What an order has where nothing else is given.
+PAYMENT_METHOD, FEEDBACK_CHANNEL = "INVOICE_NET30", "MOBILE_APP"
+WAREHOUSES = "WH-ROTTERDAM-1 WH-EEMSHAVEN-2 WH-EINDHOVEN-3 WH-FRANKFURT-1 WH-PARIS-2 WH-LONDON-1".split()
+CARRIERS = "DHL_EXPRESS FEDEX_PRIORITY UPS_EXPEDITED POSTNL_CARGO".split()
+ADDRESS = {"street_address": "Industrial Ave 1", "city": "Amsterdam", "province": "North Holland", "postal_code": "1016 BS",
+           "country_code": "NL"}
+
+
+def fraction(key: Column | str, label: str) -> Column:
+    """A number in [0, 1) from a key; the same whenever it is asked for."""
+    digest = F.md5(F.concat(as_col(key), F.lit(f":{label}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+
+
+def picked(values: Iterable[str], key: Column | str, label: str) -> Column:
+    """One of the values by a key."""
+    values = list(values)
+    place = F.floor(fraction(key, label) * len(values)).cast("int")
+    return F.get(F.array(*[F.lit(v) for v in values]), place)
+
+
 def price_orders(
     headers: DataFrame,
     items: DataFrame,
@@ -260,9 +281,10 @@ def price_orders(
     """Full order rows for submitted carts.
 
     ``headers`` is one row per order (order_id, customer_id, created_at, rating,
-    complaint_reason, feedback_text, service_level); ``items`` and ``offers``
-    are keyed by order_id; ``profiles`` holds each customer's identity, history
-    and readings.  Lines stay a table of their own (``priced_lines``), so an
+    complaint_reason, feedback_text, service_level, and where known payment_method,
+    carrier_code, updated_at and the parts of the address); ``items`` and ``offers``
+    are keyed by order_id; ``profiles`` holds each customer's identity, history,
+    readings and defaults (default_warehouse, default_carrier, default_city and so on).  Lines stay a table of their own (``priced_lines``), so an
     order of any size is priced without being gathered into one row.
     """
     money = order_financials(items, catalog, offers, key="order_id")
@@ -277,24 +299,56 @@ def price_orders(
     low, high = sentiment_bounds("rating")
     delivery_days = F.when(F.col("service_level") == "NEXT_DAY_AIR", 2).otherwise(4)
     readings = [c for c in RECOVERED_READINGS if c in base.columns]
+
+    def given(*names: str, otherwise: Column | str | None = None) -> Column:
+        """The first of these columns that is there and not NULL, else a default."""
+        found = [F.col(n) for n in names if n in shown.columns]
+        last = F.lit(otherwise) if otherwise is None or isinstance(otherwise, str) else otherwise
+        return F.coalesce(*found, last) if found else last
+
+    hub = given("default_warehouse", otherwise=picked(WAREHOUSES, "order_id", "hub"))
     return shown.select(
         "order_id", "customer_id", "customer_name", "customer_email", "customer_segment",
         F.lit("PROCESSING").alias("order_status"), F.lit("SETTLED").alias("payment_status"),
+        given("payment_method", otherwise=PAYMENT_METHOD).alias("payment_method"),
         F.lit("EUR").alias("currency"),
         "subtotal", "tax_amount", "shipping_fee", "discount_total", "grand_total", "profit_margin",
         "offer_applied", "offer_id", "promo_code", "discount_percent", "free_express_shipping",
         "total_spend_90d",
         F.round(F.coalesce("lifetime_spend", F.lit(0.0)) + F.col("grand_total"), 2).alias("lifetime_spend"),
+        *[given(c).alias(c) for c in ("avg_order_value", "purchase_frequency_monthly", "days_since_last_purchase")],
         (F.coalesce("orders_count_last_12m", F.lit(0)) + 1).alias("orders_count_last_12m"),
-        *readings, "recovered", "loyalty_tier", "account_age_days",
+        *readings, "recovered", "loyalty_tier", given("is_loyalty_member").alias("is_loyalty_member"), "account_age_days",
         "rating", sentiment_band("rating").alias("sentiment_band"),
-        low.alias("sentiment_low"), high.alias("sentiment_high"), "has_active_complaint",
+        low.alias("sentiment_low"), high.alias("sentiment_high"),
+        # A score inside its band, the same whenever the order is priced again.
+        F.round(low + (high - low) * fraction("order_id", "sentiment"), 2).alias("sentiment_score"), "has_active_complaint",
         F.when(F.col("has_active_complaint"), F.col("complaint_reason")).alias("primary_complaint_reason"),
-        "feedback_text", "service_level", "created_at",
+        "feedback_text", F.lit(FEEDBACK_CHANNEL).alias("feedback_channel"), F.col("created_at").alias("feedback_at"),
+        given("carrier_code", "default_carrier", otherwise=picked(CARRIERS, "order_id", "carrier")).alias("carrier_code"),
+        "service_level", hub.alias("origin_hub"), F.lit(True).alias("require_signature"),
+        *[given(c, f"default_{c}", otherwise=v).alias(f"shipping_{c}") for c, v in ADDRESS.items()],
+        "created_at", given("updated_at", "created_at").alias("updated_at"),
         F.timestamp_add("DAY", delivery_days, F.col("created_at")).alias("estimated_delivery_at"),
     )
 
 
+def allocated_lines(lines: DataFrame, profiles: DataFrame | None = None, key: str = "order_id") -> DataFrame:
+    """Priced lines with the warehouse each is taken from.
+
+    The line's own one, else the customer's (``profiles`` by customer_id, if the lines have
+    one), else one of all, the same whenever the line is priced again.
+    """
+    rows, own = lines, []
+    if "allocated_warehouse" in lines.columns:
+        own.append(F.col("allocated_warehouse"))
+    if profiles is not None:
+        rows = lines.join(profiles.select("customer_id", "default_warehouse"), "customer_id", "left")
+        own.append(F.col("default_warehouse"))
+    chosen = F.coalesce(*own, picked(WAREHOUSES, F.concat_ws(":", key, "sku"), "line"))
+    return rows.select(*[F.col(c) for c in lines.columns if c != "allocated_warehouse"], chosen.alias("allocated_warehouse"))
+
+
 def financial_consistency(orders: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Orders whose grand total is off the sum of its parts by more than a cent."""
     expected = F.round(

@@ -267,31 +267,53 @@ def recovery_snapshot(t):
 _HEADERS = """SELECT concat('APP-', order_key) AS order_id, customer_id, created_at, feedback_rating AS rating,
     CASE order_key % 4 WHEN 0 THEN 'LATE_DELIVERY' ELSE 'RMA_DELAY' END AS complaint_reason,
     concat('text ', order_key) AS feedback_text,
-    CASE WHEN order_key % 2 = 0 THEN 'NEXT_DAY_AIR' ELSE 'GROUND' END AS service_level FROM fx_orders"""
+    CASE WHEN order_key % 2 = 0 THEN 'NEXT_DAY_AIR' ELSE 'GROUND' END AS service_level,
+    CASE WHEN order_key % 3 <> 0 THEN concat('PAY-', order_key % 3) END AS payment_method,
+    CASE WHEN order_key % 5 = 0 THEN 'OWN_VAN' END AS carrier_code, CASE WHEN order_key % 7 = 0 THEN 'Lyon' END AS city,
+    CASE WHEN order_key % 7 = 0 THEN 'FR' END AS country_code FROM fx_orders"""
 _PROFILE_IN = """SELECT p.customer_id, o.customer_name, o.customer_email, p.customer_segment, p.loyalty_tier, p.account_age_days,
     r.total_spend_90d, r.lifetime_spend, r.orders_count_last_12m, o.login_frequency_monthly,
-    o.support_tickets_count, o.open_support_tickets_count, o.complaints_count, o.return_rate_percent
+    o.support_tickets_count, o.open_support_tickets_count, o.complaints_count, o.return_rate_percent,
+    o.is_loyalty_member, cast(o.order_key % 100 AS double) AS avg_order_value, cast(o.order_key % 9 AS double) AS purchase_frequency_monthly,
+    o.order_key % 60 AS days_since_last_purchase, CASE WHEN o.order_key % 2 = 0 THEN 'WH-OWN' END AS default_warehouse,
+    CASE WHEN o.order_key % 4 = 0 THEN 'Utrecht' END AS default_city
   FROM fx_profiles p JOIN fx_orders o ON o.order_key = p.order_key
   JOIN (SELECT customer_id, cast(count(*) AS double) AS total_spend_90d, cast(count(*) * 10 AS double) AS lifetime_spend,
           count(*) AS orders_count_last_12m FROM fx_orders GROUP BY customer_id) r ON r.customer_id = p.customer_id"""
 _PRICE_TOTALS = _ENGINE_TOTALS
 
 
+_SENTIMENT_LOW = "CASE WHEN rating >= 4 THEN 0.60e0 WHEN rating = 3 THEN -0.15e0 ELSE -0.95e0 END"
+_SENTIMENT_HIGH = "CASE WHEN rating >= 4 THEN 0.98e0 WHEN rating = 3 THEN 0.35e0 ELSE -0.40e0 END"
+
+
+def _fraction(label: str, key: str = "order_id") -> str:
+    return f"(('0x' || substr(md5({key} || ':{label}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
 @query("price_orders", f"""WITH {_LINES}, {_money_sql(_PRICE_TOTALS, True)}, headers AS ({_HEADERS}), prof AS ({_PROFILE_IN}),
 prior AS (SELECT customer_id, count(*) FILTER (WHERE order_id LIKE '{_APP_PREFIX}%') AS n FROM fx_orders GROUP BY customer_id),
 base AS (SELECT h.*, m.*, f.customer_name, f.customer_email, f.customer_segment, f.loyalty_tier, f.account_age_days,
     f.total_spend_90d, f.lifetime_spend AS old_lifetime, f.orders_count_last_12m AS old_orders,
     f.login_frequency_monthly AS lf, f.support_tickets_count AS st, f.open_support_tickets_count AS os,
-    f.complaints_count AS cc, f.return_rate_percent AS rr,
+    f.complaints_count AS cc, f.return_rate_percent AS rr, f.is_loyalty_member, f.avg_order_value, f.purchase_frequency_monthly,
+    f.days_since_last_purchase, f.default_warehouse, f.default_city,
     coalesce(p.n >= 2 AND h.rating >= 4 AND h.customer_id IN
       ('cust_0000000001', 'cust_0000000004', 'cust_0000000007', 'cust_0000000010'), false) AS recovered,
     CASE WHEN h.rating <= 2 THEN 1 ELSE 0 END AS extra
   FROM headers h JOIN money m ON concat('APP-', cast(substring(m.cart_id, 6) AS bigint)) = h.order_id
   LEFT JOIN prof f ON f.customer_id = h.customer_id LEFT JOIN prior p ON p.customer_id = h.customer_id)
 SELECT order_id, customer_id, customer_name, customer_email, customer_segment, 'PROCESSING' AS order_status,
-  'SETTLED' AS payment_status, 'EUR' AS currency, {_MONEY_OUT}, profit_margin, offer_applied, offer_id, promo_code,
+  'SETTLED' AS payment_status, coalesce(payment_method, 'INVOICE_NET30') AS payment_method, 'EUR' AS currency, {_MONEY_OUT}, profit_margin, offer_applied, offer_id, promo_code,
   cast(pct AS bigint) AS discount_percent, free AS free_express_shipping, total_spend_90d,
   round(old_lifetime + cast(grand_total AS double), 2) AS lifetime_spend, old_orders + 1 AS orders_count_last_12m,
+  avg_order_value, purchase_frequency_monthly, days_since_last_purchase, is_loyalty_member,
+  round({_SENTIMENT_LOW} + ({_SENTIMENT_HIGH} - {_SENTIMENT_LOW}) * {_fraction('sentiment')}, 2) AS sentiment_score,
+  'MOBILE_APP' AS feedback_channel, cast(created_at AS varchar) AS feedback_at, true AS require_signature,
+  coalesce(carrier_code, (['DHL_EXPRESS', 'FEDEX_PRIORITY', 'UPS_EXPEDITED', 'POSTNL_CARGO'])[cast(floor({_fraction('carrier')} * 4) AS int) + 1]) AS carrier_code,
+  coalesce(default_warehouse, (['WH-ROTTERDAM-1', 'WH-EEMSHAVEN-2', 'WH-EINDHOVEN-3', 'WH-FRANKFURT-1', 'WH-PARIS-2', 'WH-LONDON-1'])[cast(floor({_fraction('hub')} * 6) AS int) + 1]) AS origin_hub,
+  'Industrial Ave 1' AS shipping_street_address, coalesce(city, default_city, 'Amsterdam') AS shipping_city, 'North Holland' AS shipping_province,
+  '1016 BS' AS shipping_postal_code, coalesce(country_code, 'NL') AS shipping_country_code, cast(created_at AS varchar) AS updated_at,
   CASE WHEN recovered THEN 14 ELSE lf END AS login_frequency_monthly,
   CASE WHEN recovered THEN 1 ELSE st END + extra AS support_tickets_count,
   CASE WHEN recovered THEN 0 ELSE os END + extra AS open_support_tickets_count,
@@ -314,6 +336,14 @@ def price_orders(t):
     )
 
 
+@query("allocated_lines", f"""SELECT cart_id, sku, quantity, CASE WHEN quantity % 3 = 0 THEN 'WH-LINE' ELSE
+  (['WH-ROTTERDAM-1', 'WH-EEMSHAVEN-2', 'WH-EINDHOVEN-3', 'WH-FRANKFURT-1', 'WH-PARIS-2', 'WH-LONDON-1'])[cast(floor({_fraction('line', "concat_ws(':', cart_id, sku)")} * 6) AS int) + 1]
+  END AS allocated_warehouse FROM fx_line_items""")
+def allocated_lines(t):
+    lines = t.fx_line_items.withColumn("allocated_warehouse", F.when(F.col("quantity") % 3 == 0, "WH-LINE"))
+    return pr.allocated_lines(lines, key="cart_id").select("cart_id", "sku", "quantity", "allocated_warehouse")
+
+
 @query("financial_consistency", f"""WITH {_LINES}, {_money_sql(_ENGINE_TOTALS, True)}
 SELECT cart_id, cast(grand_total AS double) + 0.5e0 AS grand_total, cast(grand_total AS double) AS expected_total
 FROM money WHERE units % 50 = 0""")
