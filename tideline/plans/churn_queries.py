@@ -10,7 +10,7 @@ from tideline.functions.scalars import safe_divide
 from tideline.operators import features as ft
 from tideline.operators import model as ml
 from tideline.operators import scoring as sc
-from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
+from tideline.plans.churn_run import ChurnStore, run_churn_pipeline, run_report
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY
 from tideline.plans.registry import query
 from tideline.session import work_dir
@@ -389,6 +389,28 @@ def merge_churn_risk_counts(t):
     return _merged(t)[1]
 
 
+_DEMO = ["cust_0000000001", "cust_0000000004"]
+
+
+@query("churn_run_report", f"""WITH {_SCORED}, runs AS (
+  SELECT cast(o_orderdate AS timestamp) + cast(o_orderkey AS int) * interval '1' second AS evaluated_at,
+    cast(o_orderkey % 100 AS double) / 100 AS roc_auc, cast(o_orderkey % 77 AS double) AS accuracy FROM orders),
+newest AS (SELECT * FROM runs ORDER BY evaluated_at DESC LIMIT 1),
+tiers AS (SELECT churn_risk_tier, count(*) AS customers, round(avg(churn_probability), 4) AS p FROM scored GROUP BY churn_risk_tier)
+SELECT 'evaluation' AS section, 0 AS position, 'roc_auc' AS name, roc_auc AS value, CAST(NULL AS BIGINT) AS number, CAST(NULL AS varchar) AS note FROM newest
+UNION ALL SELECT 'evaluation', 1, 'accuracy', accuracy, NULL, NULL FROM newest
+UNION ALL SELECT 'distribution', row_number() OVER (ORDER BY p DESC, churn_risk_tier) - 1, churn_risk_tier, p, customers, NULL FROM tiers
+UNION ALL SELECT 'customers', row_number() OVER (ORDER BY customer_id) - 1, customer_id, round(churn_probability, 4), days_since_last_purchase,
+  concat(churn_risk_tier, ' ', automated_retention_action) FROM scored WHERE customer_id IN ('cust_0000000001', 'cust_0000000004')""")
+def churn_run_report(t):
+    """The report over a stored evaluation and a merged risk table."""
+    store = ChurnStore(work_dir(t.spark, "report"))
+    sc.store_merge(_scored(t), store.risk)
+    snapshots.write_version(t.sql("""SELECT cast(o_orderdate AS timestamp) + cast(o_orderkey AS int) * interval '1' second AS evaluated_at,
+        cast(o_orderkey % 100 AS double) / 100 AS roc_auc, cast(o_orderkey % 77 AS double) AS accuracy FROM orders"""), store.evaluation)
+    return run_report(store, t.spark, _DEMO)
+
+
 @query("churn_scores_for", """
 SELECT customer_id, churn_probability, churn_risk_tier, customer_segment, total_spend_90d,
   sentiment_score, cast(calculation_timestamp AS varchar) AS calculation_timestamp

@@ -7,11 +7,12 @@ stops at the first step that fails and says so in its step table.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import features, model, scoring
@@ -108,3 +109,38 @@ def run_churn_pipeline(
             return finish()
     step("score", "Score customers and merge the risk table", score_and_merge)
     return finish()
+
+
+REPORT_SCHEMA = "section string, position int, name string, value double, number long, note string"
+
+
+def run_report(store: ChurnStore, spark: SparkSession, customer_ids: Iterable[str] = ()) -> DataFrame:
+    """What a run left behind: the newest evaluation, the risk tiers and some customers' scores.
+
+    One row per figure, in order; ``number`` counts a tier's customers, or the days since a
+    customer's last purchase.  A table that is not there yet leaves its section out.
+    """
+    parts = [spark.createDataFrame([], REPORT_SCHEMA)]
+    if snapshots.versions(spark, store.evaluation):
+        newest = scoring.latest_evaluation(snapshots.read_latest(spark, store.evaluation))
+        figures = [f for f in newest.columns if f != "evaluated_at"]
+        measured = F.posexplode(F.array(*[F.struct(F.lit(f).alias("name"), F.round(F.col(f).cast("double"), 4).alias("value")) for f in figures]))
+        parts.append(newest.select(measured.alias("position", "m")).select(
+            F.lit("evaluation").alias("section"), F.col("position"), "m.name", "m.value",
+            F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("note")))
+    if snapshots.versions(spark, store.risk):
+        risk = snapshots.read_latest(spark, store.risk)
+        # One row per tier.
+        by_size = Window.orderBy(F.desc("avg_probability"), "churn_risk_tier")
+        parts.append(scoring.risk_distribution(risk).select(
+            F.lit("distribution").alias("section"), (F.row_number().over(by_size) - 1).alias("position"), F.col("churn_risk_tier").alias("name"),
+            F.col("avg_probability").alias("value"), F.col("customers").alias("number"), F.lit(None).cast("string").alias("note")))
+        ids = list(customer_ids)
+        if ids:
+            chosen = risk.where(F.col("customer_id").isin(ids))
+            parts.append(chosen.select(
+                F.lit("customers").alias("section"), (F.row_number().over(Window.orderBy("customer_id")) - 1).alias("position"),
+                F.col("customer_id").alias("name"), F.round("churn_probability", 4).alias("value"),
+                F.col("days_since_last_purchase").cast("long").alias("number"),
+                F.concat_ws(" ", "churn_risk_tier", "automated_retention_action").alias("note")))
+    return reduce(DataFrame.unionByName, parts)
