@@ -8,16 +8,18 @@ tasks so that equal windows meet:
 - A window's anchor is the least hash of its ANCHOR-byte strings, so equal windows have
   equal anchors, and neighbouring windows mostly share theirs.  A run of windows with
   one anchor is a segment.
-- Anchors are counted by documents first, in shards whose number grows with the bytes.
-  Windows whose anchor only one document holds need nothing more.
+- Anchors are counted by texts first, in shards whose number grows with the bytes.
+  Windows whose anchor only one text holds need nothing more.
 - Segments of the other anchors are shuffled by anchor; a task joins the distinct
   segments of some anchors into texts of bounded size and transforms those.
-- An anchor in very many documents would be one task's work.  Its equal segments, then
+- An anchor in very many texts would be one task's work.  Its equal segments, then
   its equal windows, are reduced by grouped minimums and joined back instead.
 
 A text that equals one with a smaller id is removed whole; only the first is searched.
-Ids are integers.  Anchors, and texts when compared whole, are told apart by 48-bit
-hashes and SHA-256: equal hashes of different anchors only send more segments.
+Ids are integers.  Copies are told by SHA-256.  Anchors have 48-bit hashes besides their
+shard; equal hashes of different anchors only send more segments.  Whether one or several
+texts hold an anchor is told by 64-bit hashes of the texts: an anchor that only two texts
+with equal hashes hold would be missed, a chance of about 5e-20 per pair of such texts.
 
 Defined results: a null text is empty; rows of one id never remove each other's bytes
 and each has its result; a null id neither removes nor loses bytes; texts under WINDOW
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +54,8 @@ PIECE_BYTES = 1 << 17
 SHARD_BYTES = 32 << 20
 FLUSH_ENTRIES = 1 << 20
 TRANSFORM_BYTES = 1 << 19
-# Documents from which on an anchor is reduced by grouping.
-HOT_DOCUMENTS = 2000
+# Texts from which on an anchor is reduced by grouping: fewer make some MB of segments.
+HOT_DOCUMENTS = 50_000
 
 _KEY_BITS = np.uint64((1 << 48) - 1)
 _HOT = np.uint64(1 << 63)
@@ -122,81 +125,99 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-_ENTRIES = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+_ENTRIES = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()),
+                      ("digests", pa.binary()), ("counts", pa.binary())])
+_ENTRIES_DDL = "shard long, part long, keys binary, docs binary, digests binary, counts binary"
 
 
 def _anchors(shards: int):
-    """Distinct anchors of each document, packed by shard."""
+    """Distinct anchors of each document, packed by shard; ``part`` numbers what a task hands on at once."""
 
-    def flushed(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((key, doc))
-        key, doc = key[order], doc[order]
+    def flushed(number: int, *parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, doc, digest = (np.concatenate(p) for p in parts)
+        order = np.lexsort((key, digest, doc))
+        key, doc, digest = key[order], doc[order], digest[order]
         once = np.ones(len(key), dtype=bool)
-        once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, doc = key[once], doc[once]
+        once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
         shard = (wh.mix(key) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        key, doc, shard = key[order], doc[order], shard[order]
+        order = np.flatnonzero(once)
+        order = order[np.argsort(shard[order], kind="stable")]
+        key, doc, digest, shard = key[order], doc[order], digest[order], shard[order]
         cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
         rows = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            heads = np.flatnonzero(np.append(True, doc[a + 1:b] != doc[a:b - 1]))
+            heads = np.flatnonzero(np.append(True, (doc[a + 1:b] != doc[a:b - 1]) | (digest[a + 1:b] != digest[a:b - 1])))
             counts = np.diff(np.append(heads, b - a)).astype(np.int32)
-            rows.append((int(shard[a]), _packed(key[a:b]), doc[a:b][heads].tobytes(), counts.tobytes()))
+            rows.append((int(shard[a]), number, _packed(key[a:b]), doc[a:b][heads].tobytes(), digest[a:b][heads].tobytes(), counts.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_ENTRIES.types)], schema=_ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        docs: list[np.ndarray] = []
-        held = 0
+        parts: tuple[list, list, list] = ([], [], [])
+        held, number = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
+            ids, digests = (np.asarray(batch.column(c), dtype=np.int64) for c in ("doc_id", "digest"))
             for row, _, key, _, _, _ in _read(batch):
-                keys.append(key)
-                docs.append(ids[row])
+                for part, values in zip(parts, (key, ids[row], digests[row]), strict=True):
+                    part.append(values)
                 held += len(key)
                 if held >= FLUSH_ENTRIES:
-                    yield flushed(keys, docs)
-                    keys, docs, held = [], [], 0
+                    yield flushed(number, *parts)
+                    parts, held, number = ([], [], []), 0, number + 1
         if held:
-            yield flushed(keys, docs)
+            yield flushed(number, *parts)
 
     return run
 
 
-_SHARED = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_())])
+_HELD = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
 
 
 def _shared(hot_documents: int):
-    """Anchors of a shard that several documents hold, given back by document."""
+    """Anchors of a shard that several texts hold, and documents, given back by part."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpacked(v) for v in rows.column("keys").to_pylist()])
-        docs = np.concatenate([
+        keys = [_unpacked(v) for v in rows.column("keys").to_pylist()]
+        number = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        docs, digests = (np.concatenate([
             np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.int32))
-            for d, c in zip(rows.column("docs").to_pylist(), rows.column("counts").to_pylist(), strict=True)])
-        order = np.argsort(keys)
-        keys, docs = keys[order], docs[order]
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            for d, c in zip(rows.column(name).to_pylist(), rows.column("counts").to_pylist(), strict=True)])
+            for name in ("docs", "digests"))
+        order = np.lexsort((digests, keys))
+        sorted_keys, digests = keys[order], digests[order]
+        fresh = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
+        heads = np.flatnonzero(fresh)
         sizes = np.diff(np.append(heads, len(keys)))
-        several = np.minimum.reduceat(docs, heads) < np.maximum.reduceat(docs, heads)
-        marked = np.where(sizes > hot_documents, _HOT, np.uint64(0))
-        use = np.repeat(several, sizes)
-        keys, docs = (keys | np.repeat(marked, sizes))[use], docs[use]
-        order = np.argsort(docs, kind="stable")
-        keys, docs = keys[order], docs[order]
-        cuts = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs)) if len(docs) else np.zeros(1, dtype=np.int64)
-        ids, packed, hot = [], [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            ids.append(int(docs[a]))
-            packed.append(keys[a:b].tobytes())
-            hot.append(bool((keys[a:b] & _HOT).any()))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(hot, pa.bool_())], schema=_SHARED)
+        texts = np.add.reduceat((fresh | np.append(True, digests[1:] != digests[:-1])).astype(np.int64), heads)
+        marked = np.where(texts > hot_documents, _HOT, np.uint64(0))
+        sorted_keys |= np.repeat(marked, sizes)
+        use = order[np.repeat(texts > 1, sizes)]
+        keys[order] = sorted_keys
+        use.sort()
+        cuts = np.searchsorted(number[use], np.arange(len(rows) + 1))
+        return pa.table([rows.column("part").combine_chunks()] + [
+            pa.array([values[use[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+            for values in (keys, docs)], schema=_HELD)
 
     return run
 
 
+_SHARED = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_())])
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """A part's shared anchors by document."""
+    keys = np.concatenate([np.frombuffer(v, dtype=np.uint64) for v in rows.column("keys").to_pylist()])
+    docs = np.concatenate([np.frombuffer(v, dtype=np.int64) for v in rows.column("docs").to_pylist()])
+    order = np.argsort(docs, kind="stable")
+    keys, docs = keys[order], docs[order]
+    cuts = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs)) if len(docs) else np.zeros(1, dtype=np.int64)
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    return pa.table([
+        pa.array(docs[cuts[:-1]], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+        pa.array([bool((keys[a:b] & _HOT).any()) for a, b in spans], pa.bool_())], schema=_SHARED)
+
+
 _SEGMENTS = pa.schema([("key", pa.int64()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("digest", pa.int64()),
                        ("starts", pa.list_(pa.int32()))])
 _SEGMENTS_DDL = "key long, segment binary, doc_id long, digest long, starts array<int>"
@@ -207,6 +228,9 @@ def _segments(hot: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("keys")), pc.invert(batch.column("copy"))))
+            if not batch.num_rows:
+                continue
             known = batch.column("keys")
             ids, digests = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
             out: dict[tuple[int, int, bytes], list[int]] = {}
@@ -232,22 +256,19 @@ def _segments(hot: bool):
     return run
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("spans", pa.binary())])
-_SPANS_DDL = "doc_id long, digest long, spans binary"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_SPANS_DDL = "doc_id long, digest long, begins array<int>, ends array<int>"
 
 
 def _spans(docs: np.ndarray, digests: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Byte ranges packed by text."""
+    """Byte ranges in lists by text."""
     if not len(docs):
         return
     order = np.lexsort((begins, digests, docs))
     docs, digests = docs[order], digests[order]
-    pairs = np.stack([begins[order], ends[order]], axis=1).astype(np.int32)
     cuts = np.append(np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (digests[1:] != digests[:-1]))), len(docs))
-    yield pa.RecordBatch.from_arrays([
-        pa.array(docs[cuts[:-1]], pa.int64()), pa.array(digests[cuts[:-1]], pa.int64()),
-        pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())],
-        schema=_SPANS)
+    lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v[order], pa.int32())) for v in (begins, ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(docs[cuts[:-1]], pa.int64()), pa.array(digests[cuts[:-1]], pa.int64()), *lists], schema=_SPANS)
 
 
 def _transformed(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -314,15 +335,10 @@ def _transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _transformed(pa.Table.from_batches(held))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(rows: DataFrame) -> DataFrame:
     """The bytes under each segment, all of them to go."""
-    for batch in batches:
-        lists = batch.column("starts")
-        starts = np.asarray(lists.flatten(), dtype=np.int64)
-        times = np.diff(np.asarray(lists.offsets, dtype=np.int64))
-        length = np.asarray(pc.binary_length(batch.column("segment")), dtype=np.int64)
-        docs, digests = (np.asarray(batch.column(c), dtype=np.int64) for c in ("doc_id", "digest"))
-        yield from _spans(np.repeat(docs, times), np.repeat(digests, times), starts, starts + np.repeat(length, times))
+    ends = F.transform("starts", lambda s: (s + F.octet_length("segment")).cast("int"))
+    return rows.select("doc_id", "digest", F.col("starts").alias("begins"), ends.alias("ends"))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,13 +366,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, digest, copy, lists in zip(batch.column("text").cast(pa.large_binary()), batch.column("digest").to_pylist(),
                                              batch.column("copy").to_pylist(), batch.column("found"), strict=True):
             data = text.as_py() or b""
-            found = [s["spans"] for s in lists.as_py() or [] if s["digest"] == digest]
+            found = [(s["begins"], s["ends"]) for s in lists.as_py() or [] if s["digest"] == digest]
             if copy:
-                found = [np.array([[0, len(data)]], dtype=np.int32).tobytes()]
+                found = [([0], [len(data)])]
             if not found:
                 out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                 continue
-            pairs = np.frombuffer(b"".join(found), dtype=np.int32).reshape(-1, 2).astype(np.int64)
+            pairs = np.concatenate([np.array(pair, dtype=np.int64).T for pair in found])
             pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
             reach = np.maximum.accumulate(pairs[:, 1])
             opens = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
@@ -386,24 +402,29 @@ def remove_repeats(docs: DataFrame, hot_documents: int = HOT_DOCUMENTS) -> DataF
     firsts = narrow.where((F.col("size") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first"))
     copies = stored(narrow.join(firsts, "sha").where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(
         F.collect_set("sha").alias("copies")), "repeats-copies")
+    shards = max(1, -(-size // SHARD_BYTES))
+    entries = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)).select(
+        "doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(_anchors(shards), _ENTRIES_DDL)
+    by_part = entries.groupBy("shard").applyInArrow(_shared(hot_documents), "part long, keys binary, docs binary")
+    shared = stored(by_part.groupBy("part").applyInArrow(_by_document, "doc_id long, keys binary, hot boolean"), "repeats-anchors")
+    # Everything from here on is one job over one shuffle of the texts by id, so texts are
+    # not filtered before it; tasks pass over those they have nothing to do with.
     known = rows.join(copies, "doc_id", "left").select(
         "doc_id", "text", F.xxhash64("text").alias("digest"),
         F.coalesce(F.array_contains("copies", F.sha2("text", 256)), F.lit(False)).alias("copy"))
-    live = known.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
-    shards = max(1, -(-size // SHARD_BYTES))
-    shared = stored(
-        live.select("doc_id", "text").mapInArrow(_anchors(shards), "shard long, keys binary, docs binary, counts binary")
-        .groupBy("shard").applyInArrow(_shared(hot_documents), "doc_id long, keys binary, hot boolean"), "repeats-anchors")
-    anchors = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
-    searched = live.join(anchors, "doc_id").select("doc_id", "digest", "text", "keys", "hot")
-    usual = searched.drop("hot").mapInArrow(_segments(False), _SEGMENTS_DDL)
-    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_transform, _SPANS_DDL)
-    hot = _earlier(searched.where("hot").drop("hot").mapInArrow(_segments(True), _SEGMENTS_DDL))
-    hot = stored(hot, "repeats-hot")
-    later = F.col("doc_id") > F.col("first")
-    windows = _earlier(hot.where(~later).drop("first").mapInArrow(_windows, _SEGMENTS_DDL))
-    for part in (hot, windows):
-        found = found.unionByName(part.where(later).drop("first").mapInArrow(_whole, _SPANS_DDL))
-    spans = stored(found, "repeats-spans").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "spans")).alias("found"))
+
+    def held(anchors: DataFrame, hot: bool) -> DataFrame:
+        keys = anchors.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+        return known.join(keys, "doc_id", "left").select("doc_id", "text", "digest", "copy", "keys").mapInArrow(
+            _segments(hot), _SEGMENTS_DDL)
+
+    found = held(shared, False).repartition("key").sortWithinPartitions("key").mapInArrow(_transform, _SPANS_DDL)
+    if shared.where("hot").limit(1).count():
+        hot = _earlier(held(shared.where("hot"), True))
+        later = F.col("doc_id") > F.col("first")
+        windows = _earlier(hot.where(~later).drop("first").mapInArrow(_windows, _SEGMENTS_DDL))
+        for part in (hot, windows):
+            found = found.unionByName(_whole(part.where(later)))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "begins", "ends")).alias("found"))
     return known.join(spans, "doc_id", "left").select("doc_id", "text", "digest", "copy", "found").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
