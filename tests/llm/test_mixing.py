@@ -40,3 +40,17 @@ def test_odd_rows(spark):
     assert {r.source for r in mixed} <= {None, "a"}
     assert len([r for r in mixed if r.doc_id == 1]) % 2 == 0
     assert mixing.mix(spark.createDataFrame([], SCHEMA), {}, 1.0).count() == 0
+
+
+def test_large_rates_against_sql(spark):
+    """A source of three rows that is raised to half of the mixture: a rate of 1000."""
+    import duckdb
+
+    docs = spark.range(6003).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "tiny").otherwise("big").alias("source"))
+    got = mixing.mix(docs, {}, 1.0, "t").select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy",
+                                                 F.round("shuffle_key", 9).alias("shuffle_key"))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(mixing.poisson_sql("t", {}, 1.0)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert max(r[3] for r in want) > 900

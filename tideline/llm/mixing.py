@@ -87,9 +87,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 1.0
     joined = docs.join(F.broadcast(few) if n <= BROADCAST_SOURCES else few,
                        docs["source"].eqNullSafe(F.col("_source")), "inner")
     u = unit_hash(F.col(key), seed=f"{seed}-count")
-    copies = F.size(F.filter("_sums", lambda c: c <= u))
-    # A hash beyond the table's last sum cannot occur but for rounding of the sum.
-    copies = F.least(copies, F.size("_sums") - 1)
+    # Both sides are handed to the lambda: the optimizer overlooks a column that only stands
+    # inside one and would push the filter below to the side without it.  A hash beyond the
+    # table's last sum cannot occur but for rounding of the sum.
+    drawn = F.transform(F.array(F.struct(u.alias("u"), F.col("_sums").alias("sums"))), lambda d: F.least(
+        F.size(F.filter(d["sums"], lambda c: c <= d["u"])), F.size(d["sums"]) - 1))
+    copies = F.element_at(drawn, 1)
     counted = joined.withColumn("copies", copies.cast("long")).where(F.col("copies") > 0)
     spread = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     order = unit_hash(F.col(key), F.col("copy"), seed=f"{seed}-order")
@@ -106,7 +109,8 @@ def poisson_sql(seed: str, weights: Mapping[str, float], other_weight: float, re
 WITH counts AS (SELECT source, count(*) AS n_source, {weight} AS weight FROM {relation} GROUP BY source),
 rates AS (SELECT source, CAST(weight AS DOUBLE) / sum(weight) OVER () * sum(n_source) OVER () / n_source AS rate FROM counts),
 terms AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-          FROM rates, generate_series(0, 400) AS g(k) WHERE rate > 0 AND k <= rate + 12 * sqrt(rate) + 40),
+          FROM (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k
+                FROM rates WHERE rate > 0) AS r),
 sums AS (SELECT source, rate, list(total ORDER BY k) AS sums FROM (
            SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS total FROM terms) AS t GROUP BY source, rate),
 drawn AS (SELECT d.doc_id, d.source, s.rate,
