@@ -94,7 +94,9 @@ def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         catalog.list_orders(orders, "")
     with pytest.raises(ValueError):
-        catalog.newest_orders(orders, 101)
+        catalog.newest_orders(orders, 0)
+    with pytest.raises(ValueError):
+        catalog.list_orders(orders, "c", 101)
     assert sessions.reuse_age("x") == 120 and sessions.reuse_age("-1") == 120 and sessions.reuse_age("5") == 5
 
 
