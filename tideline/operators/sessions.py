@@ -184,11 +184,11 @@ def _mark_sorted(batches: Iterator[pd.DataFrame], age_us: int) -> Iterator[pd.Da
         )
 
 
-def _chain_ends(times: np.ndarray, age_us: int) -> np.ndarray:
-    """For each position, the last session start reached when a session starts there."""
-    n = len(times)
-    following = np.searchsorted(times, times + age_us, side="right")
-    jump = np.where(following < n, following, np.arange(n))
+def _chain_ends(jump: np.ndarray) -> np.ndarray:
+    """For each position, the last session start reached when a session starts there.
+
+    ``jump`` names the next start of each position, the position itself where there is none.
+    """
     while True:
         further = jump[jump]
         if np.array_equal(further, jump):
@@ -196,58 +196,98 @@ def _chain_ends(times: np.ndarray, age_us: int) -> np.ndarray:
         jump = further
 
 
-def _block_exits(group: pd.DataFrame, age_us: int) -> pd.DataFrame:
-    """How one block of one customer maps the open session it is entered with.
+def _block_exits(rows: pd.DataFrame, age_us: int, block_us: int) -> pd.DataFrame:
+    """How each block of each customer maps the open session it is entered with.
 
     Candidates are the logins near the end of the block before.  The result has
     one row per run of candidates that leads to the same first start, and one
-    for entering without an open session.
+    for entering without an open session.  ``rows`` are sorted by customer, block
+    and time; all blocks are searched at once, each in a range of its own.
     """
-    own = group[group["_own"]]
-    times = np.unique(own["_at"].to_numpy())
-    ends = _chain_ends(times, age_us)
-    key, block = group["customer_id"].iloc[0], int(group["_block"].iloc[0])
-    rows = [(key, block, True, 0, 0, int(times[ends[0]]), False)]
-    entries = np.unique(group.loc[~group["_own"], "_at"].to_numpy())
-    if len(entries):
-        first = np.searchsorted(times, entries + age_us, side="right")
-        runs = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        for a, b in zip(runs, np.r_[runs[1:], len(entries)]):
-            covered = first[a] == len(times)
-            leave = 0 if covered else int(times[ends[first[a]]])
-            rows.append((key, block, False, int(entries[a]), int(entries[b - 1]), leave, bool(covered)))
-    names = ["customer_id", "_block", "_fresh", "_lo", "_hi", "_exit", "_covered"]
-    return pd.DataFrame(rows, columns=names)
-
-
+    customers, blocks = rows["customer_id"].to_numpy(), rows["_block"].to_numpy()
+    times, own = rows["_at"].to_numpy(), rows["_own"].to_numpy(dtype=bool)
+    new = np.r_[True, (customers[1:] != customers[:-1]) | (blocks[1:] != blocks[:-1])]
+    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+    # Own times lie in [0, block), candidates in [-age, 0) of their block's range.
+    place = group * (block_us + 2 * age_us) + (times - blocks * block_us)
+    mine, at, held = group[own], times[own], place[own]
+    begins = np.searchsorted(mine, np.arange(len(heads)), side="left")
+    ends = np.searchsorted(mine, np.arange(len(heads)), side="right")
+    following = np.searchsorted(held, held + age_us, side="right")
+    exits = at[_chain_ends(np.where(following < ends[mine], following, np.arange(len(held))))]
+
+    entry_group, entry_at = group[~own], times[~own]
+    first = np.searchsorted(held, place[~own] + age_us, side="right")
+    run = np.flatnonzero(np.r_[True, (entry_group[1:] != entry_group[:-1]) | (first[1:] != first[:-1])][:len(first)])
+    last = np.r_[run[1:], len(first)][:len(run)] - 1
+    of, reached = entry_group[run], first[run]
+    covered = reached == ends[of]
+    leave = np.where(covered, 0, exits[np.where(covered, 0, reached)])
+    none, no = np.zeros(len(heads), dtype=np.int64), np.zeros(len(heads), dtype=bool)
+    return pd.DataFrame({
+        "customer_id": np.r_[customers[heads], customers[heads[of]]], "_block": np.r_[blocks[heads], blocks[heads[of]]],
+        "_fresh": np.r_[~no, np.zeros(len(run), dtype=bool)], "_lo": np.r_[none, entry_at[run]],
+        "_hi": np.r_[none, entry_at[last]], "_exit": np.r_[exits[begins], leave], "_covered": np.r_[no, covered],
+    })
+
+
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches again, cut between blocks only."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        customers, blocks = batch["customer_id"].to_numpy(), batch["_block"].to_numpy()
+        # Where the last block of the batch begins.
+        other = np.flatnonzero((customers != customers[-1]) | (blocks != blocks[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if kept and (cut or kept[-1]["customer_id"].iloc[-1] != customers[0] or kept[-1]["_block"].iloc[-1] != blocks[0]):
+            yield pd.concat([*kept, batch.iloc[:cut]], ignore_index=True)
+            kept = []
+        elif cut:
+            yield batch.iloc[:cut]
+        kept.append(batch.iloc[cut:])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+_SEEN = ["customer_id", "_block", "_at", "_own"]
 _EXIT_SCHEMA = (
     "customer_id string, _block long, _fresh boolean, _lo long, _hi long, _exit long, _covered boolean"
 )
 _ENTRY_SCHEMA = "customer_id string, _block long, _entry_at long"
 
 
-def _fold_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Walk one customer's blocks in order; the open session each is entered with."""
-    customer = group["customer_id"].iloc[0]
-    out = []
-    open_start: int | None = None
-    last_block: int | None = None
-    for block, maps in group.sort_values(["_block", "_lo"]).groupby("_block", sort=True):
-        adjacent = last_block is not None and block == last_block + 1
-        row = None
-        if open_start is not None and adjacent:
-            hit = maps[~maps["_fresh"] & (maps["_lo"] <= open_start) & (maps["_hi"] >= open_start)]
-            row = hit.iloc[0] if len(hit) else None
-        entered_with = open_start if row is not None else None
-        if row is None:
-            row = maps[maps["_fresh"]].iloc[0]
-        out.append((customer, int(block), entered_with))
-        if not row["_covered"]:
-            open_start = int(row["_exit"])
-        last_block = int(block)
-    frame = pd.DataFrame(out, columns=["customer_id", "_block", "_entry_at"])
-    frame["_entry_at"] = frame["_entry_at"].astype("Int64")
-    return frame
+def _fold_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each customer's blocks in order; the open session each is entered with.
+
+    Rows come sorted by customer, block, the one without an open session first.
+    """
+    key: tuple | None = None
+    open_start: int | None = None  # the session open where the block of ``key`` begins
+    leave: int | None = None  # and where it ends
+    entered = False
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["customer_id", "_block", "_entry_at"])
+        made["_entry_at"] = made["_entry_at"].astype("Int64")
+        return made
+
+    for batch in batches:
+        out = []
+        for customer, block, fresh, lo, hi, gone, covered in zip(*[batch[c].tolist() for c in (
+                "customer_id", "_block", "_fresh", "_lo", "_hi", "_exit", "_covered")]):
+            if fresh:
+                if key is not None:
+                    out.append((*key, open_start if entered else None))
+                follows = key is not None and key[0] == customer and key[1] == block - 1
+                key, open_start, leave, entered = (customer, block), leave if follows else None, gone, False
+            elif open_start is not None and lo <= open_start <= hi:
+                entered, leave = True, open_start if covered else gone
+        if out:
+            yield frame(out)
+    if key is not None:
+        yield frame([(*key, open_start if entered else None)])
 
 
 def _entries_of_blocks(hot: DataFrame, age_us: int, block_us: int) -> DataFrame:
@@ -261,10 +301,13 @@ def _entries_of_blocks(hot: DataFrame, age_us: int, block_us: int) -> DataFrame:
     # A tail only matters where its next block has logins of its own.
     busy = slim.select("customer_id", "_block").distinct()
     seen = own.unionByName(tails.join(busy, ["customer_id", "_block"], "left_semi"))
-    exits = seen.groupBy("customer_id", "_block").applyInPandas(
-        lambda group: _block_exits(group, age_us), _EXIT_SCHEMA
+    # Blocks are small and many, so a task takes its sorted rows in batches, not by groups.
+    exits = (
+        seen.select(*_SEEN).repartition("customer_id", "_block").sortWithinPartitions("customer_id", "_block", "_at")
+        .mapInPandas(lambda it: (_block_exits(rows, age_us, block_us) for rows in _whole_blocks(it)), _EXIT_SCHEMA)
     )
-    return exits.groupBy("customer_id").applyInPandas(_fold_blocks, _ENTRY_SCHEMA)
+    walked = exits.repartition("customer_id").sortWithinPartitions("customer_id", "_block", F.desc("_fresh"), "_lo")
+    return walked.mapInPandas(_fold_blocks, _ENTRY_SCHEMA)
 
 
 def assign_logins(
