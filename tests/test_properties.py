@@ -1,19 +1,21 @@
 """Properties that hold for any data: order of events, skew, retries."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tideline.operators import features, history, ingest, operations, scoring, sessions, skew
 from tideline.plans import ingest_queries as iq
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY, Tables
 from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
 from tideline.session import work_dir
-from tideline.sources import days, mirror, snapshots, specs
+from tideline.sources import days, events, mirror, snapshots, specs
 from tideline.streaming import ingest_stream
-from tideline.streaming.ingest_stream import process_batch
+from tideline.streaming.ingest_stream import backfill, process_batch
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,6 +98,61 @@ def test_login_replay_against_brute_force(spark):
         assert got == want
 
 
+def test_blocks_are_walked_in_batches_of_any_size(spark):
+    """Blocks and customers that are cut by batches; no Python call per block or customer."""
+    rng = np.random.default_rng(11)
+    data = [(f"{c}-{i:03d}", c, t) for c in ("a", "b", "c")
+            for i, t in enumerate(sorted(rng.integers(0, 9_000, 150).tolist()))]
+    logins = spark.createDataFrame(data, "session_id string, customer_id string, at long").withColumn(
+        "login_timestamp", F.timestamp_seconds("at")
+    )
+    want = {}
+    for customer in ("a", "b", "c"):
+        mine = [(s, t) for s, c, t in data if c == customer]
+        want.update({s: start for (s, _), start in zip(mine, replay([t for _, t in mine], 120))})
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in (1, 7, 10_000):
+            spark.conf.set(name, size)
+            marked = sessions.assign_logins(logins, 120, min_rows=0, block_seconds=120)
+            assert {r[0]: r[1] for r in marked.select("session_id", F.unix_seconds("session_started_at")).collect()} == want
+    finally:
+        spark.conf.set(name, before)
+    plan = marked._jdf.queryExecution().toString()
+    assert "FlatMapGroupsIn" not in plan and "MapInPandas" in plan
+
+
+def test_envelopes_are_packed_and_dealt_out(spark, tmp_path):
+    """Stored envelopes take a fraction of their text, in files of bounded size."""
+    t = Tables(spark, SF)
+    made = iq.build_order_envelopes(t)
+    assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
+    stored = iq.order_envelopes(t)
+    folder = stored.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    size = sum(f.stat().st_size for f in Path(folder).iterdir())
+    assert size * 8 < made.agg(F.sum(F.length("body"))).first()[0]
+    path = str(tmp_path / "some")
+    events.write_envelopes(spark.range(2 * events.ENVELOPES_PER_FILE + 1, numPartitions=1).select(
+        F.col("id").cast("string").alias("event_id"), F.lit("{}").alias("body")), path)
+    back = events.read_change_events(spark, path)
+    assert back.count() == back.distinct().count() == 2 * events.ENVELOPES_PER_FILE + 1
+    assert len(back.inputFiles()) == 3
+
+
+def test_batch_keeps_decoded_changes_in_packed_files(spark, tmp_path, monkeypatch):
+    """A batch and a walk hold no documents in memory and leave no working files behind."""
+    def refuse(*_):
+        raise AssertionError("documents are kept in memory")
+
+    monkeypatch.setattr(DataFrame, "persist", refuse)
+    t, root = Tables(spark, SF), str(tmp_path / "tables")
+    process_batch(iq.order_envelopes(t).where("event_id LIKE '%7-_'"), 0, root)
+    backfill(iq._snapshot(t).where("name LIKE '%2'"), root, 0, NOW)
+    assert not list((tmp_path / "tables" / "decoded").iterdir())
+    assert ingest.read_ledger(spark, f"{root}/{specs.ORDERS_LEDGER.name}").where("order_status = 'WALKED'").count() > 0
+
+
 def test_upsert_ignores_order_and_repeats(spark):
     t = Tables(spark, SF)
     readable = ingest.quarantine_malformed(iq.order_envelopes(t))[0]
