@@ -123,6 +123,27 @@ def test_blocks_are_walked_in_batches_of_any_size(spark):
     assert "FlatMapGroupsIn" not in plan and "MapInPandas" in plan
 
 
+def test_history_scans_keep_their_tasks(spark):
+    """What a task sorts does not grow to the input's share of a core; odd rows keep their places."""
+    rng = np.random.default_rng(5)
+    day = 86_400
+    at = [None if i % 11 == 0 else int(rng.integers(0, 500)) * day + int(rng.integers(0, 3)) for i in range(120)]
+    data = [(None if i % 13 == 0 else f"o{i:03d}", "ab"[i % 2], a, 400, None if i % 17 == 5 else i * 1.25) for i, a in enumerate(at)]
+    data += data[10:20]
+    orders = spark.createDataFrame(data, "order_id string, customer_id string, at long, account_age_days int, grand_total double")
+    got = history.order_history(orders.withColumn("created_at", F.timestamp_seconds("at")))
+    assert got.rdd.getNumPartitions() == history.SCAN_TASKS
+    want = []
+    for customer in "ab":
+        mine = sorted((r for r in data if r[1] == customer), key=lambda r: (r[2] is not None, r[2] or 0, r[0] is not None, r[0] or ""))
+        for n, (name, _, t, _, _) in enumerate(mine):
+            def since(days, mine=mine, n=n, t=t):
+                return [r for r in mine[:n] if t is not None and r[2] is not None and r[2] >= t - days * day]
+            want.append((name or "", customer, n + 1, round(sum(r[4] or 0 for r in since(90)), 2), len(since(365))))
+    found = got.select("order_id", "customer_id", "order_sequence", "prior_spend_90d", "prior_orders_12m").collect()
+    assert sorted((r[0] or "", *r[1:3], round(r[3], 2), r[4]) for r in found) == sorted(want)
+
+
 def test_envelopes_are_packed_and_dealt_out(spark, tmp_path):
     """Stored envelopes take a fraction of their text, in files of bounded size."""
     t = Tables(spark, SF)

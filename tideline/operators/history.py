@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import as_col, exact_money
-from tideline.operators.skew import join_null_safe
 
 DAY_MICROS = 86_400_000_000
 SPEND_WINDOW_DAYS = 90
 YEAR_DAYS = 365
+# Spark's number of shuffle partitions, and the tasks of a scan where no more are named.
+DEFAULT_PARTITIONS = 200
+SCAN_TASKS = 64
 
 _INPUT = ["order_id", "customer_id", "created_at", "account_age_days", "grand_total"]
 
@@ -29,8 +31,23 @@ def _prepare(orders: DataFrame) -> DataFrame:
     )
 
 
+# The day of rows without a time, which come first.
+_NO_DAY = -(2**40)
+
+
 def _day_of(micros: Column | str) -> Column:
-    return F.floor(as_col(micros) / DAY_MICROS)
+    return F.coalesce(F.floor(as_col(micros) / DAY_MICROS), F.lit(_NO_DAY))
+
+
+def _scan_dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out for an ordered scan over a number of tasks that is not lowered.
+
+    Left to itself, Spark merges partitions until there is one for each core, and what a
+    task sorts in memory grows with the input.  Where the session names more partitions
+    than Spark does by default, it has sized them for its input.
+    """
+    named = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(named if named > DEFAULT_PARTITIONS else SCAN_TASKS, *keys)
 
 
 def _positions(rows: DataFrame) -> DataFrame:
@@ -38,12 +55,14 @@ def _positions(rows: DataFrame) -> DataFrame:
 
     Totals older than a moving edge are answered by probe rows placed at the
     edge (order time minus the window) into the same day-split scan.  They depend
-    on customer and time alone, so that is what they are joined by, and no row
+    on customer and time alone, so that is what they are matched by, and no row
     needs an id.  Orders without a time come first and are older than any edge.
+    Days are added up where their orders have been dealt to: few orders share a day, so
+    adding up before would hold about all of them in a hash table.
     """
-    dated = rows.withColumn("_day", _day_of("_at"))
     inside = Window.partitionBy("customer_id", "_day").orderBy("_at", "order_id")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    dated = _scan_dealt(rows.withColumn("_day", _day_of("_at")), "customer_id", "_day")
     scanned = dated.withColumns(
         {
             "_in_count": F.row_number().over(inside).cast("bigint") - 1,
@@ -60,7 +79,7 @@ def _positions(rows: DataFrame) -> DataFrame:
     )
     days = Window.partitionBy("customer_id").orderBy("_day")
     earlier_days = days.rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_day.select(
+    carried = _scan_dealt(per_day, "customer_id").select(
         "customer_id", "_day",
         F.sum("_n").over(earlier_days).alias("_off_count"),
         F.sum("_t").over(earlier_days).alias("_off_total"),
@@ -68,67 +87,62 @@ def _positions(rows: DataFrame) -> DataFrame:
         F.min("_min").over(earlier_days).alias("_off_first"),
     )
     zero = F.lit(0)
-    positions = join_null_safe(scanned, carried, ["customer_id", "_day"]).select(
+    positions = scanned.join(carried, ["customer_id", "_day"]).select(
         *rows.columns,
         (F.col("_in_count") + F.coalesce("_off_count", zero)).alias("_earlier"),
         (F.coalesce("_in_total", zero) + F.coalesce("_off_total", zero)).alias("_earlier_total"),
         F.coalesce("_in_previous", "_off_previous").alias("_previous_at"),
         F.coalesce("_off_first", "_in_first").alias("_first_at"),
     )
-    beyond = join_null_safe(positions, _totals_before_edges(rows), ["customer_id", "_at"])
-    timeless = F.col("_at").isNull()
-    return beyond.withColumns({
-        "_total_beyond_90d": F.when(timeless, F.col("_earlier_total")).otherwise(F.col("_total_beyond_90d")),
-        "_count_beyond_365d": F.when(timeless, F.col("_earlier")).otherwise(F.col("_count_beyond_365d")),
-    })
+    # Every order meets the answers of its customer and time.
+    both = _scan_dealt(
+        positions.unionByName(_totals_before_edges(rows), allowMissingColumns=True), "customer_id", "_at")
+    same = Window.partitionBy("customer_id", "_at")
+
+    def answer(span: int, value: str, timeless: str) -> Column:
+        found = F.max(F.when(F.col("_span") == span, F.col(value))).over(same)
+        return F.when(F.col("_at").isNull(), F.col(timeless)).otherwise(found)
+
+    return both.withColumns({
+        "_total_beyond_90d": answer(SPEND_WINDOW_DAYS, "_sum", "_earlier_total"),
+        "_count_beyond_365d": answer(YEAR_DAYS, "_count", "_earlier"),
+    }).where("_span IS NULL").drop("_span", "_sum", "_count")
 
 
 def _totals_before_edges(rows: DataFrame) -> DataFrame:
-    """Per customer and time: total beyond 90 days and count beyond 365 days."""
-    data = rows.select(
-        "customer_id", F.col("_at").alias("_t"), F.lit(1).alias("_kind"),
-        F.lit(None).cast("bigint").alias("_at"), F.lit(0).alias("_span"),
-        F.col("_total").alias("_v"), F.lit(1).cast("bigint").alias("_n"),
-    )
-    nothing = F.lit(0).cast("decimal(18,2)")
-    probes = rows.select("customer_id", "_at").distinct().select(
-        "customer_id", "_at",
-        F.explode(F.array(F.lit(SPEND_WINDOW_DAYS), F.lit(YEAR_DAYS))).alias("_span"),
-    ).select(
-        "customer_id", (F.col("_at") - F.col("_span").cast("bigint") * DAY_MICROS).alias("_t"),
-        # A probe sorts before the orders of the same instant: strictly older.
-        F.lit(0).alias("_kind"), "_at", "_span",
-        nothing.alias("_v"), F.lit(0).cast("bigint").alias("_n"),
-    )
-    mixed = data.unionByName(probes).withColumn("_day", _day_of("_t"))
-    inside = (
-        Window.partitionBy("customer_id", "_day")
-        .orderBy("_t", "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    scanned = mixed.withColumns(
-        {"_in_v": F.sum("_v").over(inside), "_in_n": F.sum("_n").over(inside)}
-    ).where("_kind = 0")
-    per_day = mixed.groupBy("customer_id", "_day").agg(
-        F.sum("_v").alias("_dv"), F.sum("_n").alias("_dn")
-    )
+    """Of each order's customer and time: total and count beyond 90 and 365 days."""
+    def row(t: Column, kind: int, at: Column, span: int, value: Column, n: int) -> Column:
+        return F.struct(
+            t.alias("_t"), F.lit(kind).alias("_kind"), at.alias("_at"), F.lit(span).alias("_span"),
+            value.alias("_v"), F.lit(n).cast("bigint").alias("_n"))
+
+    at, nothing = F.col("_at"), F.lit(0).cast("decimal(18,2)")
+    # A probe sorts before the orders of the same instant: strictly older.
+    probes = [
+        F.when(at.isNotNull(), row(at - F.lit(span).cast("bigint") * DAY_MICROS, 0, at, span, nothing, 0))
+        for span in (SPEND_WINDOW_DAYS, YEAR_DAYS)
+    ]
+    order = row(at, 1, F.lit(None).cast("bigint"), 0, F.col("_total"), 1)
+    mixed = rows.select("customer_id", F.explode(F.array(order, *probes)).alias("_row")).where(
+        "_row IS NOT NULL").select("customer_id", "_row.*").withColumn("_day", _day_of("_t"))
+    inside = Window.partitionBy("customer_id", "_day").orderBy("_t", "_kind")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = _scan_dealt(mixed, "customer_id", "_day")
+    scanned = dealt.withColumns({"_in_v": F.sum("_v").over(so_far), "_in_n": F.sum("_n").over(so_far)})
+    per_day = dealt.groupBy("customer_id", "_day").agg(F.sum("_v").alias("_dv"), F.sum("_n").alias("_dn"))
     earlier = (
         Window.partitionBy("customer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = per_day.select(
+    carried = _scan_dealt(per_day, "customer_id").select(
         "customer_id", "_day",
         F.sum("_dv").over(earlier).alias("_off_v"), F.sum("_dn").over(earlier).alias("_off_n"),
     )
     zero = F.lit(0)
-    answered = join_null_safe(scanned, carried, ["customer_id", "_day"]).select(
+    return scanned.where("_kind = 0").join(carried, ["customer_id", "_day"]).select(
         "customer_id", "_at", "_span",
         (F.col("_in_v") + F.coalesce("_off_v", zero)).alias("_sum"),
         (F.col("_in_n") + F.coalesce("_off_n", zero)).alias("_count"),
     )
-    return answered.groupBy("customer_id", "_at").agg(
-        F.max(F.when(F.col("_span") == SPEND_WINDOW_DAYS, F.col("_sum"))).alias("_total_beyond_90d"),
-        F.max(F.when(F.col("_span") == YEAR_DAYS, F.col("_count"))).alias("_count_beyond_365d"),
-    )
 
 
 def _whole_days(later: Column | str, earlier: Column | str) -> Column:
