@@ -161,6 +161,22 @@ def test_envelopes_are_packed_and_dealt_out(spark, tmp_path):
     assert len(back.inputFiles()) == 3
 
 
+def test_orders_are_dealt_before_they_grow(spark, tmp_path):
+    """No view of orders and no body is shuffled: the given columns are, and one row an event."""
+    t = Tables(spark, SF)
+    plan = plan_of(iq.build_order_envelopes(t))
+    assert "hashpartitioning(o_orderkey" in plan and "hashpartitioning(order_key" not in plan
+    made = iq.build_order_envelopes(t)
+    dealt = iq.build_order_envelopes(t, 3)
+    assert rows(made) == rows(dealt) and dealt.rdd.getNumPartitions() == 3
+    # Bodies are made above the shuffle (plans are printed from the top).
+    plan = plan_of(dealt)
+    assert plan.index("Generate explode(array(") < plan.index("REPARTITION_BY_NUM")
+    # The events of an order are dealt apart.
+    place = dealt.select(F.split("event_id", "-")[1].alias("key"), F.spark_partition_id().alias("p"))
+    assert place.groupBy("key").agg(F.countDistinct("p").alias("n")).where("n > 1").count() > 0
+
+
 def test_batch_keeps_decoded_changes_in_packed_files(spark, tmp_path, monkeypatch):
     """A batch and a walk hold no documents in memory and leave no working files behind."""
     def refuse(*_):
