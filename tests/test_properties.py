@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from tideline.operators import features, history, ingest, operations, scoring, sessions, skew
-from tideline.plans import ingest_queries as iq
+from tideline.plans import ingest_queries as iq, registry
 from tideline.plans.fixtures import CUTOFF, NOW, TODAY, Tables
 from tideline.plans.churn_run import ChurnStore, run_churn_pipeline
 from tideline.session import work_dir
@@ -371,3 +371,44 @@ def test_churn_run_reports_errors(spark):
     assert [r["status"] for r in bad] == ["failed"]
     early = run_churn_pipeline(spark, t.fx_orders, store, TODAY, NOW, mode="rescore").collect()
     assert early[-1]["status"] == "failed"
+
+
+def test_envelopes_are_taken_up_by_portions(spark, tmp_path, monkeypatch):
+    """Only one portion lies on disk; results are those of all envelopes, also with repeats and nulls."""
+    for table in ("orders", "customer"):
+        given = spark.read.parquet(f"{SF}/{table}.parquet").where("o_orderkey <= 300" if table == "orders" else "true")
+        if table == "orders":
+            again = given.where("o_orderkey % 5 = 0")
+            nulls = given.where("o_orderkey % 20 = 1").withColumn("o_orderkey", F.lit(None).cast("bigint"))
+            dateless = given.where("o_orderkey % 20 = 2").withColumn("o_orderdate", F.lit(None).cast("timestamp"))
+            given = given.unionByName(again).unionByName(nulls).unionByName(dateless)
+        given.write.parquet(str(tmp_path / f"{table}.parquet"))
+    root, delivered = tmp_path / "work", []
+    monkeypatch.setattr(iq, "work_dir", lambda _, label: str(root / f"{label}-{len(list(root.glob('*')))}-{len(delivered)}"))
+    write = iq.write_envelopes
+
+    def watched(envelopes, path, **options):
+        assert not list(root.glob("envelopes*"))
+        write(envelopes, path, **options)
+        delivered.append(spark.read.text(path).count())
+
+    monkeypatch.setattr(iq, "write_envelopes", watched)
+    whole = iq.build_order_envelopes(Tables(spark, str(tmp_path))).count()
+    for name in ("read_change_events", "late_change_guard", "dedupe_redelivery"):
+        found = {}
+        for most, each in ((1, 100_000), (3, 150)):
+            monkeypatch.setattr(iq, "_ORDERS_PER_PORTION", each)
+            delivered.clear()
+            found[most] = rows(registry.QUERIES[name](spark, str(tmp_path)))
+            assert len(delivered) == most and sum(delivered) == whole
+            assert not list(root.glob("envelopes*"))
+        assert found[1] and found[1] == found[3], name
+
+
+def test_parts_of_a_version_are_read_when_all_are_written(spark, tmp_path):
+    root = str(tmp_path / "table")
+    first = snapshots.write_version(spark.range(3), root)
+    begun = snapshots.write_version(spark.range(5), root, last=False)
+    assert snapshots.versions(spark, root) == [first]
+    assert snapshots.write_version(spark.range(2), root, begun=begun) == begun
+    assert snapshots.read_latest(spark, root).count() == 7
