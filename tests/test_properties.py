@@ -412,3 +412,45 @@ def test_parts_of_a_version_are_read_when_all_are_written(spark, tmp_path):
     assert snapshots.versions(spark, root) == [first]
     assert snapshots.write_version(spark.range(2), root, begun=begun) == begun
     assert snapshots.read_latest(spark, root).count() == 7
+
+
+def _orders_and_customers(spark, path, orders, customers=50):
+    spark.range(orders).selectExpr(
+        "id AS o_orderkey", f"id % {customers} AS o_custkey", "'F' AS o_orderstatus", "id * 1.25D AS o_totalprice",
+        "timestamp'1996-01-01 00:00:00' AS o_orderdate").write.parquet(f"{path}/orders.parquet")
+    spark.range(customers).selectExpr(
+        "id AS c_custkey", "concat('Customer#', id) AS c_name", "'BUILDING' AS c_mktsegment").write.parquet(
+        f"{path}/customer.parquet")
+    return Tables(spark, str(path))
+
+
+def test_a_portion_is_a_small_part_of_many_orders(spark, tmp_path, monkeypatch):
+    """Where orders are many, a portion holds a thirtieth of them, and all are taken up once."""
+    t = _orders_and_customers(spark, tmp_path, 10_000)
+    sizes = []
+
+    def counted(orders, path, **options):
+        sizes.append(orders.count())
+        spark.range(1).select(F.lit("{}").alias("body")).write.json(path)
+
+    monkeypatch.setattr(iq, "_ORDERS_PER_PORTION", 100)
+    monkeypatch.setattr(iq, "build_order_envelopes", lambda t: t.raw("orders"))
+    monkeypatch.setattr(iq, "write_envelopes", counted)
+    last = [last for _, last in iq.envelope_portions(t)]
+    assert sum(sizes) == 10_000 and max(sizes) * 20 < 10_000
+    assert last == [False] * (len(sizes) - 1) + [True]
+
+
+def test_a_small_portion_keeps_all_cores_busy(spark, tmp_path, monkeypatch):
+    """Orders of a portion are few bytes, of which one task would make all documents."""
+    monkeypatch.setattr(iq, "_ORDERS_PER_PORTION", 100_000)
+    t = _orders_and_customers(spark, tmp_path, 12_000)
+    threshold, least = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(threshold), spark.conf.get(least)
+    spark.conf.set(threshold, "-1")
+    try:
+        for envelopes, _ in iq.envelope_portions(t):
+            assert len(envelopes.inputFiles()) >= 6
+            assert spark.conf.get(least) == before[1]
+    finally:
+        spark.conf.set(threshold, before[0])
