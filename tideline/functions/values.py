@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column
@@ -212,7 +214,16 @@ def coerce_column(value: Column, kind: str, nested: Column | None = None) -> Col
 # --- whole documents --------------------------------------------------------
 
 
+# The usual spelling of an instant; what reads otherwise goes the long way.
+_UTC_INSTANT = re.compile(r"(?:1[89]|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z")
+
+
 def _instant_text(raw: str) -> str | None:
+    if isinstance(raw, str) and _UTC_INSTANT.fullmatch(raw):
+        try:
+            return str(datetime.fromisoformat(raw[:-1])) + "+00:00"
+        except ValueError:
+            pass
     try:
         stamp = pd.Timestamp(raw.strip())
     except (ValueError, AttributeError):
@@ -257,6 +268,10 @@ _READERS = {
 def plain_value(value):
     """One typed value as a plain one; an unknown wrapper stays as it is."""
     if isinstance(value, dict):
+        if len(value) == 1:
+            for branch, content in value.items():
+                reader = _READERS.get(branch)
+                return value if reader is None else reader(content)
         for branch in BRANCHES:
             if branch in value:
                 return _READERS[branch](value[branch])
@@ -284,7 +299,7 @@ def decode_document(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return None
 
     for batch in batches:
-        yield batch.map(decode, na_action=None).astype(object)
+        yield pd.Series([decode(text) for text in batch], dtype=object)
 
 
 def _plain_text(text: str | None) -> str | None:
