@@ -12,7 +12,9 @@ from tideline.operators import ingest
 from tideline.plans import ingest_queries
 from tideline.plans.fixtures import Tables
 from tideline.session import configure
+from tideline.sources import specs
 from tideline.sources.events import ENVELOPE_SCHEMA
+from tideline.streaming import ingest_stream
 
 
 def _plan(df) -> str:
@@ -84,3 +86,21 @@ def test_only_nested_values_that_are_there_are_read(monkeypatch):
     out = [x for batch in values.plain_texts.func(iter([rows.slice(1), rows[:1], rows[:0]])) for x in batch.to_pylist()]
     assert out == [[None, '{"n": 1}', None], [], [None, None], [None, '{"n": 1}'], None]
     assert read == [nested, "bad", nested]
+
+
+def test_a_batch_splits_off_malformed_envelopes_by_what_it_stored(spark, tmp_path, monkeypatch):
+    configure(spark)
+    kind = "google.cloud.firestore.document.v1.created"
+    bad = [("b1", kind, None, '{"value": {"name"'), ("b2", "", None, "{}"), ("b3", kind, None, "[1, 2]"), (None, kind, "x", None),
+           ("b5", kind, None, '{"value":{},"value":{}}'), ("b6", kind, None, '[{"value":{"name":"a/documents/retail/O-9"}}]')]
+    envelopes = _envelopes(spark).unionByName(spark.createDataFrame(bad, ENVELOPE_SCHEMA)).localCheckpoint()
+    want = {(r["event_id"], r["body"], r["reason"]) for r in ingest.quarantine_malformed(envelopes)[1].collect()}
+    split, given = ingest.quarantine_malformed, []
+    monkeypatch.setattr(ingest, "quarantine_malformed", lambda df: given.extend(df.inputFiles()) or split(df))
+    ingest_stream.process_batch(envelopes, 0, str(tmp_path))
+    assert given and all("/decoded/" in path for path in given)
+    found = spark.read.parquet(f"{tmp_path}/quarantine/batch=0")
+    assert found.columns == [*envelopes.columns, "reason"]
+    assert len(want) == 6 and {(r["event_id"], r["body"], r["reason"]) for r in found.collect()} == want
+    ledger = ingest.read_ledger(spark, f"{tmp_path}/{specs.ORDERS_LEDGER.name}")
+    assert sorted(r["order_id"] for r in ledger.collect()) == ["O-1", "O-2"]
